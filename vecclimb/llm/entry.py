@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecclimb.llm import bpe, decontaminate, quality, secret_scan, token_files, toxicity
+from vecclimb.llm import bpe, decontaminate, quality, secret_scan, sharding, token_files, toxicity, url_filter
 from vecclimb.llm.near_dedup import near_duplicates
+from vecclimb.llm.vector_dedup import near_vectors
 from vecclimb.session import table
 
 
@@ -56,6 +57,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -68,8 +73,28 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality, op3_toxicity, op4_byte_bpe, op5_secret_scan, op6_token_files, op8_decontaminate)}
+    found = (
+        op1_minhash_near_dedup,
+        op2_quality,
+        op3_toxicity,
+        op4_byte_bpe,
+        op5_secret_scan,
+        op6_token_files,
+        op7_vector_near_dedup,
+        op8_decontaminate,
+        op9_url_filter,
+        op10_sharding,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
