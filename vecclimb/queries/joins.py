@@ -82,7 +82,7 @@ def cache_split(spark, d):
     return R.cache_split(requests(spark, d), *_cached(spark, d), "key").select("event_id", "source")
 
 
-@register("reassemble", f"with {REQ}, c as (select 'plugin:1:item:' || c_custkey as key, cast(c_nationkey as bigint) as value from customer where c_custkey % 2 = 0) select event_id, value, value is not null as valid from req left join c using (key)")
+@register("reassemble", f"with {REQ}, c as (select 'plugin:1:item:' || c_custkey as key, cast(c_nationkey as bigint) as value from customer where c_custkey % 2 = 0) select event_id, c.value, c.value is not null as valid from req left join c using (key)")
 def reassemble(spark, d):
     unique = _cached(spark, d)[0].select("key", F.col("value").cast("long").alias("value"), F.lit(True).alias("valid"))
     return R.reassemble(requests(spark, d).select("event_id", "key"), unique, "key").select("event_id", "value", "valid")
