@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import string
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecclimb.llm.memo import Memo
 from vecclimb.session import Workspace, ship
 
-#: Entries of a worker's memo of words; a full memo starts anew.
-MEMO = 300_000
+#: Words of either part of a worker's memo.
+MEMO = 400_000
 _LOADED: dict[str, "WordEncoder"] = {}
 
 
@@ -34,7 +37,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {"": b""}
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.memo, self.cores = Memo(MEMO), Memo(MEMO)
 
     @classmethod
     def load(cls, path: str) -> "WordEncoder":
@@ -42,17 +46,20 @@ class WordEncoder:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
     def _packed(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        """ASCII punctuation after a last Latin letter or digit is a word of its own, special tokens apart."""
+        cores = [p.rstrip(string.punctuation) for p in parts]
+        cores = [c if not c or c[-1] < "\u0250" and c[-1].isalnum() and "<|" not in p else p for c, p in zip(cores, parts)]
+        known = self.cores.values({*cores, *(p[len(c) :] for p, c in zip(parts, cores))}, self._encoded)
+        return [known[c] + known[p[len(c) :]] for p, c in zip(parts, cores)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({p for ps in parts for p in ps if p not in self.memo})
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo = {"": b""}
-            fresh = list({p for ps in parts for p in ps if p})
-        self.memo.update(zip(fresh, self._packed(fresh)))
-        return [b"".join(map(self.memo.__getitem__, ps)) for ps in parts]
+        known = self.memo.values(set().union(*parts), self._packed)
+        return [b"".join(map(known.__getitem__, ps)) for ps in parts]
 
 
 def _open(path: str):
