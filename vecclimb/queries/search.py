@@ -13,7 +13,11 @@ from vecclimb.operators import roles
 from vecclimb.plans import search as S
 from vecclimb.queries.standins import LIB, RES, Q, asked, item_results, items, library
 
-ROUNDED = (F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+def rounded() -> tuple:
+    return F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank")
+
+
 
 
 def plain(spark: SparkSession, d: str) -> DataFrame:
@@ -36,12 +40,12 @@ def search_scored_neighbours(spark: SparkSession, d: str) -> DataFrame:
     hits = K.knn(plain(spark, d), library(spark, d))
     texts = items(spark, d).select("item_id", "lang", F.length("item").cast("long").alias("chars"))
     out = R.with_scores(hits.join(texts, "item_id"), item_results(spark, d), ["item_id"])
-    return out.select("query_id", "item_id", ROUNDED[0], ROUNDED[2], "lang", "chars", "score", "valid")
+    return out.select("query_id", "item_id", rounded()[0], rounded()[2], "lang", "chars", "score", "valid")
 
 
 @register("knn_cosine", f"{COSINE} select * from f")
 def knn_cosine(spark, d):
-    return K.knn(plain(spark, d), library(spark, d)).select("query_id", "item_id", *ROUNDED)
+    return K.knn(plain(spark, d), library(spark, d)).select("query_id", "item_id", *rounded())
 
 
 L2 = "list_distance(q.vec, lib.vec)"
@@ -50,7 +54,7 @@ L2 = "list_distance(q.vec, lib.vec)"
 @register("knn_euclid", f"with {Q}, {knn_sql(L2, 'asc', f'1 / (1 + {L2})', L2, 'q.query_id <> lib.item_id')} select * from f")
 def knn_euclid(spark, d):
     hits = K.knn(plain(spark, d), library(spark, d), 11, "euclid").filter("query_id <> item_id")
-    return K.top_k(hits.drop("rank"), ["query_id"], [F.desc("similarity"), F.col("item_id")], 10).select("query_id", "item_id", *ROUNDED)
+    return K.top_k(hits.drop("rank"), ["query_id"], [F.desc("similarity"), F.col("item_id")], 10).select("query_id", "item_id", *rounded())
 
 
 IP = "list_inner_product(q.vec, lib.vec)"
@@ -58,7 +62,7 @@ IP = "list_inner_product(q.vec, lib.vec)"
 
 @register("knn_dot", f"with {Q}, {knn_sql(IP, 'desc', IP, IP)} select * from f")
 def knn_dot(spark, d):
-    return K.knn(plain(spark, d), library(spark, d), 10, "dot").select("query_id", "item_id", *ROUNDED)
+    return K.knn(plain(spark, d), library(spark, d), 10, "dot").select("query_id", "item_id", *rounded())
 
 
 @register("knn_batch", f"{COSINE} select query_id, cast(count(*) as bigint) as n_hits, string_agg(cast(item_id as varchar), ',' order by rank) as hits from f group by query_id")
@@ -69,7 +73,7 @@ def knn_batch(spark, d):
 
 @register("knn_named_vector", f"with {Q}, {knn_sql(COS, 'desc', COS, f'1 - {COS}', 'q.embedding_id = lib.embedding_id')} select * from f")
 def knn_named_vector(spark, d):
-    return K.knn(asked(spark, d), library(spark, d)).select("query_id", "item_id", *ROUNDED)
+    return K.knn(asked(spark, d), library(spark, d)).select("query_id", "item_id", *rounded())
 
 
 @register("knn_missing_vector", f"with {Q} select q.query_id, count(lib.item_id) > 0 as valid, cast(least(count(lib.item_id), 10) as bigint) as n_hits from q left join lib on lib.label = q.query_id // 100 % 14 group by 1")
@@ -82,14 +86,14 @@ def knn_missing_vector(spark, d):
 @register("knn_routed", f"with {Q}, {knn_sql(COS, 'desc', COS, f'1 - {COS}', 'q.embedding_id = lib.embedding_id', 'case when query_id in (select query_id from q where embedding_id = 0) then 3 else 7 end')} select * from f")
 def knn_routed(spark, d):
     config = spark.createDataFrame([(0, 3), (1, 7)], "embedding_id long, k int")
-    return K.knn(asked(spark, d).join(F.broadcast(config), "embedding_id"), library(spark, d)).select("query_id", "item_id", *ROUNDED)
+    return K.knn(asked(spark, d).join(F.broadcast(config), "embedding_id"), library(spark, d)).select("query_id", "item_id", *rounded())
 
 
 @register("knn_approx")
 def knn_approx(spark, d):
     lib = library(spark, d)
     centres = K.train_centres(lib)
-    return K.knn_approx(asked(spark, d), K.cells(lib, centres), centres, probes=12).select("query_id", "item_id", *ROUNDED)
+    return K.knn_approx(asked(spark, d), K.cells(lib, centres), centres, probes=12).select("query_id", "item_id", *rounded())
 
 
 @register("rescale_by_norm", f"with {LIB} select item_id, round(sqrt(list_inner_product(list_transform(vec, lambda x: x * (1 + label)), list_transform(vec, lambda x: x * (1 + label)))), 6) as norm from lib")
