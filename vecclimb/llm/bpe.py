@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -11,12 +12,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from vecclimb.llm import words as W
+from vecclimb.llm.memo import Memo
 from vecclimb.session import ship
 
-#: Entries of each memo; a full memo starts anew.
+#: Entries of each memo.
 MEMO = 400_000
-#: Text bytes of an output batch.
+#: Bytes of an output batch of decoded texts.
 OUT_BYTES = 4 << 20
 _LOADED: dict[tuple[str, str], "BytePairs"] = {}
 
@@ -34,7 +38,7 @@ class BytePairs:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
         self.fits: dict[tuple[int, int], bool] = {}
         self.shorter_of: dict[int, int] = {}
 
@@ -104,70 +108,57 @@ class BytePairs:
                 token = self.shorter(token)
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers."""
-        pieces = self.pieces.findall(text)
-        memo = self.memo
-        out = [memo.get(p) for p in pieces]
-        if None in out:
-            for i, found in enumerate(out):
-                if found is None:
-                    p = pieces[i]
-                    found = memo.get(p)
-                    if found is None:
-                        found = np.array(self.encode_piece(p.encode()), "<i4").tobytes()
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        if len(p) <= 256:
-                            memo[p] = found
-                    out[i] = found
-        return b"".join(out)
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian 32-bit numbers."""
+        pieces = [self.pieces.findall(t) for t in texts]
+        known = self.memo.values(set().union(*pieces), lambda fresh: [array("i", self.encode_piece(p.encode())).tobytes() for p in fresh])
+        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text, each match of pattern by itself, no special tokens.
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., ids array<int>) of every whole text: each match of pattern by itself, no special tokens.
 
     Null and empty texts have no ids. Rows stay as they are: repeated rows are encoded each, null
-    ids are passed on, further columns are ignored, an empty table gives an empty result. A text of
-    any length is one row; memory follows the longest text and OUT_BYTES.
+    ids are passed on, further columns are ignored unless kept, an empty table gives an empty result. A
+    text of any length is one row; memory follows the longest text and a slice of texts.
     """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = BytePairs.load(path, pattern)
         for batch in batches:
-            low, found, size = 0, [], 0
-            for k, text in enumerate(batch.column(1)):
-                found.append(coder.encode(text.as_py() or ""))
-                size += len(found[-1])
-                if size >= OUT_BYTES or k == len(batch) - 1:
-                    ends = np.cumsum([0, *(len(x) >> 2 for x in found)], dtype=np.int64).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(found)), ids], names=["doc_id", "ids"])
-                    low, found, size = k + 1, [], 0
+            _, offsets = W.buffers(batch.column(0))
+            for low, high in W.slices(offsets):
+                part = batch.slice(low, high - low)
+                found = coder.encode_texts([t or "" for t in part.column(0).to_pylist()])
+                ends = np.cumsum([0, *(len(x) >> 2 for x in found)], dtype=np.int64).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], ids], names=[*part.schema.names[1:], "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *keep)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], *StructType.fromDDL("ids array<int>").fields]))
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded binary) of the ids of every row; null ids decode to no bytes."""
+def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., ids, decoded binary) of the ids of every row; null ids decode to no bytes."""
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = BytePairs.load(path, pattern)
         for batch in batches:
             low, out, size = 0, [], 0
-            ids = batch.column(1)
+            ids = batch.column("ids")
             offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
             for k in range(len(batch)):
                 out.append(coder.decode(flat[offsets[k] : offsets[k + 1]]))
                 size += len(out[-1])
                 if size >= OUT_BYTES or k == len(batch) - 1:
                     part = batch.slice(low, len(out))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
                     low, out, size = k + 1, [], 0
 
-    return encoded.select("doc_id", F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    rows = encoded.select("doc_id", *keep, F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("ids"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL("decoded binary").fields]))
