@@ -15,7 +15,7 @@ from vecclimb.llm import words as W
 from vecclimb.llm.samples import held_out, labelled_texts
 from vecclimb.session import ship
 
-#: Words of a bag: a document is cut into bags, and its most toxic bag decides.
+#: Words of a bag: a document is cut into bags, and its most toxic bags decide.
 BAG = 4
 #: A bag of fewer subwords is filled up with neutral ones.
 LEAST = 48
@@ -51,7 +51,7 @@ class Model:
     """
 
     weights: np.ndarray
-    slope: float
+    slopes: np.ndarray
     shift: float
 
 
@@ -103,13 +103,19 @@ def bag_logits(w: W.Words, scores) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat(sums * fresh, starts) / np.maximum(LEAST, np.add.reduceat(counts * fresh, starts)), text
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at starts, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 class _Sample:
     """Bags of the labelled texts, as numbers of distinct words."""
 
     def __init__(self, texts: pa.Array, y: np.ndarray, buckets: int):
         names: dict[int, int] = {}
         spelled: list[str] = []
-        self.words: list[np.ndarray] = []
+        words: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         text_of: list[np.ndarray] = []
         for first, w in W.each(texts, W.ALPHANUMERIC):
             values, at, where = np.unique(w.hashes, return_index=True, return_inverse=True)
@@ -117,27 +123,31 @@ class _Sample:
                 if h not in names:
                     names[h] = len(spelled)
                     spelled.append(w.word(i).decode("utf-8", "replace"))
-            number = np.array([names[h] for h in values.tolist()], np.int64)[where]
+            number = np.array([names[h] for h in values.tolist()], np.int32)[where]
             starts, text = _bags(w)
-            fresh = _fresh(w.hashes, starts) if len(starts) else starts
-            stops = np.append(starts[1:], len(w.hashes))
-            self.words += [number[a:b][fresh[a:b]] for a, b in zip(starts, stops)]
-            text_of.append(first + text)
+            if len(starts):
+                fresh = _fresh(w.hashes, starts)
+                words.append(number[fresh])
+                sizes.append(np.add.reduceat(fresh.astype(np.int64), starts))
+                text_of.append(first + text)
         self.buckets = buckets
+        self.words = np.concatenate([np.zeros(0, np.int32), *words])
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
+        self.at = np.cumsum(self.sizes) - self.sizes
         self.text = np.concatenate([np.zeros(0, np.int64), *text_of])
         self.label = y[self.text]
-        self.keys, self.counts = subwords(spelled, buckets) if spelled else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        ends = np.cumsum(self.counts)
-        self.starts = ends - self.counts
-        self.grams = [self.keys[e - c : e] for e, c in zip(ends, self.counts)]
+        parts = [subwords(spelled[i : i + 20_000], buckets) for i in range(0, len(spelled), 20_000)]
+        self.keys = np.concatenate([np.zeros(0, np.int32), *(k.astype(np.int32) for k, _ in parts)])
+        self.counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def subwords_of(self, words: np.ndarray) -> np.ndarray:
+        return self.keys[_ranges(self.starts[words], self.counts[words])]
 
     def logits(self, weights: np.ndarray) -> np.ndarray:
         """Of all bags, without bias."""
         sums = np.add.reduceat(weights[self.keys].astype(np.float64), self.starts)
-        flat = np.concatenate(self.words)
-        sizes = np.array([len(b) for b in self.words])
-        at = np.cumsum(sizes) - sizes
-        return np.add.reduceat(sums[flat], at) / np.maximum(LEAST, np.add.reduceat(self.counts[flat], at))
+        return np.add.reduceat(sums[self.words], self.at) / np.maximum(LEAST, np.add.reduceat(self.counts[self.words], self.at))
 
     def top(self, value: np.ndarray) -> np.ndarray:
         """The bag of highest value of every text."""
@@ -149,14 +159,13 @@ class _Sample:
         seen = np.zeros((2, self.buckets))
         cuts = np.flatnonzero(np.append(True, self.text[1:] != self.text[:-1]))
         for a, b in zip(cuts, np.append(cuts[1:], len(self.text))):
-            words = np.unique(np.concatenate(self.words[a:b]))
-            seen[self.label[a], np.unique(np.concatenate([self.grams[i] for i in words]))] += 1
+            words = np.unique(self.words[self.at[a] : self.at[b - 1] + self.sizes[b - 1]])
+            seen[self.label[a], np.unique(self.subwords_of(words))] += 1
         texts = np.bincount(self.label[cuts], minlength=2)
         share = seen.sum(axis=0) / texts.sum()
         z = (seen[1] / texts[1] - seen[0] / texts[0]) / np.sqrt((share * (1 - share) + 1e-6) * (1 / texts).sum())
         word = np.add.reduceat(z[self.keys], self.starts) / self.counts
-        sizes = np.array([len(b) for b in self.words])
-        return np.maximum.reduceat(word[np.concatenate(self.words)], np.cumsum(sizes) - sizes)
+        return np.maximum.reduceat(word[self.words], self.at)
 
     def fit(self, chosen: np.ndarray, size: int, rng: np.random.Generator, batch: int = 256) -> np.ndarray:
         """Embeddings and softmax, trained together on the chosen bags by Adagrad: vectors . (w1 - w0)."""
@@ -166,8 +175,9 @@ class _Sample:
         for low in range(0, len(chosen), batch):
             bags = chosen[low : low + batch]
             rate = 0.1 * (1 - 0.9 * low / len(chosen))
-            index = np.concatenate([self.grams[word] for i in bags for word in self.words[i]])
-            counts = np.array([self.counts[self.words[i]].sum() for i in bags])
+            words = self.words[_ranges(self.at[bags], self.sizes[bags])]
+            index = self.subwords_of(words)
+            counts = np.add.reduceat(self.counts[words], np.cumsum(self.sizes[bags]) - self.sizes[bags])
             parts = np.maximum(counts, LEAST)[:, None].astype(np.float32)
             mean = np.add.reduceat(vectors[index], np.cumsum(counts) - counts) / parts
             z = mean @ softmax + bias
@@ -201,7 +211,7 @@ def train(texts: pa.Array, y: np.ndarray, buckets: int = 1 << 17, size: int = 8,
     rng = np.random.Generator(np.random.PCG64(seed))
     sample = _Sample(texts, y, buckets)
     if len(set(sample.label.tolist())) < 2:
-        return Model(np.zeros(buckets, np.float32), 0.0, 20.0 if y.any() else -20.0)
+        return Model(np.zeros(buckets, np.float32), np.zeros(3), 20.0 if y.any() else -20.0)
     half = sample.text % 2
     every = np.ones(len(half), bool)
 
@@ -224,25 +234,37 @@ def train(texts: pa.Array, y: np.ndarray, buckets: int = 1 << 17, size: int = 8,
     for k in (0, 1):
         apart[half == k] = sample.logits(sample.fit(choose(half != k, value, np.inf), size, rng))[half == k]
     weights = sample.fit(choose(every, value, clean_top(value)), size, rng)
-    top = sample.top(apart)
-    return Model(weights, *_calibrated(apart[top], sample.label[top]))
+    numbers, measures = text_measures(apart, sample.text)
+    return Model(weights, *_calibrated(measures, y[numbers]))
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through (x, y), where label 1 has three tenths of the weight."""
-    scale, middle = max(float(x.std()), 1e-9), float(x.mean())
-    u = (x - middle) / scale
+def text_measures(value: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, their measures): the highest bag, the mean of the three highest, and of all.
+
+    text numbers the texts of the bags, ascending. Missing second and third bags count as neutral.
+    """
+    order = np.lexsort((-value, text))
+    value = value[order]
+    cuts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    sizes = np.diff(np.append(cuts, len(text)))
+    place = np.arange(len(text)) - np.repeat(cuts, sizes)
+    three = np.add.reduceat(np.where(place < 3, value, 0), cuts) / 3
+    return text[cuts], np.stack([value[cuts], three, np.add.reduceat(value, cuts) / sizes], axis=1)
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a logistic curve through (x, y), where label 1 has three tenths of the weight."""
+    scale, middle = np.maximum(x.std(axis=0), 1e-9), x.mean(axis=0)
+    u = np.concatenate([(x - middle) / scale, np.ones((len(x), 1))], axis=1)
     weight = np.where(y == 1, 0.3 / max(1, (y == 1).sum()), 0.7 / max(1, (y == 0).sum()))
-    a, b = 1.0, 0.0
-    for _ in range(steps):  # Newton, with a small penalty that keeps separable data finite
-        p = 1 / (1 + np.exp(-np.clip(a * u + b, -30, 30)))
-        g = np.array([(weight * (p - y) * u).sum() + 1e-4 * a, (weight * (p - y)).sum() + 1e-6 * b])
+    penalty = np.array([1e-3] * x.shape[1] + [1e-6])  # keeps separable data finite
+    a = np.zeros(u.shape[1])
+    for _ in range(steps):  # Newton
+        p = 1 / (1 + np.exp(-np.clip(u @ a, -30, 30)))
         v = weight * p * (1 - p)
-        h = np.array([[(v * u * u).sum() + 1e-4, (v * u).sum()], [(v * u).sum(), v.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
-    return a / scale, b - a * middle / scale
+        step = np.linalg.solve((u * v[:, None]).T @ u + np.diag(penalty), u.T @ (weight * (p - y)) + penalty * a)
+        a -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+    return a[:-1] / scale, float(a[-1] - (a[:-1] * middle / scale).sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, most: int = 3000, most_chars: int = 20_000) -> Model:
@@ -254,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, most:
 def score(docs: DataFrame, model: Model, folds: int = 5, fold: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, keep..., held_out, score, predicted) of every whole text, a row for a row.
 
-    score is the probability of the most toxic bag of words after calibration. Null and empty texts and
+    score is a probability by the most toxic bags of words, after calibration. Null and empty texts and
     texts without words score 0. Null ids are passed on, held_out being false; repeated rows are
     scored each; an empty table gives an empty result. Without labels of both kinds every text
     with words scores alike: near 1 if all labels are toxic, else near 0.
@@ -274,9 +296,8 @@ def score(docs: DataFrame, model: Model, folds: int = 5, fold: int = 0, keep: tu
             for first, w in W.each(batch.column(1), W.ALPHANUMERIC):
                 logit, text = bag_logits(w, scores)
                 if len(text):
-                    cuts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-                    z = model.slope * np.maximum.reduceat(logit, cuts) + model.shift
-                    out[first + text[cuts]] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+                    numbers, measures = text_measures(logit, text)
+                    out[first + numbers] = 1 / (1 + np.exp(-np.clip(measures @ model.slopes + model.shift, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out)], names=[*names, "score"])
 
     schema = StructType([*(rows.schema.fields[i] for i in kept), StructField("score", DoubleType())])
