@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from vecclimb.functions.vectors import rescale_by_norm
 from vecclimb.session import ship
@@ -122,8 +123,6 @@ def cells(library: DataFrame, centres: list[list[float]]) -> DataFrame:
             cell = _scores(x, c, "euclid").argmax(axis=1) if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=[*names, "cell"])
 
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
     return library.mapInArrow(run, StructType([*library.schema.fields, StructField("cell", IntegerType())]))
 
 
@@ -139,16 +138,28 @@ def train_centres(library: DataFrame, n: int = 16, most: int = 20_000, rounds: i
     return c.tolist()
 
 
+def probes_of(queries: DataFrame, centres: list[list[float]], probes: int) -> DataFrame:
+    """(query_id, embedding_id, vec): a row for each of the nearest cells of every query."""
+    c = np.array(centres, np.float64)
+    ship(queries.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(batch), -1)
+            near = np.argsort(-_scores(x, c, "euclid"), axis=1, kind="stable")[:, :probes] if len(batch) else np.zeros((0, 1), int)
+            at = np.repeat(np.arange(len(batch)), near.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(near.ravel().astype(np.int64)), batch.column(1).take(pa.array(at))], names=["query_id", "embedding_id", "vec"])
+
+    rows = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null")
+    return rows.mapInArrow(run, "query_id long, embedding_id long, vec array<double>")
+
+
 def knn_approx(queries: DataFrame, indexed: DataFrame, centres: list[list[float]], k: int = 10, probes: int = 4, metric: str = "cosine") -> DataFrame:
     """knn() over the cells nearest to each query only; every library row is in the index.
 
     The cells of a query are rows, so its vector meets just the library rows of these cells.
     """
-    c = np.array(centres, np.float64)
-    rows = queries.select("query_id", "vec").collect()
-    spark = indexed.sparkSession
-    probed = [(r["query_id"], int(cell), [float(v) for v in r["vec"]]) for r in rows for cell in np.argsort(-_scores(np.array([r["vec"]], np.float64), c, "euclid")[0])[:probes]]
-    asked = spark.createDataFrame(probed, "query_id long, embedding_id int, vec array<double>")
-    wanted = sorted({p[1] for p in probed})
-    hits = knn(asked, indexed.filter(F.col("cell").isin(wanted)).drop("embedding_id").withColumnRenamed("cell", "embedding_id"), k, metric)
-    return top_k(hits.drop("rank"), ["query_id"], [F.desc("similarity"), F.col("item_id")], k)
+    asked = probes_of(queries, centres, probes)
+    wanted = [r["embedding_id"] for r in asked.select("embedding_id").distinct().collect()]  # as many as cells at most
+    library = indexed.filter(F.col("cell").isin(wanted)).drop("embedding_id").withColumnRenamed("cell", "embedding_id")
+    return knn(asked, library, k, metric)
