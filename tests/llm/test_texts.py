@@ -33,6 +33,8 @@ def test_byte_bpe(spark):
     rows = ODD + [(100 + i, "".join(rng.choice(["a", "the", " ", "\n", "é", "1", "'s", "\x1c", "ü", "ing", "?", "漢"]) for _ in range(60))) for i in range(200)]
     got = bpe.decode(bpe.encode(frame(spark, rows), RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
     assert pretty((r.doc_id, list(r.ids), bytes(r.decoded)) for r in got) == pretty((i, wanted.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows)
+    once = bpe.encode(frame(spark, rows), RANKS, P.PATTERN, decoded=True).collect()
+    assert pretty((r.doc_id, list(r.ids), bytes(r.decoded)) for r in once) == pretty((r.doc_id, list(r.ids), bytes(r.decoded)) for r in got)
     assert bpe.encode(frame(spark).limit(0), RANKS, P.PATTERN).count() == 0
 
 

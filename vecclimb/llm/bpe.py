@@ -18,8 +18,8 @@ from vecclimb.llm import words as W
 from vecclimb.llm.memo import Memo
 from vecclimb.session import ship
 
-#: Entries of each memo.
-MEMO = 400_000
+#: Pieces of either part of the memo, and known pairs of neighbours.
+MEMO, PAIRS = 250_000, 100_000
 #: Bytes of an output batch of decoded texts.
 OUT_BYTES = 4 << 20
 _LOADED: dict[tuple[str, str], "BytePairs"] = {}
@@ -63,7 +63,7 @@ class BytePairs:
         """Whether merging the bytes of the two tokens gives just these two; left may be -1, for none."""
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) >= MEMO:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             before = [left] if left >= 0 else []
             known = self.fits[left, right] = self.merged(b"".join(self.tokens[t] for t in [*before, right])) == [*before, right]
@@ -118,14 +118,17 @@ class BytePairs:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """(doc_id, keep..., ids array<int>) of every whole text: each match of pattern by itself, no special tokens.
 
+    With decoded, the ids are decoded at once, as decode() does in a pass of its own: decoded binary.
+
     Null and empty texts have no ids. Rows stay as they are: repeated rows are encoded each, null
     ids are passed on, further columns are ignored unless kept, an empty table gives an empty result. A
     text of any length is one row; memory follows the longest text and a slice of texts.
     """
     ship(docs.sparkSession)
+    extra = ["ids", "decoded"] if decoded else ["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = BytePairs.load(path, pattern)
@@ -135,11 +138,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 part = batch.slice(low, high - low)
                 found = coder.encode_texts([t or "" for t in part.column(0).to_pylist()])
                 ends = np.cumsum([0, *(len(x) >> 2 for x in found)], dtype=np.int64).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], ids], names=[*part.schema.names[1:], "ids"])
+                out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))]
+                if decoded:
+                    out.append(pa.array([coder.decode(np.frombuffer(x, "<i4")) for x in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *out], names=[*part.schema.names[1:], *extra])
 
     rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *keep)
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], *StructType.fromDDL("ids array<int>").fields]))
+    fields = StructType.fromDDL("ids array<int>, decoded binary").fields[: len(extra)]
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], *fields]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterable
 
 
 class Memo:
-    """Values by word. Words met in two batches are kept; those met once make room for others."""
+    """Values by word. Words met in two batches are kept, those met once make room for others; when
+    too many are kept, they have to be met again."""
 
     def __init__(self, most: int):
         self.most = most
@@ -27,7 +28,7 @@ class Memo:
             out[word] = value
         new = dict(zip(fresh, compute(fresh)))
         if len(self.kept) > self.most:
-            self.kept.clear()
+            self.young, self.kept = self.kept, {}
         if len(self.young) + len(new) > self.most:
             self.young.clear()
         self.young.update((w, v) for w, v in new.items() if len(w) <= 64)

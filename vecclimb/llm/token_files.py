@@ -20,7 +20,7 @@ from vecclimb.llm.memo import Memo
 from vecclimb.session import Workspace, ship
 
 #: Words of either part of a worker's memo.
-MEMO = 400_000
+MEMO = 250_000
 _LOADED: dict[str, "WordEncoder"] = {}
 
 

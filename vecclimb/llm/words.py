@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
