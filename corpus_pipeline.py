@@ -49,8 +49,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, exact): token ids, and whether decoding them gives the text again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("text",))
-    decoded = bpe.decode(encoded, path, public_tokenizers.PATTERN, keep=("text",))
+    decoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("text",), decoded=True)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("exact"))
 
