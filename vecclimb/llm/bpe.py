@@ -19,7 +19,7 @@ from vecclimb.llm.memo import Memo
 from vecclimb.session import ship
 
 #: Pieces of either part of the memo, and known pairs of neighbours.
-MEMO, PAIRS = 250_000, 100_000
+MEMO, PAIRS = 130_000, 60_000
 #: Bytes of an output batch of decoded texts.
 OUT_BYTES = 4 << 20
 _LOADED: dict[tuple[str, str], "BytePairs"] = {}

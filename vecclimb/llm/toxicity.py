@@ -19,7 +19,7 @@ from vecclimb.session import ship
 BAG = 4
 #: A bag of fewer subwords is filled up with neutral ones.
 LEAST = 48
-MEMO = 150_000
+MEMO = 100_000
 
 
 def subwords(words: list[str], buckets: int, least: int = 3, most: int = 6) -> tuple[np.ndarray, np.ndarray]:
