@@ -13,6 +13,9 @@ from vecclimb.session import Workspace
 #: Rows that one bucket of a ranking holds on average.
 BUCKET_ROWS = 20_000
 
+#: Groups larger than this part of a shard are placed one by one, at most 2 * PLACED * shards of them.
+PLACED = 50
+
 
 def _ranked(rows: DataFrame, keys: list[str], order: list[Column], spread: Column, n: int, name: str) -> DataFrame:
     """rows with `name`: gapless numbers from 0 within keys, in the order of spread and then order.
@@ -29,22 +32,69 @@ def _ranked(rows: DataFrame, keys: list[str], order: list[Column], spread: Colum
     return rows.withColumn("_row", F.row_number().over(inside)).join(offsets, [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_bucket", "_before", "_row")
 
 
-def _unit(*columns: str) -> Column:
+def _unit(*columns: str | Column) -> Column:
     """A hash from 0 up to 1."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / float(1 << 40)
 
 
+def _pieces(groups: list[tuple[int, int]], quota: list[int]) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
+    """((group, from, to, shard, slot of from) of every piece, rows placed in each shard), the largest of (group, rows) first.
+
+    A group goes where it fits closest; one that fits nowhere fills the emptiest shard, and its rest is
+    placed likewise. So it takes as few shards as the room left allows.
+    """
+    room = list(quota)
+    pieces = []
+    for grp, linked in sorted(groups, key=lambda g: (-g[1], g[0])):
+        low = 0
+        while low < linked:
+            fits = [k for k, r in enumerate(room) if r >= linked - low]
+            k = min(fits, key=room.__getitem__) if fits else room.index(max(room))
+            high = low + min(room[k], linked - low)
+            pieces.append((grp, low, high, k, quota[k] - room[k]))
+            room[k] -= high - low
+            low = high
+    return pieces, [q - r for q, r in zip(quota, room)]
+
+
+def _by_shard(rows: DataFrame, key: str, value: str, shards: int) -> list[int]:
+    """The sums of value for every shard, from as many rows as shards."""
+    sums = {r[0]: r[1] for r in rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum(value)).collect()}
+    return [sums.get(k, 0) for k in range(shards)]
+
+
+def _settled(groups: DataFrame, room: list[int], rounds: int, work: Workspace) -> DataFrame:
+    """(grp, linked, home): the shard that each group moves to as a whole, null for a group refused in all rounds."""
+    shards = len(room)
+    state = groups.select("grp", "linked", "wish", F.lit(None).cast("int").alias("home"))
+    for i in range(1, rounds + 1):
+        free = [max(0, r - x) for r, x in zip(room, _by_shard(state, "home", "linked", shards))]
+        if i > 1:  # refused groups are dealt over the shards in proportion to their room
+            ends = F.array(*(F.lit(float(sum(free[: k + 1]))) for k in range(shards)))
+            drawn = F.least(F.size(F.filter(ends, lambda e: e <= _unit("grp", F.lit(i)) * float(sum(free)))), F.lit(shards - 1))
+            state = state.withColumn("wish", F.when(F.col("home").isNull(), drawn).otherwise(F.col("wish")))
+        wanted = _by_shard(state.filter("home is null"), "wish", "linked", shards)
+        if not sum(wanted):
+            break
+        share = F.array(*(F.lit(min(1.0, f / max(1, w))) for f, w in zip(free, wanted)))
+        taken = _unit("grp", "wish", F.lit(-i)) < F.element_at(share, F.col("wish") + 1)
+        state = work.save(state.withColumn("home", F.coalesce("home", F.when(taken, F.col("wish")))), f"settled{i}")
+    return state.select("grp", "linked", "home")
+
+
 def shard(docs: DataFrame, shards: int = 40, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), a row for a row; the law is `rows`.
 
     Shards differ by one document at most. size is the text's UTF-8 bytes and 16, slot is gapless from 0
     within a shard, grown_shard is null under this law.
 
-    Documents start in the shard of a hash of the id. In each round a group of equal texts wants the
-    shard that holds most of it (of equals, the largest by a hash). A shard has a quota of n / shards linked
-    documents, and of those that want in it takes the part that its room is of them, whole groups by hash.
-    A group that would fill more than half a shard stays spread. Then shards above n / shards give up
-    unlinked documents first, and the places of the others are filled with them in the order of groups.
+    Documents start in the shard of a hash of the id. Every group of equal texts moves. Those above a
+    PLACED-th of a shard are placed first, the largest first, whole where one fits and else in ranges that fill
+    shards, so that a group touches no more shards than the room asks for. The others propagate: first a
+    group wants the shard that holds most of it (of equals, the largest by a hash), and where more want in
+    than the room takes, as many as fit come in whole, by a hash; the refused want shards in proportion to the
+    room left. What no round settles lies in one row over the free places, group beside group. Then shards
+    above their quota give up unlinked documents first, and the places of the others are filled with them.
 
     A null text is empty but linked with nothing. Rows that share a doc_id are documents of their own. A
     null id is allowed; further columns are ignored; an empty table gives an empty result.
@@ -64,39 +114,43 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 3, id_col: str = "doc
     n = base.count()
     if not n:
         return base.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    counted = base.groupBy("grp").agg(F.count("*").alias("linked"))
-    groups = counted.filter(f"grp is not null and linked between 2 and {max(2, n // (2 * shards))}")
-    state = base.join(groups, "grp", "left").withColumn("linked", F.coalesce("linked", F.lit(1)))
-    # a document's place in its shard: groups lie together, copies in any order
-    state = state.select("doc_id", "size", "text_crc32", "grp", "linked", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int").alias("shard"))
-    state = work.save(state, "state0")
-    for i in range(1, rounds + 1):
-        parts = state.filter("linked > 1").groupBy("grp", "shard").agg(F.count("*").alias("part"))
-        best = F.max_by("shard", F.struct("part", F.xxhash64("grp", "shard").alias("tie")))
-        wishes = parts.groupBy("grp").agg(best.alias("wish"), F.sum("part").alias("all"), F.max("part").alias("there"))
-        wanted = wishes.groupBy("wish").agg(F.sum(F.col("all") - F.col("there")).alias("wanted"), F.sum("there").alias("held"))  # a row for a shard
-        room = wanted.select("wish", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(n / shards) - F.col("held")) / F.greatest("wanted", F.lit(1)))).alias("share"))
-        moves = wishes.join(F.broadcast(room), "wish").filter(_unit("grp", "wish") < F.col("share")).select("grp", F.col("wish").alias("to"))
-        moved = state.join(moves, "grp", "left").select("doc_id", "size", "text_crc32", "grp", "linked", F.coalesce("to", "shard").alias("shard"))
-        state = work.save(moved, f"state{i}")
-        work.drop(f"state{i - 1}")
+    quota = [n // shards + (k < n % shards) for k in range(shards)]
+    start = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int")
+    parts = base.filter("grp is not null").groupBy("grp", start.alias("shard")).agg(F.count("*").alias("part"))
+    most = F.max_by("shard", F.struct("part", F.xxhash64("grp", "shard").alias("tie")))
+    groups = work.save(parts.groupBy("grp").agg(F.sum("part").alias("linked"), most.alias("wish")).filter("linked > 1"), "groups")
+    propagated = max(1, n // shards) // PLACED
+    pieces, taken = _pieces([(r["grp"], r["linked"]) for r in groups.filter(F.col("linked") > propagated).select("grp", "linked").collect()], quota)
+    room = [q - t for q, t in zip(quota, taken)]
+    settled = _settled(groups.filter(F.col("linked") <= propagated), room, rounds, work)
+
+    # ranges of the large groups have their slots already, from 0 in each shard
+    placed = F.broadcast(spark.createDataFrame(pieces, "grp long, low long, high long, shard int, first long"))
+    large = _ranked(base.join(F.broadcast(placed.select("grp").distinct()), "grp", "left_semi"), ["grp"], [_unit("doc_id", "text_crc32"), F.col("doc_id")], _unit("doc_id", "text_crc32"), n, "nth")
+    inside = (large.grp == placed.grp) & (large.nth >= placed.low) & (large.nth < placed.high)
+    large = large.join(placed, inside).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth") - F.col("low")).alias("slot"))
+
+    others = base.join(F.broadcast(placed.select("grp").distinct()), "grp", "left_anti")
+    others = others.filter("grp is not null").join(settled, "grp", "left").unionByName(others.filter("grp is null"), allowMissingColumns=True)
+    others = others.withColumn("linked", F.coalesce("linked", F.lit(1)))
+    state = work.save(others.select("doc_id", "size", "text_crc32", "grp", "linked", F.when(F.col("linked") > 1, F.col("home")).otherwise(start).alias("shard")), "state")
 
     # linked documents first, a group beside itself; ranges of the hash of the group spread a shard
     group_key = F.when(F.col("linked") > 1, _unit("grp")).otherwise(_unit("doc_id", "text_crc32"))
     spread = F.when(F.col("linked") > 1, group_key / 2).otherwise(0.5 + group_key / 2)
     order = [spread, F.col("grp"), F.col("doc_id"), F.col("text_crc32")]
-    placed = work.save(_ranked(state, ["shard"], order, spread, n // shards, "slot"), "placed")
-    held = {r["shard"]: r["held"] for r in placed.groupBy("shard").agg(F.count("*").alias("held")).collect()}  # as many rows as shards
-    quota = [n // shards + (k < n % shards) for k in range(shards)]
-    lack = [max(0, q - held.get(k, 0)) for k, q in enumerate(quota)]
+    homed = work.save(_ranked(state.filter("shard is not null"), ["shard"], order, spread, n // shards, "slot"), "homed")
+    held = _by_shard(homed.withColumn("one", F.lit(1)), "shard", "one", shards)
+    lack = [max(0, r - h) for r, h in zip(room, held)]
     ends = [sum(lack[: k + 1]) for k in range(shards)]
-    limits = F.array(*map(F.lit, quota))
-    stay = placed.filter(F.col("slot") < F.element_at(limits, F.col("shard") + 1)).select("doc_id", "size", "text_crc32", "shard", "slot")
-    spare = placed.filter(F.col("slot") >= F.element_at(limits, F.col("shard") + 1)).drop("slot").withColumn("all", F.lit(0))
+    limits, offset = F.array(*map(F.lit, room)), F.array(*map(F.lit, taken))
+    stays = F.col("slot") < F.element_at(limits, F.col("shard") + 1)
+    stay = homed.filter(stays).select("doc_id", "size", "text_crc32", "shard", (F.element_at(offset, F.col("shard") + 1) + F.col("slot")).alias("slot"))
+    spare = homed.filter(~stays).drop("slot").unionByName(state.filter("shard is null")).withColumn("all", F.lit(0))
     spare = _ranked(spare, ["all"], order, spread, n, "nth")
     places = F.array(*map(F.lit, ends))
     to = F.size(F.filter(places, lambda e: e <= F.col("nth")))
     begins = F.array(*(F.lit(e - x) for e, x in zip(ends, lack)))
     first_free = F.array(*(F.lit(q - x) for q, x in zip(quota, lack)))
     filled = spare.withColumn("to", to).select("doc_id", "size", "text_crc32", F.col("to").alias("shard"), (F.element_at(first_free, F.col("to") + 1) + F.col("nth") - F.element_at(begins, F.col("to") + 1)).alias("slot"))
-    return stay.unionByName(filled).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return large.unionByName(stay).unionByName(filled).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
