@@ -2,8 +2,11 @@
 
 from collections import defaultdict
 
+import pytest
+
 from tests.llm.test_tables import check_shards
-from vecclimb.llm import sharding
+from vecclimb.llm import sharding, url_filter
+from vecclimb.session import Workspace
 
 
 def shards_of_texts(spark, docs, shards):
@@ -28,3 +31,19 @@ def test_small_groups_are_cut_at_shard_ends_only(spark):
     docs = [(i, f"text {i // 4}") for i in range(3200)]  # nothing is unlinked, 400 a shard: the groups propagate
     found = shards_of_texts(spark, docs, 8)
     assert sum(len(s) - 1 for s in found.values()) <= 2 * 8
+
+
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    """Production defaults: 25 hosts in a row, the last links to a blocked one."""
+    link = lambda h: f"<a href='http://{h}/'>x</a>"
+    rows = [(i, f"http://h{i}.xyz/", link(f"h{i + 1}.xyz")) for i in range(1, 25)] + [(25, "http://h25.xyz/", link("bad.org")), (26, "http://bad.org/es/1", None)]
+    rows += [(31, "http://alone.xyz/", link("alone.xyz"))]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(1, 27)} == {"block"} and got[31] == "allow"
+
+
+def test_ranks_settle_or_raise(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 3), ("b", "b", 1), ("b", "c", 1), ("c", "d", 2)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("a", 2.0)], "host string, weight double")
+    with pytest.raises(RuntimeError):
+        url_filter.personalised_rank(edges, seeds, Workspace(spark, "t"), "r", rounds=3)

@@ -10,6 +10,9 @@ from vecclimb.session import Workspace
 #: (verdict, host, path): a rule fits its host and all subdomains, on paths that start with its path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
+#: Trust and distrust that differ by no more than this part are even; ranks are settled more finely.
+EVEN = 1e-6
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,32 +49,36 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.select("host", F.explode(links).alias("link")).select(F.col("host").alias("src"), target.alias("dst")).filter("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, work: Workspace, name: str, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-9) -> DataFrame:
-    """(host, rank): random walks that restart at the seeds (host, weight), along edges (src, dst, n).
+def personalised_rank(edges: DataFrame, seeds: DataFrame, work: Workspace, name: str, damping: float = 0.85, rounds: int = 1000, tolerance: float = 1e-9) -> DataFrame:
+    """(host, rank) of every host that the seeds reach: random walks that restart at the seeds (host, weight), along edges (src, dst, n).
 
-    The walk's share on hosts without links returns to the seeds. A round is two joins and an aggregate
-    over hosts and edges; its table in the shared folder cuts the lineage. It ends when ranks move
-    by less than tolerance in all, or after `rounds`. Without seeds all ranks are missing.
+    The walk's share on hosts without links returns to the seeds, which only scales the visits of walks that
+    end there; so visits are summed and scaled in the end. Links of a host to itself are summed in closed form.
+    A round is two joins and an aggregate over hosts and edges; its table in the shared folder cuts the
+    lineage. It ends when no host is new and each rank moves by less than tolerance, as a part of itself: from
+    then on no rank ever moves by more than that in a round. RuntimeError if `rounds` do not suffice. Without
+    seeds all ranks are missing.
     """
     total = seeds.agg(F.sum("weight")).first()[0]
-    start = work.save(seeds.select("host", (F.col("weight") / F.lit(float(total or 1))).alias("restart")), f"{name}-seeds")
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
-    shares = work.save(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")), f"{name}-shares")
+    shares = edges.join(out, "src").select("src", "dst", (damping * F.col("n") / F.col("out")).alias("share"))
+    stays = shares.filter("src = dst").select(F.col("dst").alias("host"), (1 / (1 - F.col("share"))).alias("visits"))
+    visits = F.coalesce("visits", F.lit(1.0))
+    start = work.save(seeds.join(stays, "host", "left").select("host", (F.col("weight") / F.lit(float(total or 1)) * visits).alias("restart")), f"{name}-seeds")
+    steps = work.save(shares.filter("src <> dst").withColumnRenamed("dst", "host").join(stays, "host", "left").select("src", F.col("host").alias("dst"), (F.col("share") * visits).alias("share")), f"{name}-shares")
     ranks = start.select("host", F.col("restart").alias("rank"))
+    change = F.when(F.col("old").isNull(), 1.0).when(F.col("rank") > 0, F.abs(F.col("rank") - F.col("old")) / F.col("rank")).otherwise(0.0)
     for i in range(rounds):
-        flow = shares.join(ranks, shares.src == ranks.host).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        new = flow.join(start, flow.dst == start.host, "full").select(F.coalesce("dst", "host").alias("host"), F.coalesce("flow", F.lit(0.0)).alias("flow"), F.coalesce("restart", F.lit(0.0)).alias("restart"))
-        kept = new.join(ranks.withColumnRenamed("rank", "old"), "host", "left")
-        saved = work.save(kept, f"{name}-{i}")
-        flows = saved.agg(F.sum("flow")).first()[0] or 0.0
-        rank = damping * F.col("flow") + (1 - damping * flows) * F.col("restart")
-        moved = saved.agg(F.sum(F.abs(rank - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
-        if i > 1:
-            work.drop(f"{name}-{i - 2}")
-        ranks = saved.select("host", rank.alias("rank"))
-        if moved < tolerance:
-            break
-    return ranks
+        flow = steps.join(ranks, steps.src == ranks.host).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+        new = flow.join(start, flow.dst == start.host, "full").select(F.coalesce("dst", "host").alias("host"), (F.coalesce("flow", F.lit(0.0)) + F.coalesce("restart", F.lit(0.0))).alias("rank"))
+        saved = work.save(new.join(ranks.withColumnRenamed("rank", "old"), "host", "left"), f"{name}-{i}")
+        moved, scale = saved.agg(F.max(change), F.sum("rank")).first()
+        if i:
+            work.drop(f"{name}-{i - 1}")
+        ranks = saved.select("host", "rank")
+        if moved is None or moved < tolerance:
+            return ranks.select("host", (F.col("rank") / F.lit(scale or 1.0)).alias("rank"))
+    raise RuntimeError("ranks did not settle")
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -80,8 +87,8 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, id_col: str = "
     A page that a rule fits has the verdict of the longest. For the others the host decides: pages that
     rules allow or block make their hosts seeds of trust or of distrust, by number. Trust is the
     personalised PageRank from trusted hosts along the links, distrust that from blocked hosts against
-    them. A host is blocked if distrust is more than `threshold` of the two together; a host that
-    neither reaches is allowed.
+    them. A host is blocked if distrust is more than `threshold` of the two together, by more than EVEN of
+    it; a host that only distrust reaches is blocked however far it is, one that neither reaches is allowed.
 
     Null urls and urls without :// have an empty host and path, fit no rule and are allowed; null
     html has no links. Repeated rows are judged each, null ids are passed on, further columns are
@@ -98,6 +105,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, id_col: str = "
     trust = personalised_rank(edges, seeds.filter("by_rule = 'allow'").select("host", "weight"), work, "trust")
     reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = personalised_rank(reverse, seeds.filter("by_rule = 'block'").select("host", "weight"), work, "distrust")
-    hosts = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full").na.fill(0.0, ["trust", "distrust"])
-    blocked = work.save(hosts.filter(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))).select("host", F.lit("block").alias("by_host")), "blocked")
+    hosts = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
+    more = F.when(F.col("trust").isNull(), F.lit(threshold < 1)).otherwise(F.col("distrust") > (1 + EVEN) * threshold * (F.col("trust") + F.col("distrust")))
+    blocked = work.save(hosts.filter(F.col("distrust").isNotNull() & more).select("host", F.lit("block").alias("by_host")), "blocked")
     return judged.drop("html").join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"))
