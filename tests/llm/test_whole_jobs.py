@@ -5,7 +5,8 @@ from collections import defaultdict
 import pytest
 
 from tests.llm.test_tables import check_shards
-from vecclimb.llm import sharding, url_filter
+from tests.llm.test_texts import brute_overlaps, pretty
+from vecclimb.llm import decontaminate, sharding, url_filter
 from vecclimb.session import Workspace
 
 
@@ -47,3 +48,17 @@ def test_ranks_settle_or_raise(spark):
     seeds = spark.createDataFrame([("a", 2.0)], "host string, weight double")
     with pytest.raises(RuntimeError):
         url_filter.personalised_rank(edges, seeds, Workspace(spark, "t"), "r", rounds=3)
+
+
+def test_large_benchmarks_are_joined(spark, monkeypatch):
+    """Beyond most_windows no window is broadcast; hot windows are salted; repeated texts and ids stay."""
+    sent, context = [], type(spark.sparkContext)
+    broadcast = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    monkeypatch.setattr(decontaminate, "HOT", 3)
+    items = [(i, f"benchmark item {i} asks for {i * i} and more words than ten of them") for i in range(40)] + [(99, "common words"), (98, "Common, words"), (None, "no id")]
+    docs = [(i, f"common words {i % 7} | {items[i % 40][1]} common words") for i in range(50)] + [(7, "common words"), (7, "common words"), (None, "no id"), (8, None), (9, ""), (10, "words common")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = decontaminate.find_overlaps(frame, spark.createDataFrame(items, "item_id long, text string"), most_windows=20).collect()
+    assert pretty((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in rows) == pretty(brute_overlaps(docs, items))
+    assert sent and not any(isinstance(value, list) for value in sent)

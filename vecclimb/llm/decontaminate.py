@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vecclimb.llm import words as W
-from vecclimb.session import ship
+from vecclimb.session import Workspace, ship
 
-#: Windows that one broadcast may hold, about 300 bytes each in a worker. More windows are dealt to
-#: several blocks by hash, and the documents pass one block after the other in the same tasks.
-MOST_WINDOWS = 250_000
+#: Windows that may be a broadcast, about 300 bytes each in a worker; so many bytes of words in all, too.
+#: More windows stay in Spark, and what the documents share with them meets them in a join.
+MOST_WINDOWS, MOST_BYTES = 250_000, 64 << 20
 _BITS = 22
+#: Bits of the bitmap in front of the join, 16 MB whatever the number of windows.
+_FRONT = 27
+#: Occurrences of one window that one task of the join takes.
+HOT = 100_000
 
 
 def item_windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -44,7 +48,7 @@ def item_windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_co
 
 
 class _Lookup:
-    """One block of windows: by length a bitmap and sorted hashes, and the items of each window."""
+    """The broadcast windows: by length a bitmap and sorted hashes, and the items of each window."""
 
     def __init__(self, rows: list[tuple[int | None, int, int, bytes]]):
         self.items: dict[bytes, list[int]] = {}
@@ -73,6 +77,53 @@ class _Lookup:
                         yield k, i - int(w.bounds[k]), n, found
 
 
+def _in_front(windows: DataFrame) -> np.ndarray:
+    """The bitmap of the first _FRONT bits of all hashes, eight to a byte, from at most 4,096 rows of 4 KB."""
+    bit = F.shiftrightunsigned("hash", 64 - _FRONT)
+    rows = windows.groupBy(F.floor(bit / 32768).alias("k")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(32768))).alias("bits"))
+    out = np.zeros(1 << (_FRONT - 3), np.uint8)
+    for k, bits in rows.collect():
+        out[k * 4096 : (k + 1) * 4096] = np.frombuffer(bytes(bits), np.uint8)
+    return out
+
+
+def _joined(texts: DataFrame, windows: DataFrame, work: Workspace) -> DataFrame:
+    """(k1, k2, items, spans in words) of the texts (k1, k2, text) with any window, by a join.
+
+    Only runs of words that pass the bitmap are shuffled, those of equal texts once; the words themselves
+    are join keys. Windows that occur more than HOT times are salted.
+    """
+    sizes = sorted(r[0] for r in windows.select("n").distinct().collect())  # the length of an item at most, ten by default
+    front = texts.sparkSession.sparkContext.broadcast(_in_front(windows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, w in W.each(batch.column(2), W.ALPHANUMERIC):
+                for n in sizes:
+                    runs = W.windows(w.hashes, n)
+                    bit = runs >> np.uint64(64 - _FRONT)
+                    at = np.flatnonzero((front.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                    text = np.searchsorted(w.bounds, at, "right") - 1
+                    inside = at + n <= w.bounds[text + 1]
+                    at, text = at[inside], text[inside]
+                    if len(at):
+                        row = pa.array(first + text)
+                        words = pa.array([b" ".join(w.word(j) for j in range(i, i + n)) for i in at.tolist()], pa.binary())
+                        columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array((at - w.bounds[text]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(runs[at].view(np.int64)), words]
+                        yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "start", "n", "hash", "window"])
+
+    seen = work.save(texts.mapInArrow(run, "k1 long, k2 long, start int, n int, hash long, window binary").distinct(), "seen")
+    hot = work.save(seen.groupBy("hash").agg(F.count("*").alias("salts")).filter(F.col("salts") > HOT).withColumn("salts", F.ceil(F.col("salts") / HOT)), "hot")
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = windows.join(F.broadcast(hot), "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    seen = seen.join(F.broadcast(hot), "hash", "left").withColumn("salt", F.pmod(F.xxhash64("k1", "k2"), salts)).drop("salts")
+    key = ["hash", "n", "window", "salt"]
+    hits = work.save(seen.join(dealt.select(*key).distinct(), key, "left_semi"), "hits")
+    spans = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("spans"))
+    named = hits.select("k1", "k2", *key).distinct().join(dealt.filter("item_id is not null"), key).select("k1", "k2", "item_id").distinct()
+    return work.save(spans.join(named.groupBy("k1", "k2").agg(F.collect_list("item_id").alias("items")), ["k1", "k2"], "left"), "found")
+
+
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
@@ -90,8 +141,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, n: int = 10, most_windows:
     counts the document words inside any occurrence of a window of any item, items the items with such
     windows, ascending; spans are the runs of hit words, in code points, end exclusive.
 
-    The windows are a broadcast hash set, checked in size: beyond most_windows they are split by hash
-    into blocks that follow one another in the same narrow stage. Hash hits are verified on words.
+    The windows are counted. Up to most_windows, and MOST_BYTES of words, they are a broadcast hash set;
+    beyond that they are joined with the runs of words that pass a bitmap of fixed size, and neither they
+    nor the documents go through the driver. Hash hits are verified on words.
 
     Null and empty texts have no words; an item without words has no window; the windows of an item
     without id count as hits, but name no item. Repeated rows are judged each, further columns
@@ -99,56 +151,51 @@ def find_overlaps(docs: DataFrame, items: DataFrame, n: int = 10, most_windows:
     """
     spark = docs.sparkSession
     ship(spark)
-    windows = item_windows(items, n, item_id_col, item_text_col).persist()
-    try:
-        blocks = max(1, -(-windows.count() // most_windows))
-        dealt = windows.withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks)))
-        held = [spark.sparkContext.broadcast([tuple(r) for r in dealt.filter(F.col("block") == k).select("item_id", "n", "hash", "window").collect()]) for k in range(blocks)]
-    finally:
-        windows.unpersist()
+    work = Workspace(spark, "overlaps")
+    windows = work.save(item_windows(items, n, item_id_col, item_text_col), "windows")
+    count, size = windows.agg(F.count("*"), F.sum(F.octet_length("window"))).first()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
     names = rows.columns
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    state = rows.withColumn("items", F.expr("cast(array() as array<bigint>)")).withColumn("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
-
-    def step(lookup_rows, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lookup = None
-            for batch in batches:
-                lookup = lookup or _Lookup(lookup_rows.value)
-                found, before = batch.column("items").to_pylist(), batch.column("spans").to_pylist()
-                items_out, spans_out = list(found), list(before)  # until the last block, spans count words
-                words, hits = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-                for first, w in W.each(batch.column(names.index("text")), W.ALPHANUMERIC):
-                    words[first : first + len(w.bounds) - 1] = np.diff(w.bounds)
-                    ranges = {k: [(s["start"], s["end"]) for s in before[first + k]] for k in range(len(w.bounds) - 1) if before[first + k]}
-                    named: dict[int, set[int]] = {k: set(found[first + k]) for k in ranges}
-                    for k, i, size, its in lookup.find(w):
-                        ranges.setdefault(k, []).append((i, i + size))
-                        named.setdefault(k, set()).update(its)
-                    for k, r in ranges.items():
-                        r = _merged(r)
-                        hits[first + k] = sum(b - a for a, b in r)
-                        if last:
-                            low = w.offsets[k]
-                            code_points = np.cumsum((w.data[low : w.offsets[k + 1]] & 0xC0) != 0x80)
-                            start = lambda byte: int(code_points[byte - low] - 1)
-                            r = [(start(w.starts[w.bounds[k] + a]), int(code_points[w.ends[w.bounds[k] + b - 1] - 1 - low])) for a, b in r]
-                        items_out[first + k] = sorted(named[k])
-                        spans_out[first + k] = [{"start": a, "end": b} for a, b in r]
-                columns = [batch.column(i) for i in range(len(names))]
-                if last:
-                    columns += [pa.array(words), pa.array(hits)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(items_out, pa.list_(pa.int64())), pa.array(spans_out, span)], names=[*names, *(["n_words", "n_hit"] if last else []), "items", "spans"])
-
-        return run
-
-    base = state.schema
-    final = StructType(rows.schema.fields + StructType.fromDDL("n_words long, n_hit long, items array<bigint>, spans array<struct<start:int,end:int>>").fields)
-    for k, lookup_rows in enumerate(held):
-        state = state.mapInArrow(step(lookup_rows, k == blocks - 1), final if k == blocks - 1 else base)
-    return state
+    none = {"items": F.expr("cast(array() as array<bigint>)"), "spans": F.expr("cast(array() as array<struct<start:int,end:int>>)")}
+    if count <= most_windows and (size or 0) <= MOST_BYTES:
+        held = spark.sparkContext.broadcast([tuple(r) for r in windows.select("item_id", "n", "hash", "window").collect()])
+        state = rows.withColumns(none)
+    else:
+        held = None
+        keys = {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")}  # two hashes stand for the text
+        found = _joined(rows.select(*(c.alias(k) for k, c in keys.items()), "text"), windows, work)
+        state = rows.withColumns({f"_{k}": c for k, c in keys.items()}).join(found, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
+        state = state.select(*names, *(F.coalesce(k, c).alias(k) for k, c in none.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = None
+        for batch in batches:
+            lookup = lookup or _Lookup(held.value if held else [])
+            found, before = batch.column("items").to_pylist(), batch.column("spans").to_pylist()
+            items_out, spans_out = list(found), list(before)
+            words, hits = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for first, w in W.each(batch.column(names.index("text")), W.ALPHANUMERIC):
+                words[first : first + len(w.bounds) - 1] = np.diff(w.bounds)
+                ranges = {k: [(s["start"], s["end"]) for s in before[first + k]] for k in range(len(w.bounds) - 1) if before[first + k]}
+                named: dict[int, set[int]] = {k: set(found[first + k]) for k in ranges}
+                for k, i, size, its in lookup.find(w):
+                    ranges.setdefault(k, []).append((i, i + size))
+                    named.setdefault(k, set()).update(its)
+                for k, r in ranges.items():
+                    r = _merged(r)
+                    hits[first + k] = sum(b - a for a, b in r)
+                    low = w.offsets[k]
+                    code_points = np.cumsum((w.data[low : w.offsets[k + 1]] & 0xC0) != 0x80)
+                    start = lambda byte: int(code_points[byte - low] - 1)
+                    r = [(start(w.starts[w.bounds[k] + a]), int(code_points[w.ends[w.bounds[k] + b - 1] - 1 - low])) for a, b in r]
+                    items_out[first + k] = sorted(named[k])
+                    spans_out[first + k] = [{"start": a, "end": b} for a, b in r]
+            columns = [batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words), pa.array(hits), pa.array(items_out, pa.list_(pa.int64())), pa.array(spans_out, span)], names=[*names, "n_words", "n_hit", "items", "spans"])
+
+    return state.mapInArrow(run, StructType(rows.schema.fields + StructType.fromDDL("n_words long, n_hit long, items array<bigint>, spans array<struct<start:int,end:int>>").fields))
 
 
 def without_overlaps(found: DataFrame) -> DataFrame:
