@@ -6,8 +6,10 @@ import pytest
 
 from tests.llm.test_tables import check_shards
 from tests.llm.test_texts import brute_overlaps, pretty
+from vecclimb import catalog
 from vecclimb.llm import decontaminate, sharding, url_filter
-from vecclimb.session import Workspace
+from vecclimb.operators import relations
+from vecclimb.session import Workspace, table
 
 
 def shards_of_texts(spark, docs, shards):
@@ -62,3 +64,12 @@ def test_large_benchmarks_are_joined(spark, monkeypatch):
     rows = decontaminate.find_overlaps(frame, spark.createDataFrame(items, "item_id long, text string"), most_windows=20).collect()
     assert pretty((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in rows) == pretty(brute_overlaps(docs, items))
     assert sent and not any(isinstance(value, list) for value in sent)
+
+
+def test_partners_are_counted_over_all_fragments(spark, sf):
+    fragments = spark.createDataFrame([(1, ["a", "b"]), (2, ["c", "d", "c"]), (3, ["a", "c"]), (4, ["c", "a"]), (5, []), (6, None), (7, ["d"])], "id long, marks array<string>")
+    rules = spark.createDataFrame([("a", "c"), ("b", "d"), ("b", "c")], "left_mark string, right_mark string")
+    pairs = {(r.left_id, r.right_id) for r in relations.marked_pairs(fragments, rules).collect()}
+    assert pairs == {(1, 2), (1, 3), (1, 4), (1, 7), (3, 2), (3, 4), (4, 2), (4, 3)}
+    assert {r.id: r.partners for r in relations.marked_partner_counts(fragments, rules).collect()} == {1: 4, 2: 0, 3: 2, 4: 2, 5: 0, 6: 0, 7: 0}
+    assert catalog.queries()["mark_compatibility_counts"](spark, sf).count() == table(spark, sf, "part").count()

@@ -56,6 +56,21 @@ def marked_pairs(fragments: DataFrame, rules: DataFrame) -> DataFrame:
     return left.join(F.broadcast(rules), "left_mark").join(right, "right_mark").filter("left_id <> right_id").select("left_id", "right_id").distinct()
 
 
+def marked_partner_counts(fragments: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, partners): for every fragment, how many right_id it has in marked_pairs(), without making the pairs.
+
+    Fragments (ids are distinct) are counted by their set of marks, and sets meet sets. A set of partners
+    counts once, by however many marks it fits; a fragment is no partner of its own.
+    """
+    kinds = fragments.select("id", F.array_sort(F.array_distinct(F.coalesce("marks", F.array().cast("array<string>")))).alias("marks"))
+    counted = kinds.groupBy("marks").agg(F.count("*").alias("n"))
+    pairs = marked_pairs(counted.select(F.struct("marks", F.lit(0).alias("side")).alias("id"), "marks").unionByName(counted.select(F.struct("marks", F.lit(1).alias("side")).alias("id"), "marks")), rules)
+    fits = pairs.filter("left_id.side = 0 and right_id.side = 1").select(F.col("left_id.marks").alias("left"), F.col("right_id.marks").alias("marks"))
+    own = F.when(F.col("left") == F.col("marks"), 1).otherwise(0)
+    partners = fits.join(counted, "marks").groupBy("left").agg(F.sum(F.col("n") - own).alias("partners")).withColumnRenamed("left", "marks")
+    return kinds.join(partners, "marks", "left").select("id", F.coalesce("partners", F.lit(0)).cast("long").alias("partners"))
+
+
 def zero_filled_counts(rows: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:
     """(kind, n) for every known kind, and the total."""
     counts = rows.groupBy(kind).agg(F.count("*").alias("n"))

@@ -77,6 +77,15 @@ def mark_compatibility_join(spark, d):
     return R.marked_pairs(fragments, rules)
 
 
+@register("mark_compatibility_counts", "with m as (select p_partkey as id, unnest([upper(left(p_name, 1)) || ':' || p_size % 8, upper(left(p_type, 1)) || ':' || p_partkey % 5]) as mark from part), r as (select unnest(['S:1', 'B:2', 'R:3']) as lm, unnest(['P:1', 'L:2', 'M:3']) as rm), n as (select a.id, count(distinct b.id) as partners from m a join r on a.mark = lm join m b on b.mark = rm where a.id <> b.id group by 1) select p_partkey as id, coalesce(partners, 0) as partners from part left join n on n.id = p_partkey")
+def mark_compatibility_counts(spark, d):
+    from vecclimb.functions.scalars import extract_marks
+
+    fragments = _marked(spark, d).select("id", extract_marks(F.col("text")).alias("marks"))
+    rules = spark.createDataFrame([("[S:1]", "[P:1]"), ("[B:2]", "[L:2]"), ("[R:3]", "[M:3]")], "left_mark string, right_mark string")
+    return R.marked_partner_counts(fragments, rules)
+
+
 @register("cache_split", f"with {EXECUTED} select event_id, source from ex")
 def cache_split(spark, d):
     return R.cache_split(requests(spark, d), *_cached(spark, d), "key").select("event_id", "source")
