@@ -103,11 +103,6 @@ def bag_logits(w: W.Words, scores) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat(sums * fresh, starts) / np.maximum(LEAST, np.add.reduceat(counts * fresh, starts)), text
 
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges that begin at starts, one after the other."""
-    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-
-
 class _Sample:
     """Bags of the labelled texts, as numbers of distinct words."""
 
@@ -142,7 +137,7 @@ class _Sample:
         self.starts = np.cumsum(self.counts) - self.counts
 
     def subwords_of(self, words: np.ndarray) -> np.ndarray:
-        return self.keys[_ranges(self.starts[words], self.counts[words])]
+        return self.keys[W.ranges(self.starts[words], self.counts[words])]
 
     def logits(self, weights: np.ndarray) -> np.ndarray:
         """Of all bags, without bias."""
@@ -175,7 +170,7 @@ class _Sample:
         for low in range(0, len(chosen), batch):
             bags = chosen[low : low + batch]
             rate = 0.1 * (1 - 0.9 * low / len(chosen))
-            words = self.words[_ranges(self.at[bags], self.sizes[bags])]
+            words = self.words[W.ranges(self.at[bags], self.sizes[bags])]
             index = self.subwords_of(words)
             counts = np.add.reduceat(self.counts[words], np.cumsum(self.sizes[bags]) - self.sizes[bags])
             parts = np.maximum(counts, LEAST)[:, None].astype(np.float32)

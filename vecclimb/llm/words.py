@@ -75,11 +75,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about SLICE_BYTES; a longer text is a range of its own."""
+def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about size bytes; a longer text is a range of its own."""
     low, n = 0, len(offsets) - 1
     while low < n:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1)
         yield low, min(high, n)
         low = min(high, n)
 
@@ -125,3 +125,47 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + len(out)]
     return mix(out)
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at starts, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def cuts_before_words(data: np.ndarray) -> np.ndarray:
+    """Places of blanks between two characters that are surely no white space.
+
+    Bytes that begin a character which may be Unicode white space count as if they did.
+    """
+    plain = (data > 32) & (data < 127) | (data >= 0xC3) & ~((data >= 0xE1) & (data <= 0xE3))
+    at = np.flatnonzero(data[1:-1] == 32) + 1
+    before = np.where(data[at - 1] < 128, plain[at - 1], (data[at - 2] != 0xC2) & ((at < 3) | (data[at - 3] < 0xE1) | (data[at - 3] > 0xE3)))
+    return at[before & plain[at + 1]]
+
+
+@dataclass
+class Parts:
+    """Parts of consecutive texts: text k has the parts bounds[k]..bounds[k+1], by their numbers in distinct."""
+
+    distinct: list[str]
+    numbers: np.ndarray
+    bounds: np.ndarray
+
+    def joined(self, values: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """(values of all parts, one after the other; their places at the bounds), for the value of each distinct part."""
+        counts = np.array([len(v) for v in values], np.int64) // np.dtype(kind).itemsize
+        starts, counts = (np.cumsum(counts) - counts)[self.numbers], counts[self.numbers]
+        flat = np.frombuffer(b"".join(values), kind)
+        return flat[ranges(starts, counts)], np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])[self.bounds]
+
+
+def parts(data: np.ndarray, offsets: np.ndarray, cuts) -> Parts:
+    """The texts that offsets bounds in data, cut before the places that cuts(data) gives; equal parts have one number."""
+    data = np.ascontiguousarray(data[offsets[0] : offsets[-1]])
+    offsets = offsets - offsets[0]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    edge[cuts(data)] = True
+    at = np.flatnonzero(edge)
+    held = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
+    return Parts(held.dictionary.to_pylist(), held.indices.to_numpy(), np.searchsorted(at, offsets))
