@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers as P
 import tiktoken
@@ -39,11 +40,31 @@ def test_byte_bpe(spark):
 
 
 def test_backtracking_equals_merges():
-    coder, rng = bpe.BytePairs.load(RANKS, P.PATTERN), random.Random(1)
+    coder, rng = bpe.BytePairs.load(RANKS, P.PATTERN, bpe.classes_unlike(P.PATTERN)), random.Random(1)
     tokens = [t for t in coder.ranks if len(t) > 1]
-    for _ in range(300):
-        data = b"".join(rng.choice(tokens) for _ in range(4))
-        assert coder.encode_piece(data) == ([coder.ranks[data]] if data in coder.ranks else coder.merged(data))
+    pieces = [b"".join(rng.choice(tokens) for _ in range(4)) for _ in range(300)] + [b"a" * n for n in range(1, 40)] + [bytes(rng.choice(b"aab e") for _ in range(30)) for _ in range(300)] + [b""]
+    wanted = [([coder.ranks[p]] if p in coder.ranks else coder.merged(p)) for p in pieces]
+    found, counts = coder.encode_pieces(pieces)
+    assert found.tolist() == [t for x in wanted for t in x] and counts == [len(x) for x in wanted]
+    for data in rng.sample(tokens, 300):  # a token is what its two halves merge to
+        token = coder.ranks[data]
+        assert (coder.left[token] >= 0) == (coder.merged(data) == [token])
+        assert coder.left[token] < 0 or coder.tokens[coder.left[token]] + coder.tokens[coder.right[token]] == data
+
+
+def test_bytes_of_any_text_are_split_as_by_tiktoken():
+    """Code points whose class depends on the Unicode version included."""
+    coder = bpe.BytePairs.load(RANKS, P.PATTERN, bpe.classes_unlike(P.PATTERN))
+    wanted = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    rng = random.Random(9)
+    odd = [chr(a) for ranges in bpe.classes_unlike(P.PATTERN).values() for a, _ in ranges]
+    char = lambda: rng.choice([rng.choice("ab 1'\n,"), chr(rng.randrange(0x20, 0x250)), chr(rng.randrange(0xE000, 0x110000)), chr(rng.randrange(0xD800)), rng.choice(odd or ["x"])])
+    texts = ["\U000190a4\ubb82", *("".join(char() for _ in range(rng.randrange(1, 12))) for _ in range(20_000))]
+    texts += ["".join(rng.choice(["ab", " ", " ", "1", "'s", ",", "\t", "\n", "\x85", "\xa0", "\u1680", "\u2028", "\u3000", "é", "\u0301", "Â", "\U0001f642"]) for _ in range(rng.randrange(0, 30))) for _ in range(20_000)]
+    ids, bounds = coder.encode_texts(*words.buffers(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [wanted.encode_ordinary(t) for t in texts]
+    data, places = coder.decode(ids, bounds)
+    assert [data[a:b].tobytes().decode() for a, b in zip(places, places[1:])] == texts
 
 
 BASE = {"assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 12), "access": (r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 18), "hex": (r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 16)}
@@ -122,25 +143,45 @@ def test_decontaminate(spark, most):
 def test_token_files(spark):
     path = P.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    rows = [r for r in ODD if r[0] != 7] + [(1000 - i, f"Document {i}: Hello, WORLD!! ½ it's {i * 7919}") for i in range(300)]
-    manifest = token_files.write_token_files(frame(spark, rows), path, 2, length=64, batch_rows=4)
+    rows = [*ODD, (7, "another text of the same id"), (7, "a third"), *((1000 - i, f"Document {i}: Hello, WORLD!! ½ it's {i * 7919}") for i in range(300))]
+    manifest = token_files.write_token_files(frame(spark, rows), path, 2, length=64, batch_rows=4, file_ids=3000)
     got = sorted(map(tuple, token_files.read_token_files(manifest).collect()), key=lambda r: r[1])
     at, wanted, stream = 0, [], []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+    order = {t: h for t, h in spark.createDataFrame(rows, "id long, text string").selectExpr("text", "xxhash64(text)").collect()}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0], order[r[1]])):  # repeated ids by a hash of the text
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         wanted.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         stream += ids
         at += len(ids)
     assert got == wanted
-    first = token_files.StreamFile(sorted(manifest.collect(), key=lambda r: r["start"])[0]["file"])
+    files = sorted(manifest.collect(), key=lambda r: r["start"])
+    assert len({r["file"] for r in files}) >= at // 12_000  # 3,000 ids and a text of up to 10,000 each
+    first = token_files.StreamFile(files[0]["file"])
     ids, mask = first.sequence(0)
     assert ids.tolist() == stream[:64] and mask.all() and len(first.sequence(len(first) - 1)[0]) == 64
     assert token_files.write_token_files(frame(spark).limit(0), path, 2).count() == 0
 
 
-def test_words_are_those_of_a_regex():
-    import pyarrow as pa
+def test_words_are_encoded_as_in_whole_texts():
+    path = P.path("word_bpe_49k.json")
+    coder, tokenizer = token_files.WordEncoder.load(path), Tokenizer.from_file(path)
+    rng = random.Random(6)
+    bits = ["a", "Ab", "İ", "I", "Σ", "s", "e\u0301", "\u0301", "\u0338", "=", "<", "'", "'s", "!", ".", "½", "²", "9", " ", " ", "\n", "\t", "\r\n", "\u3000", "\x85", "<|endoftext|>", "<|", "漢", "\U0001f642", "\x1c", "ﬁ", "\u212b", "_", "\u0130'"]
+    texts = ["İ!", "İ'", "½ ½", "", *("".join(rng.choice(bits) for _ in range(rng.randrange(1, 15))) for _ in range(8000))]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x20, 0x400), rng.randrange(0xD800), rng.randrange(0xE000, 0x110000), 32])) for _ in range(rng.randrange(1, 12))) for _ in range(12_000)]
+    ids, bounds = coder.encode_texts(*words.buffers(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
 
+def test_other_tokenizers_take_whole_texts():
+    path = P.path("byte_bpe_50k.json")
+    coder, tokenizer = token_files.WordEncoder.load(path), Tokenizer.from_file(path)
+    texts = ["two words  here", " x\ny", ""]
+    ids, bounds = coder.encode_texts(*words.buffers(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_those_of_a_regex():
     texts = ["Ab c,d é1", None, "", "  x ", "漢字 a-b_c"] * 3
     for table, pattern in ((words.ALPHANUMERIC, WORD), (words.NOT_SPACE, re.compile(rb"[^\x20\x09-\x0D]+"))):
         got = [[w.word(i) for i in range(w.bounds[k], w.bounds[k + 1])] for _, w in words.each(pa.array(texts), table) for k in range(len(w.bounds) - 1)]

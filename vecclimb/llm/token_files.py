@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
-import string
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,29 +15,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecclimb.llm import words as W
 from vecclimb.llm.memo import Memo
 from vecclimb.session import Workspace, ship
 
-#: Words of either part of a worker's memo.
-MEMO = 250_000
+#: Parts of texts in either half of a worker's memo, parts that the tokenizer takes at once, and bytes of a slice of texts.
+MEMO, AT_ONCE, SLICE_BYTES = 250_000, 256, 4 << 20
 _LOADED: dict[str, "WordEncoder"] = {}
 
 
-class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space and never joins across it.
+def _parts_at_blanks(config: dict) -> bool:
+    """Whether a tokenizer file drops white space, never joins across it, and looks at no characters beyond it.
 
-    Such a tokenizer gives for a text the ids of its blank-separated parts, one after the other;
-    parts come back often, so the ids of each are kept.
+    Of normalisers, composition, blanks for white space and lower case of single characters act within words.
     """
+    steps = (config.get("normalizer") or {}).get("normalizers", [])
+    within = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in steps)
+    split, *rest = (config.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    kinds = split.get("pattern", {}).get("Regex", " ").split("|")
+    words = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and all(k in (r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+") or k.isascii() and k[0] == "'" and k[1:].isalpha() for k in kinds)
+    alone = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in config.get("added_tokens", []))
+    return bool(steps and within and words and alone and all(r["type"] == "ByteLevel" and not r["add_prefix_space"] and not r["use_regex"] for r in rest))
+
+
+class WordEncoder:
+    """Ids of whole texts. Where a tokenizer never joins across blanks, the ids of a text are those of its
+    parts between blanks, one after the other; equal parts are encoded once and kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_parts = _parts_at_blanks(json.load(f))
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.code = "H" if self.kind == "<u2" else "I"
-        self.memo, self.cores = Memo(MEMO), Memo(MEMO)
+        self.memo = Memo(MEMO)
+        # a number is a word of its own, so a number of one id parts the words that the tokenizer takes at once
+        single = [(c, self.tokenizer.encode(c, add_special_tokens=False).ids) for c in "\u00be\u00bc\u00b3\u00b9\u00b2\u00bd"]
+        self.gap, self.gap_id = next(((c, ids[0]) for c, ids in single if len(ids) == 1), (None, -1)) if self.by_parts else (None, -1)
 
     @classmethod
     def load(cls, path: str) -> "WordEncoder":
@@ -46,20 +61,29 @@ class WordEncoder:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def _encoded(self, parts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _packed(self, parts: list[str]) -> list[bytes]:
-        """ASCII punctuation after a last Latin letter or digit is a word of its own, special tokens apart."""
-        cores = [p.rstrip(string.punctuation) for p in parts]
-        cores = [c if not c or c[-1] < "\u0250" and c[-1].isalnum() and "<|" not in p else p for c, p in zip(cores, parts)]
-        known = self.cores.values({*cores, *(p[len(c) :] for p, c in zip(parts, cores))}, self._encoded)
-        return [known[c] + known[p[len(c) :]] for p, c in zip(parts, cores)]
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.memo.values(set().union(*parts), self._packed)
-        return [b"".join(map(known.__getitem__, ps)) for ps in parts]
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part; AT_ONCE parts make one text, so that a word does not cost a call."""
+        alone = [i for i, p in enumerate(parts) if self.gap is None or self.gap in p]
+        out = dict(zip(alone, (x.tobytes() for x in self._each([parts[i] for i in alone]))))
+        rest = [i for i in range(len(parts)) if i not in out]
+        groups = [rest[i : i + AT_ONCE] for i in range(0, len(rest), AT_ONCE)]
+        for group, ids in zip(groups, self._each([f" {self.gap} ".join(parts[i].strip(" \n") for i in g) for g in groups])):
+            ends = np.append(np.flatnonzero(ids == self.gap_id), len(ids)).tolist()
+            data, width, low = ids.tobytes(), ids.itemsize, 0
+            for i, end in zip(group, ends):
+                out[i] = data[low * width : end * width]
+                low = end + 1
+        return [out[i] for i in range(len(parts))]
+
+    def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts that offsets bounds in data, one after the other; their places at the bounds)."""
+        cuts = (lambda d: np.flatnonzero((d == 32) | (d == 10))) if self.by_parts else (lambda d: np.zeros(0, np.int64))
+        parts = W.parts(data, offsets, cuts)
+        known = self.memo.values(parts.distinct, self._encoded)
+        return parts.joined([known[p] for p in parts.distinct], self.kind)
 
 
 def _open(path: str):
@@ -97,18 +121,20 @@ class StreamFile:
         return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, np.uint16), *out])
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int, length: int = 2048, batch_rows: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, end_id: int, length: int = 2048, batch_rows: int = 64, file_ids: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of every document, and return (doc_id, file, part, at, start, n_tokens), a row for a row.
 
     Ids are those of the tokenizer file at path, without special tokens, then end_id, in ascending
-    order of doc_id (null first). Each range of documents is one Arrow stream file: record batches of
-    batch_rows rows (ids: fixed_size_list[length], mask: the same of bool, false for what pads the last
-    row). at is the position in the file's stream, start that in the stream of all files by part.
+    order of doc_id (null first; rows that share one by a hash of the text, so that ranges may part them too).
+    A range of documents is one or more Arrow stream files: record batches of batch_rows rows (ids:
+    fixed_size_list[length], mask: the same of bool, false for what pads the last row). A file ends with the
+    document that brings it to file_ids ids. at is the position in the file's stream, start that in the
+    stream of all files by part.
 
     Files go to the shared folder under names that no other attempt of a task uses, and count only
     once the task's rows are committed, so that lost executors leave no half-read file. Null and
-    empty texts are the end id alone. Rows that share a doc_id are all written, in any order
-    among them; an empty table gives no rows. Memory follows a batch and the longest text.
+    empty texts are the end id alone. Repeated rows are all written; an empty table gives no rows. Memory
+    follows a slice of texts, a batch of ids and the longest text.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -118,59 +144,78 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, length: int = 204
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordEncoder.load(path)
-        end = np.array([end_id], coder.kind).tobytes()
         kind = pa.uint16() if coder.kind == "<u2" else pa.uint32()
-        width = np.dtype(coder.kind).itemsize
         schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
-        part = TaskContext.get().partitionId()
-        fs, name = pyarrow.fs.FileSystem.from_uri(f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:12]}.arrow")
-        fs.create_dir(os.path.dirname(name), recursive=True)
-        writer, at = None, 0
-        buffer = bytearray()
-        full = batch_rows * length * width
-
-        def put(data: bytes, n: int) -> None:
-            rows = -(-n // length)
-            ids = np.zeros(rows * length, coder.kind)
-            ids[:n] = np.frombuffer(data, coder.kind)
-            mask = np.zeros(rows * length, bool)
-            mask[:n] = True
-            writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema))
-
-        stream = None
+        full = batch_rows * length
+        file, files = None, 0
         for batch in batches:
-            if not len(batch):
-                continue
-            if writer is None:
-                stream = fs.open_output_stream(name)
-                writer = pa.ipc.new_stream(stream, schema)
-            counts = []
-            for low in range(0, len(batch), 256):
-                texts = [t or "" for t in batch.column(1).slice(low, 256).to_pylist()]
-                for data in coder.encode(texts):
-                    buffer += data
-                    buffer += end
-                    counts.append(len(data) // width + 1)
-                    while len(buffer) >= full:
-                        put(bytes(buffer[:full]), full // width)
-                        del buffer[:full]
-            counts = np.array(counts, np.int64)
-            places = at + np.cumsum(counts) - counts
-            at += int(counts.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"{folder}/{os.path.basename(name)}"] * len(batch)), pa.array([part] * len(batch), pa.int32()), pa.array(places), pa.array(counts)], names=["doc_id", "file", "part", "at", "n_tokens"])
-        if writer is not None:
-            if buffer:
-                put(bytes(buffer), len(buffer) // width)
-            writer.close()
-            stream.close()
+            data, offsets = W.buffers(batch.column(1))
+            for low, high in W.slices(offsets, SLICE_BYTES):
+                ids, bounds = coder.encode_texts(data, offsets[low : high + 1])
+                ids = np.insert(ids, bounds[1:], end_id)
+                bounds = bounds + np.arange(len(bounds))
+                first = 0
+                while first < high - low:
+                    if file is None:
+                        file = _Writer(folder, (TaskContext.get().partitionId() << 32) + files, schema, coder.kind, full)
+                        files += 1
+                    # to the document that fills the file
+                    last = min(high - low, int(np.searchsorted(bounds, bounds[first] + file_ids - file.at)))
+                    last = max(last, first + 1)
+                    n = last - first
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(low + first, n), pa.array([file.path] * n), pa.array(np.full(n, file.part)), pa.array(file.at + bounds[first:last] - bounds[first]), pa.array(np.diff(bounds[first : last + 1]))],
+                        names=["doc_id", "file", "part", "at", "n_tokens"],
+                    )
+                    file.put(ids[bounds[first] : bounds[last]])
+                    if file.at >= file_ids:
+                        file.close()
+                        file = None
+                    first = last
+        if file is not None:
+            file.close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    written = work.save(ordered.mapInArrow(run, "doc_id long, file string, part int, at long, n_tokens long"), "manifest")
-    # one row a file: a window over them all stays small
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    written = work.save(ordered.mapInArrow(run, "doc_id long, file string, part long, at long, n_tokens long"), "manifest")
+    # one row a file, of file_ids ids or a range's rest: the window over them all stays small
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = written.groupBy("part").agg(F.sum("n_tokens").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return written.join(F.broadcast(totals), "part").select("doc_id", "file", "part", "at", (F.col("base") + F.col("at")).alias("start"), "n_tokens")
+    return written.join(totals, "part").select("doc_id", "file", "part", "at", (F.col("base") + F.col("at")).alias("start"), "n_tokens")
+
+
+class _Writer:
+    """A file of write_token_files() while it is written."""
+
+    def __init__(self, folder: str, part: int, schema: pa.Schema, kind: str, full: int):
+        self.path, self.part, self.schema, self.full = f"{folder}/part-{part:016x}-{uuid.uuid4().hex[:12]}.arrow", part, schema, full
+        fs, name = pyarrow.fs.FileSystem.from_uri(self.path)
+        fs.create_dir(os.path.dirname(name), recursive=True)
+        self.stream = fs.open_output_stream(name)
+        self.writer = pa.ipc.new_stream(self.stream, schema)
+        self.rest, self.at = np.zeros(0, kind), 0
+
+    def put(self, ids: np.ndarray) -> None:
+        self.at += len(ids)
+        self.rest = np.concatenate([self.rest, ids])
+        whole = len(self.rest) // self.full * self.full
+        for low in range(0, whole, self.full):
+            self._batch(self.rest[low : low + self.full])
+        self.rest = self.rest[whole:]
+
+    def _batch(self, ids: np.ndarray) -> None:
+        length = self.schema.field("ids").type.list_size
+        size = -(-len(ids) // length) * length
+        mask = np.arange(size) < len(ids)
+        padded = np.concatenate([ids, np.zeros(size - len(ids), ids.dtype)])
+        self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(padded), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=self.schema))
+
+    def close(self) -> None:
+        if len(self.rest):
+            self._batch(self.rest)
+        self.writer.close()
+        self.stream.close()
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
