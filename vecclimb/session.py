@@ -62,7 +62,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and return what was written."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
