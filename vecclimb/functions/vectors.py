@@ -32,8 +32,8 @@ def step(e: Column, gradient: Column, rate: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    """The unit vector; a zero vector stays as it is."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x / norm(a))).otherwise(a)
+    """The unit vector; a zero vector stays as it is. The norm is one element of an array, not one an element."""
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)), 1)
 
 
 def rescale_by_norm(unit: Column, stored: Column) -> Column:

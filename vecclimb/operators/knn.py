@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from vecclimb.functions.vectors import rescale_by_norm
-from vecclimb.session import ship
+from vecclimb.session import Workspace, ship
 
 #: Query vectors that one broadcast may hold; more are dealt to blocks, each with a pass of its own.
 MOST_QUERIES = 16_384
@@ -29,31 +29,78 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return q @ x.T
 
 
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat values, first value, length) of a list column; -1 for vectors that are null or hold nulls."""
+    ends = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.slice(ends[0], ends[-1] - ends[0])
+    starts, size = ends[:-1] - ends[0], np.diff(ends)
+    size[column.is_null().to_numpy(zero_copy_only=False)] = -1
+    if values.null_count:
+        nulls = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+        size[nulls[starts + np.maximum(size, 0)] > nulls[starts]] = -1
+        values = values.fill_null(0.0)
+    return values.to_numpy(zero_copy_only=False), starts, size
+
+
+class _Best:
+    """The k best of each query among all that a task has seen, ties by the lesser id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: np.ndarray):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.least = np.full(len(ids), -np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, x: np.ndarray, items: np.ndarray, metric: str) -> None:
+        for low in range(0, len(self.ids), 256):
+            scores = _scores(self.vectors[low : low + 256], x, metric)
+            query, item = np.nonzero((scores >= self.least[low : low + 256, None]) & np.isfinite(scores))
+            self.found.append((query + low, items[item], scores[query, item]))
+            self.held += len(query)
+        if self.held > 4 * int(self.k.sum()) + 65_536:
+            self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, item, score = (np.concatenate(c) for c in zip(*self.found)) if self.found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((item, -score, query))
+        query, item, score = query[order], item[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k[query] - 1
+        self.least[query[last]] = score[last]
+        keep = place < self.k[query]
+        self.found, self.held = [(query[keep], item[keep], score[keep])], int(keep.sum())
+        return self.found[0]
+
+
 def _pass(library: DataFrame, held, metric: str) -> DataFrame:
-    """For every Arrow batch the k best of each query, with all ties of the last."""
+    """For every task the k best of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_kind: dict[tuple, list] = {}
-        for qid, kind, vec, k in held.value:
-            by_kind.setdefault((kind, len(vec)), []).append((qid, vec, k))
-        packed = {key: ([r[0] for r in rows], np.array([r[1] for r in rows], np.float64), [r[2] for r in rows]) for key, rows in by_kind.items()}
+        ids, kinds, ks, flat, starts, sizes = held.value
+        best = {}
+        for kind, size in {*zip(kinds.tolist(), sizes.tolist())}:
+            at = np.flatnonzero((kinds == kind) & (sizes == size))
+            if size >= 0:
+                best[kind, size] = _Best(ids[at], flat[starts[at][:, None] + np.arange(size)], ks[at])
         for batch in batches:
-            ids, kinds, vectors = (batch.column(i).to_pylist() for i in range(3))
-            out: list[tuple] = []
-            for (kind, size), (qids, q, ks) in packed.items():
-                at = [i for i, v in enumerate(vectors) if kinds[i] == kind and v is not None and len(v) == size and None not in v]
-                if not at:
-                    continue
-                x = np.array([vectors[i] for i in at], np.float64)
-                for low in range(0, len(qids), 256):
-                    scores = _scores(q[low : low + 256], x, metric)
-                    scores[np.isnan(scores)] = -np.inf
-                    for row, qid, k in zip(scores, qids[low : low + 256], ks[low : low + 256]):
-                        least = np.partition(row, len(row) - k)[len(row) - k] if k < len(row) else -np.inf
-                        out += [(qid, ids[at[j]], float(row[j])) for j in np.flatnonzero((row >= least) & np.isfinite(row))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "item_id", "score"])
-
-    return library.mapInArrow(run, "query_id long, item_id long, score double")
+            items, of = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).fill_null(-(1 << 62)).to_numpy()
+            values, first, length = _vectors(batch.column(2))
+            for (kind, size), queries in best.items():
+                at = np.flatnonzero((of == kind) & (length == size))
+                if len(at):
+                    queries.add(values[first[at][:, None] + np.arange(size)], items[at], metric)
+        for queries in best.values():
+            query, item, score = queries.shrink()
+            yield pa.RecordBatch.from_arrays([pa.array(queries.ids[query]), pa.array(item.astype(np.int64)), pa.array(score)], names=["query_id", "item_id", "score"])
+
+    return library.filter("item_id is not null").mapInArrow(run, "query_id long, item_id long, score double")
+
+
+def _sent(part: DataFrame):
+    """A block of queries as flat arrays, broadcast."""
+    got = part.toArrow()
+    flat, starts, sizes = _vectors(got.column("vec").combine_chunks()) if got.num_rows else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return part.sparkSession.sparkContext.broadcast((*(got.column(c).to_numpy() for c in ("query_id", "kind", "k")), flat, starts, sizes))
 
 
 def knn(queries: DataFrame, library: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
@@ -64,8 +111,9 @@ def knn(queries: DataFrame, library: DataFrame, k: int = 10, metric: str = "cosi
     ties by item_id. distance is 1 - similarity for cosine, the distance for euclid, and the
     product itself for dot, which like similarity is larger for nearer items.
 
-    The library is never shuffled: each batch yields at most k candidates a query (and ties), which
-    meet by query. Queries are counted; those beyond MOST_QUERIES take further passes.
+    The library is never shuffled: each task yields at most k candidates a query, which meet by query.
+    Queries are counted. Up to MOST_QUERIES are one broadcast; more go in blocks, of which each is sent, passed
+    over the library, written and released before the next, so that the driver never holds more than a block.
     Vectors that are null or hold nulls, and cosines with zero vectors, are not found.
     """
     if metric not in METRICS:
@@ -74,14 +122,21 @@ def knn(queries: DataFrame, library: DataFrame, k: int = 10, metric: str = "cosi
     ship(spark)
     named, routed = "embedding_id" in queries.columns, "k" in queries.columns
     asked = queries.select(F.col("query_id").cast("long"), (F.col("embedding_id").cast("long") if named else F.lit(0).cast("long")).alias("kind"), F.col("vec").cast("array<double>").alias("vec"), (F.col("k") if routed else F.lit(k)).cast("int").alias("k")).filter("vec is not null")
+    if named:
+        asked = asked.filter("kind is not null")
     blocks = max(1, -(-asked.count() // MOST_QUERIES))
     rows = library.select(F.col("item_id").cast("long"), (F.col("embedding_id").cast("long") if named else F.lit(0).cast("long")).alias("kind"), F.col("vec").cast("array<double>").alias("vec"))
-    passes = []
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        held = spark.sparkContext.broadcast([(r["query_id"], r["kind"], list(r["vec"]), r["k"]) for r in part.collect()])
-        passes.append(_pass(rows, held, metric))
-    best = top_k(reduce(DataFrame.unionByName, passes), ["query_id"], [F.desc("score"), F.col("item_id")], k=None if routed else k)
+    if blocks == 1:
+        found = _pass(rows, _sent(asked), metric)
+    else:
+        work, passes = Workspace(spark, "knn"), []
+        asked = work.save(asked, "asked")
+        for b in range(blocks):
+            sent = _sent(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+            passes.append(work.save(_pass(rows, sent, metric), f"block{b}"))
+            sent.unpersist()
+        found = reduce(DataFrame.unionByName, passes)
+    best = top_k(found, ["query_id"], [F.desc("score"), F.col("item_id")], k=None if routed else k)
     if routed:
         best = best.join(F.broadcast(asked.select("query_id", "k")) if blocks == 1 else asked.select("query_id", "k"), "query_id").filter("rank <= k").drop("k")
     similarity = F.col("score") if metric != "euclid" else 1 / (1 - F.col("score"))
@@ -119,7 +174,7 @@ def cells(library: DataFrame, centres: list[list[float]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(names.index("vec")).to_pylist(), np.float64).reshape(len(batch), -1)
+            x = batch.column(names.index("vec")).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
             cell = _scores(x, c, "euclid").argmax(axis=1) if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=[*names, "cell"])
 
@@ -145,7 +200,7 @@ def probes_of(queries: DataFrame, centres: list[list[float]], probes: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(batch), -1)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
             near = np.argsort(-_scores(x, c, "euclid"), axis=1, kind="stable")[:, :probes] if len(batch) else np.zeros((0, 1), int)
             at = np.repeat(np.arange(len(batch)), near.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(near.ravel().astype(np.int64)), batch.column(1).take(pa.array(at))], names=["query_id", "embedding_id", "vec"])

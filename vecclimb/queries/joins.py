@@ -67,12 +67,11 @@ def iteration_results_join(spark, d):
     return R.with_scores(both, scores, ["job_id"]).select("job_id", "iteration", "inference", "status", "score")
 
 
-@register("mark_compatibility_join", "with m as (select p_partkey as id, unnest([upper(left(p_name, 1)) || ':' || p_size % 8, upper(left(p_type, 1)) || ':' || p_partkey % 5]) as mark from part where p_size > 45), r as (select unnest(['S:1', 'B:2', 'R:3']) as lm, unnest(['P:1', 'L:2', 'M:3']) as rm) select distinct a.id as left_id, b.id as right_id from m a join r on a.mark = lm join m b on b.mark = rm where a.id <> b.id")
+@register("mark_compatibility_join", "with m as (select p_partkey as id, unnest([upper(left(p_name, 1)) || ':' || p_size % 8, upper(left(p_type, 1)) || ':' || p_partkey % 5]) as mark from part), r as (select unnest(['S:1', 'B:2', 'R:3']) as lm, unnest(['P:1', 'L:2', 'M:3']) as rm) select distinct a.id as left_id, b.id as right_id from m a join r on a.mark = lm join m b on b.mark = rm where a.id <> b.id")
 def mark_compatibility_join(spark, d):
     from vecclimb.functions.scalars import extract_marks
 
-    big = plugins(spark, d).filter("size > 45").select(F.col("plugin_id").alias("id"))
-    fragments = _marked(spark, d).join(big, "id").select("id", extract_marks(F.col("text")).alias("marks"))
+    fragments = _marked(spark, d).select("id", extract_marks(F.col("text")).alias("marks"))
     rules = spark.createDataFrame([("[S:1]", "[P:1]"), ("[B:2]", "[L:2]"), ("[R:3]", "[M:3]")], "left_mark string, right_mark string")
     return R.marked_pairs(fragments, rules)
 
@@ -91,7 +90,7 @@ def cache_split(spark, d):
     return R.cache_split(requests(spark, d), *_cached(spark, d), "key").select("event_id", "source")
 
 
-@register("reassemble", f"with {REQ}, c as (select 'plugin:1:item:' || c_custkey as key, cast(c_nationkey as bigint) as value from customer where c_custkey % 2 = 0) select event_id, c.value, c.value is not null as valid from req left join c using (key)")
+@register("reassemble", f"with {REQ}, c as (select 'plugin:1:item:' || c_custkey as key, cast(c_nationkey as bigint) as value from customer) select event_id, c.value, c.value is not null as valid from req left join c using (key)")
 def reassemble(spark, d):
     unique = _cached(spark, d)[0].select("key", F.col("value").cast("long").alias("value"), F.lit(True).alias("valid"))
     return R.reassemble(requests(spark, d).select("event_id", "key"), unique, "key").select("event_id", "value", "valid")
@@ -103,12 +102,12 @@ def linked_embeddings_count(spark, d):
     return bridge.join(plugins(spark, d).filter("kind = 'SMALL'"), "plugin_id").groupBy("embedding_id").agg(F.count_distinct("plugin_id").alias("plugins"))
 
 
-BRIDGE = "b as (select distinct l_partkey as plugin_id, l_suppkey as embedding_id from lineitem where l_linenumber = 1)"
+BRIDGE = "b as (select distinct l_partkey as plugin_id, l_suppkey as embedding_id from lineitem)"
 
 
 @register("embedding_delete_guard", f"with {PLUG}, {BRIDGE}, n as (select embedding_id, name from b join plug using (plugin_id) union select size as embedding_id, name from plug where kind = 'PROMO') select embedding_id, string_agg(distinct name, ',' order by name) as blockers from n group by 1")
 def embedding_delete_guard(spark, d):
-    bridge = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("plugin_id"), F.col("l_suppkey").alias("embedding_id")).distinct()
+    bridge = table(spark, d, "lineitem").select(F.col("l_partkey").alias("plugin_id"), F.col("l_suppkey").alias("embedding_id")).distinct()
     records = plugins(spark, d)
     blockers = bridge.join(records, "plugin_id").select("embedding_id", "name").unionByName(records.filter("kind = 'PROMO'").select(F.col("size").alias("embedding_id"), "name"))
     return blockers.groupBy("embedding_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("blockers"))
@@ -117,7 +116,7 @@ def embedding_delete_guard(spark, d):
 @register("resolve_plugin_config", f"with {JOBS}, {PLUG}, {BRIDGE} select job_id, plugin_id, name, string_agg(cast(embedding_id as varchar), ',' order by embedding_id) as embeddings from jobs join plug on plug.plugin_id = jobs.job_id % 1000 left join b using (plugin_id) group by 1, 2, 3")
 def resolve_plugin_config(spark, d):
     config = jobs(spark, d).select("job_id", (F.col("job_id") % 1000).alias("plugin_id"))
-    bridge = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("plugin_id"), F.col("l_suppkey").alias("embedding_id")).distinct()
+    bridge = table(spark, d, "lineitem").select(F.col("l_partkey").alias("plugin_id"), F.col("l_suppkey").alias("embedding_id")).distinct()
     linked = bridge.groupBy("plugin_id").agg(F.array_join(F.array_sort(F.collect_list("embedding_id")).cast("array<string>"), ",").alias("embeddings"))
     return config.join(plugins(spark, d), "plugin_id").join(linked, "plugin_id", "left").select("job_id", "plugin_id", "name", "embeddings")
 
@@ -233,7 +232,7 @@ def parent_status_rollup(spark, d):
 
 @register("delete_preflight", f"with {PLUG}, {COMP}, {BRIDGE} select plugin_id, (select count(*) from b where b.plugin_id = plug.plugin_id) as jobs, (select count(*) from comp where item_id = plug.plugin_id) as assemblies from plug")
 def delete_preflight(spark, d):
-    bridge = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("plugin_id"), F.col("l_suppkey")).distinct().groupBy("plugin_id").agg(F.count("*").alias("jobs"))
+    bridge = table(spark, d, "lineitem").select(F.col("l_partkey").alias("plugin_id"), F.col("l_suppkey")).distinct().groupBy("plugin_id").agg(F.count("*").alias("jobs"))
     uses = components(spark, d).groupBy(F.col("item_id").alias("plugin_id")).agg(F.count("*").alias("assemblies"))
     out = plugins(spark, d).select("plugin_id").join(bridge, "plugin_id", "left").join(uses, "plugin_id", "left")
     return out.na.fill(0, ["jobs", "assemblies"])
@@ -244,9 +243,9 @@ def count_by_class(spark, d):
     return plugins(spark, d).filter("name like 'red%'").groupBy("grp").agg(F.count("*").alias("n"))
 
 
-@register("distinct_embedding_ids", "with a as (select l_partkey as id from lineitem where l_linenumber = 7) select id, 'duplicate' as problem from a group by 1 having count(*) > 1 union all select distinct id, 'unknown' from a where id not in (select s_suppkey from supplier)")
+@register("distinct_embedding_ids", "with a as (select l_partkey as id from lineitem) select id, 'duplicate' as problem from a group by 1 having count(*) > 1 union all select distinct id, 'unknown' from a where id not in (select s_suppkey from supplier)")
 def distinct_embedding_ids(spark, d):
-    asked = table(spark, d, "lineitem").filter("l_linenumber = 7").select(F.col("l_partkey").alias("id"))
+    asked = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"))
     return R.invalid_ids(asked, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id")
 
 

@@ -96,9 +96,9 @@ def failures_by_plugin(spark, d):
 # --- L: the rest of the search loop
 
 
-@register("fan_out_source", "select n_nationkey as config_id, cast(unnest([0, 1, 2]) as bigint) as assembly_index from nation")
+@register("fan_out_source", "select o_orderkey as config_id, cast(unnest([0, 1, 2]) as bigint) as assembly_index from orders")
 def fan_out_source(spark, d):
-    config = table(spark, d, "nation").select(F.col("n_nationkey").alias("config_id"))
+    config = jobs(spark, d).select(F.col("job_id").alias("config_id"))
     return S.fan_out(config, 3).withColumn("assembly_index", F.col("assembly_index").cast("long"))
 
 
@@ -154,9 +154,9 @@ def pending_jobs(spark, d):
     return M.pending(rows, 500).select("job_id", "status")
 
 
-@register("run_key_dedup", "select user_id as job_id, count(*) as asked from events where event_type = 'signup' group by 1")
+@register("run_key_dedup", "select user_id as job_id, count(*) as asked from events group by 1")
 def run_key_dedup(spark, d):
-    asked = requests(spark, d).filter("event_type = 'signup'").select(F.col("item_id").alias("job_id"))
+    asked = requests(spark, d).select(F.col("item_id").alias("job_id"))
     runs = asked.dropDuplicates(["job_id"])
     return runs.join(asked.groupBy("job_id").agg(F.count("*").alias("asked")), "job_id")
 

@@ -386,19 +386,19 @@ def role_assembly(spark, d):
 VIOLATIONS = "pl as (select p_partkey as plugin_id, case p_type when 'SMALL' then 'embedding' when 'LARGE' then 'data_source' when 'PROMO' then 'mapper' when 'ECONOMY' then 'assembly' else 'score' end as type, p_size - 3 as batch_size, p_size % 9 - 1 as vector_length, case when p_partkey % 6 = 0 then 'Manhattan' when p_partkey % 6 = 1 then null else 'Cosine' end as metric, p_size % 4 as n from part)"
 
 
-@register("validate_plugins", f"with {VIOLATIONS}, l as (select distinct l_partkey as plugin_id from lineitem where l_linenumber = 1) select plugin_id, 'limit' as problem from pl where batch_size <= 0 union all select plugin_id, 'vector_length' from pl where type = 'embedding' and vector_length <= 0 union all select plugin_id, 'metric' from pl where type = 'embedding' and (metric is null or metric = 'Manhattan') union all select plugin_id, 'no_embedding' from pl where type = 'data_source' and plugin_id not in (select plugin_id from l) union all select plugin_id, 'outputs' from pl where type = 'mapper' and n < 2 union all select plugin_id, 'parents' from pl where type = 'assembly' and n < 2")
+@register("validate_plugins", f"with {VIOLATIONS}, l as (select distinct l_partkey as plugin_id from lineitem) select plugin_id, 'limit' as problem from pl where batch_size <= 0 union all select plugin_id, 'vector_length' from pl where type = 'embedding' and vector_length <= 0 union all select plugin_id, 'metric' from pl where type = 'embedding' and (metric is null or metric = 'Manhattan') union all select plugin_id, 'no_embedding' from pl where type = 'data_source' and plugin_id not in (select plugin_id from l) union all select plugin_id, 'outputs' from pl where type = 'mapper' and n < 2 union all select plugin_id, 'parents' from pl where type = 'assembly' and n < 2")
 def validate_plugins(spark, d):
     kinds = F.element_at(F.create_map(*(F.lit(x) for x in ("SMALL", "embedding", "LARGE", "data_source", "PROMO", "mapper", "ECONOMY", "assembly", "MEDIUM", "score", "STANDARD", "score"))), F.col("kind"))
     records = plugins(spark, d).select("plugin_id", kinds.alias("type"), (F.col("size") - 3).alias("batch_size"), (F.col("size") % 9 - 1).alias("vector_length"), F.when(F.col("plugin_id") % 6 == 0, "Manhattan").when(F.col("plugin_id") % 6 > 1, "Cosine").alias("metric"), (F.col("size") % 4).alias("n_outputs"), (F.col("size") % 4).alias("n_parents"))
-    links = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("plugin_id"), F.col("l_suppkey").alias("embedding_id")).distinct()
+    links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("plugin_id"), F.col("l_suppkey").alias("embedding_id")).distinct()
     return roles.violations(records, links)
 
 
-CACHED = "cache as (select distinct 'plugin:1:item:' || c_custkey as key, cast(c_nationkey as double) as value from customer where c_custkey % 2 = 0), store as (select distinct 'plugin:2:item:' || s_suppkey as key, cast(s_nationkey as double) as value from supplier)"
+CACHED = "cache as (select distinct 'plugin:1:item:' || c_custkey as key, cast(c_nationkey as double) as value from customer), store as (select distinct 'plugin:2:item:' || s_suppkey as key, cast(s_nationkey as double) as value from supplier)"
 
 
 def _cached(spark, d):
-    cache = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("plugin:1:item:"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_nationkey").cast("double").alias("value"))
+    cache = table(spark, d, "customer").select(F.concat(F.lit("plugin:1:item:"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_nationkey").cast("double").alias("value"))
     store = table(spark, d, "supplier").select(F.concat(F.lit("plugin:2:item:"), F.col("s_suppkey").cast("string")).alias("key"), F.col("s_nationkey").cast("double").alias("value"))
     return cache, store
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,16 @@ def embed_items(items: DataFrame, embeddings: dict[int, Column]) -> DataFrame:
 
 
 def load_library(embedded: DataFrame, path: str, job_id: int) -> None:
-    """Points partitioned by embedding, and failed records, appended under path (A4, A5)."""
-    embedded.filter("valid").drop("valid").write.mode("append").partitionBy("embedding_id").parquet(f"{path}/points")
-    embedded.filter("not valid").select(F.lit(job_id).cast("long").alias("job_id"), "item", "external_id").distinct().write.mode("append").parquet(f"{path}/failures")
+    """Points partitioned by embedding, and failed records, appended under path (A4, A5).
+
+    The embeddings, which may be costly, are computed in one write, to a folder of the load; points and failures
+    are copied from there.
+    """
+    folder = f"{path}/loads/{uuid.uuid4().hex[:12]}"
+    embedded.write.parquet(folder)
+    done = embedded.sparkSession.read.schema(embedded.schema).parquet(folder)
+    done.filter("valid").drop("valid").write.mode("append").partitionBy("embedding_id").parquet(f"{path}/points")
+    done.filter("not valid").select(F.lit(job_id).cast("long").alias("job_id"), "item", "external_id").distinct().write.mode("append").parquet(f"{path}/failures")
 
 
 def load_summary(embedded: DataFrame) -> DataFrame:
