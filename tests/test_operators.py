@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecclimb import catalog
 from vecclimb.functions import scalars as J
 from vecclimb.functions import vectors as V
 from vecclimb.operators import filters as B
@@ -13,7 +14,7 @@ from vecclimb.operators import roles
 from vecclimb.operators import upserts as I
 from vecclimb.operators import windows as W
 from vecclimb.plans import search as S
-from vecclimb.session import Workspace
+from vecclimb.session import Workspace, table
 from vecclimb.sources import library as A
 from vecclimb.streaming import jobs as M
 
@@ -113,6 +114,40 @@ def test_job_climbs_and_scores_once(spark):
     assert limited.agg(F.max("iteration")).first()[0] == 0
 
 
+def test_jobs_over_products(spark):
+    """Assembled and mapped jobs climb, filter before they score, and stop by input limits with a status."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    lib = spark.createDataFrame([(i, str(i), str(i), i % 2, v.tolist()) for i, v in enumerate(x)], "item_id long, item string, external_id string, embedding_id int, vec array<double>")
+    goal = np.array([1.0, -1.0, 1.0, 0.5])
+    value = {str(i): float(v @ goal) for i, v in enumerate(x)}
+    worth = F.udf(lambda item: sum(value[p] for p in item.split(".")), "double")
+    score = lambda rows: rows.withColumns({"score": worth("item"), "valid": F.lit(True)})
+    filters = lambda rows: rows.withColumn("valid", F.col("valid") & ~F.col("item").startswith("4."))
+    join = lambda parts: F.concat_ws(".", *parts)
+    low = sorted(range(60), key=lambda i: value[str(i)])
+    a, b = [i for i in low if i % 2 == 0][:2], [i for i in low if i % 2 == 1][:2]
+    rows = [(k, p, x[i].tolist(), limit) for k, limit in ((0, None), (1, 5)) for p, i in ((0, a[k]), (1, b[k]))]
+    seeds = spark.createDataFrame(rows, "input_id long, assembly_index int, vec array<double>, inference_limit long")
+    done = S.run(S.Job(lib, score, k=4, metric="euclid", rates=[2.0, 8.0], max_iterations=4, positions=2, assemble=join, filters=filters), seeds)
+    got = done.results.toPandas()
+    best = got[got.input_id == 0].groupby("iteration").score.max()
+    assert best[3] > best[0] + 0.5 and not got[got.item.str.startswith("4.")].valid.any()
+    states = {r.input_id: (r.iterations, r.status) for r in done.inputs.collect()}
+    assert states[0] == (4, "complete") and states[1] == (1, "early_stop") and got[got.input_id == 1].iteration.max() == 0
+    fresh = got[got.fresh].drop_duplicates(["item_id"])
+    assert sum(r.inference for r in done.inputs.collect()) == len(fresh) == sum(r.executed for r in done.log.collect())
+    assert (fresh.groupby("item_id").iteration.nunique() == 1).all()
+
+    mapper = lambda rows: roles.mapped(rows, F.array(F.col("vec"), V.scale(F.col("vec"), F.lit(1.0))))
+    middle = lambda v: F.zip_with(*v, lambda p, q: (p + q) / 2)
+    single = seeds.filter("assembly_index = 0").select("input_id", "vec")
+    climbed = S.run(S.Job(lib, score, k=4, metric="euclid", rates=[2.0, 8.0], max_iterations=4, positions=2, assemble=join, mapper=mapper, embed=middle), single)
+    best = climbed.results.groupBy("input_id", "iteration").agg(F.max("score").alias("s")).toPandas().pivot(index="input_id", columns="iteration", values="s")
+    assert (best[3] > best[0] + 0.5).all()
+    assert {r.status for r in climbed.inputs.collect()} == {"complete"}
+
+
 def test_stop_rules(spark):
     rows = [(1, 0, 3, True, 5, None, 0, None), (2, 2, 3, True, 5, None, 0, None), (3, 0, 3, False, 5, None, 0, None), (4, 0, 3, True, 6, 5, 0, None), (5, 0, 3, True, 5, 5, 0, None), (6, 0, 3, True, 0, None, 11, 10), (7, 2, 3, True, 9, 5, 0, None)]
     state = spark.createDataFrame(rows, "i int, iteration int, max_iterations int, has_queries boolean, inference long, inference_limit long, age int, time_limit int")
@@ -167,6 +202,17 @@ def test_role_runs_once_a_key_and_failures_stay_rows(spark):
     out = roles.execute_role(plugin, requests, "key", cache, store).collect()
     assert sorted((r.key, r.value, r.valid, r.source) for r in out if r.key != "k0") == [("k1", 10, True, "remaining")] * 2 + [("k2", 50, True, "cache"), ("k3", 52, True, "store")]
     assert [(r.value, r.valid, r.error.split(":")[0]) for r in out if r.key == "k0"] == [(None, False, "ZeroDivisionError")]
+    calls = seen.value
+    frame = roles.execute_role(plugin, requests, "key", cache, store)
+    assert {r.key: r.value for r in roles.stored_results(plugin, frame, store, "key").collect()} == {"k1": 10, "k2": 51, "k3": 52}
+    frame.collect(), roles.failures(frame, plugin, 8).collect()
+    assert seen.value - calls == 4  # k0 and k1 in a batch or alone, once for all three reads
+    other = roles.Plugin(1, "mapper", plugin.build)
+    assert roles.stored_results(other, frame, store, "key").count() == 2 and roles.stored_results(other, frame, store, "key", keep=True).count() == 3
+    fresh = roles.execute_role(plugin, requests, "key", cache, store, use_cache=False).filter("key = 'k2'").first()
+    assert (fresh.value, fresh.source) == (51, "store")
+    scaled = roles.Plugin(1, "score", roles.from_column(F.col("x") * F.col("by")))
+    assert roles.execute_role(scaled, requests, "key", cache, store, args={"by": 7}).filter("key = 'k1'").first().value == 7
     log = R.execution_log(spark.createDataFrame(out).withColumn("plugin_id", F.lit(1))).first()
     assert (log.inputs, log.unique_inputs, log.cache_hits, log.stored_hits, log.executed, log.failed) == (5, 4, 1, 1, 2, 1)
     assert roles.failures(spark.createDataFrame(out), plugin, 8).select("job_id", "request").first() == (8, '{"key":"k0","x":0}')
@@ -237,3 +283,12 @@ def test_streams(spark):
     run.awaitTermination()
     assert sorted(r.job_id for r in spark.read.parquet(f"{path}/queued").collect()) == [0, 2, 6, 8]
     assert sorted(r.job_id for r in M.pending(jobs, 2).collect()) == [6, 8]
+
+
+def test_partners_are_counted_over_all_fragments(spark, sf):
+    fragments = spark.createDataFrame([(1, ["a", "b"]), (2, ["c", "d", "c"]), (3, ["a", "c"]), (4, ["c", "a"]), (5, []), (6, None), (7, ["d"])], "id long, marks array<string>")
+    rules = spark.createDataFrame([("a", "c"), ("b", "d"), ("b", "c")], "left_mark string, right_mark string")
+    pairs = {(r.left_id, r.right_id) for r in R.marked_pairs(fragments, rules).collect()}
+    assert pairs == {(1, 2), (1, 3), (1, 4), (1, 7), (3, 2), (3, 4), (4, 2), (4, 3)}
+    assert {r.id: r.partners for r in R.marked_partner_counts(fragments, rules).collect()} == {1: 4, 2: 0, 3: 2, 4: 2, 5: 0, 6: 0, 7: 0}
+    assert catalog.queries()["mark_compatibility_counts"](spark, sf).count() == table(spark, sf, "part").count()

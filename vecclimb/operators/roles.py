@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vecclimb.operators.relations import cache_split, reassemble
-from vecclimb.session import ship
+from vecclimb.session import Workspace, ship
 
 #: Roles by whether their results are always stored and whether they are looked up.
 ROLES = {"embedding": (False, True), "data_source": (False, False), "filter": (False, True), "score": (True, True), "mapper": (False, False), "assembly": (True, True)}
@@ -65,22 +66,35 @@ def from_pandas(function: Callable[[pd.DataFrame], pd.Series], value_type: str)
     return build
 
 
-def execute_role(plugin: Plugin, requests: DataFrame, key: str, cache: DataFrame, store: DataFrame) -> DataFrame:
+def execute_role(plugin: Plugin, requests: DataFrame, key: str, cache: DataFrame, store: DataFrame, use_cache: bool = True, use_store: bool = True, args: dict[str, Any] | None = None) -> DataFrame:
     """Every request with value, valid, error and source (K8).
 
     Requests of one key are executed once, and only if neither cache nor store (key, value) has
-    them; stored roles and roles that are never looked up follow ROLES. The plugin sees the
-    remaining requests only: they are filtered before it, not inside it.
+    them; roles that are never looked up follow ROLES, and either table can be switched off for a call. args are
+    further columns that the plugin sees. It sees the remaining requests only: they are filtered before it,
+    not inside it. What it gives is written to the shared folder once, so that results, failures and
+    stored_results() of the same call do not run it again.
     """
+    work = Workspace(requests.sparkSession, "role")
     looked_up = ROLES[plugin.role][1]
-    unique = requests.dropDuplicates([key])
-    tagged = cache_split(unique, cache, store, key) if looked_up else unique.withColumn("source", F.lit("remaining"))
-    done = plugin.build(tagged.filter("source = 'remaining'")).select(key, "value", "valid", "error", "source")
+    cache, store = (t if looked_up and used else t.limit(0) for t, used in ((cache, use_cache), (store, use_store)))
+    tagged = cache_split(requests.dropDuplicates([key]), cache, store, key)
+    asked = tagged.filter("source = 'remaining'").withColumns({name: F.lit(value) for name, value in (args or {}).items()})
+    done = work.save(plugin.build(asked).select(key, "value", "valid", "error", "source"), "done")
     known = tagged.filter("source <> 'remaining'").select(key, "source").join(cache.select(key, F.col("value").alias("_c")), key, "left").join(store.select(key, F.col("value").alias("_s")), key, "left")
     known = known.select(key, F.when(F.col("source") == "cache", F.col("_c")).otherwise(F.col("_s")).alias("value"), F.lit(True).alias("valid"), F.lit(None).cast("string").alias("error"), "source")
     return reassemble(requests, done.unionByName(known), key)
 
 
+def stored_results(plugin: Plugin, executed: DataFrame, store: DataFrame, key: str, keep: bool = False) -> DataFrame:
+    """The next version of the store (key, value): with what was executed and is valid, if the role is always
+    stored or the call asks to keep its results (K8, I9)."""
+    if not (ROLES[plugin.role][0] or keep):
+        return store
+    new = executed.filter("source = 'remaining' and valid").select(key, "value").dropDuplicates([key])
+    return store.join(new.select(key), key, "left_anti").unionByName(new)
+
+
 def failures(executed: DataFrame, plugin: Plugin, job_id: int, reason: str = "execution") -> DataFrame:
     """(job_id, plugin_id, reason, detail, request) of requests that failed (A10, K9)."""
     failed = executed.filter("not valid and source = 'remaining'")

@@ -42,6 +42,41 @@ def checkin_assemblies(assemblies: DataFrame, batch: DataFrame, plugin: int) ->
     return merged, new.select("assembly_id", F.inline("components"))
 
 
+def create_assembly(assemblies: DataFrame, batch: DataFrame, plugin: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(assemblies, components of new ones, the batch with accepted and assembly_id): get or create.
+
+    batch: request_id, product_id, components. Components with indices other than 0 .. n - 1 are refused; equal
+    parents in equal order with the same product are one assembly, old or new.
+    """
+    index = F.transform("components", lambda c: c["assembly_index"])
+    good = F.coalesce(F.array_sort(index) == F.sequence(F.lit(0), F.size("components") - 1).cast("array<int>"), F.lit(False)) & (F.size("components") > 0)
+    key = assembly_key(F.lit(plugin), F.col("components"), F.col("product_id"))
+    judged = batch.withColumn("components", F.col("components").cast("array<struct<assembly_index:int,item_id:long>>")).withColumn("accepted", good).withColumn("assembly_key", F.when(F.col("accepted"), key))
+    merged, parts = checkin_assemblies(assemblies, judged.filter("accepted").select("product_id", "components"), plugin)
+    return merged, parts, judged.join(merged.select("assembly_key", "assembly_id"), "assembly_key", "left").drop("assembly_key")
+
+
+def relink(links: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """links with those of every record that wanted names replaced; a null in wanted leaves a record without."""
+    kept = links.join(wanted.select(key).distinct(), key, "left_anti")
+    given = wanted.select(*links.columns)
+    for c in links.columns:
+        given = given.filter(F.col(c).isNotNull())
+    return kept.unionByName(given.distinct())
+
+
+def checkin_knn(items: DataFrame, sources: DataFrame, embeddings: DataFrame, hits: DataFrame, plugin: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, sources, embeddings) with what a search returned checked in (I8).
+
+    hits: item, external_id, embedding_id, vec, seq; sources: item_id, plugin_id, external_id; embeddings: item_id,
+    embedding_id, vec. The last hit of an item (and embedding) counts; hits without vec give no embedding.
+    """
+    merged, out = checkin_items(items, hits)
+    sourced = merge_last(sources, out.select("item_id", F.lit(plugin).cast("long").alias("plugin_id"), "external_id", "seq"), ["item_id", "plugin_id"])
+    embedded = merge_last(embeddings, out.filter("vec is not null").select("item_id", "embedding_id", "vec", "seq"), ["item_id", "embedding_id"])
+    return merged, sourced, embedded
+
+
 def upsert_results(results: DataFrame, updates: DataFrame) -> DataFrame:
     """Valid flags by (job_id, item_id, assembly_id), null assembly being a value; ids stay."""
     keys = ["job_id", "item_id", "assembly_id"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,8 +102,8 @@ def update(scored: DataFrame, keys: list[str], metric: str, group: bool = False)
     return tops.select(*keys, "vec").join(gradients(advantages(unique, keys), tops, keys, metric), keys)
 
 
-def should_stop(state: DataFrame, now: Column) -> DataFrame:
-    """state with stop and status.
+def should_stop(state: DataFrame, now: Column, name: str = "status") -> DataFrame:
+    """state with stop and status, or whatever name it is to have.
 
     state: iteration, max_iterations, has_queries, inference, inference_limit, started_at, time_limit and
     the same of the parent with the prefix parent_. Limits are strict and checked after an iteration.
@@ -109,7 +111,7 @@ def should_stop(state: DataFrame, now: Column) -> DataFrame:
     finish = F.col("iteration") >= F.col("max_iterations") - 1
     late = lambda at: F.unix_timestamp(now) - F.unix_timestamp(at)
     early = over_limit(F.col("inference"), F.col("inference_limit")) | over_limit(late("started_at"), F.col("time_limit")) | over_limit(F.col("parent_inference"), F.col("parent_inference_limit")) | over_limit(late("parent_started_at"), F.col("parent_time_limit"))
-    return state.withColumn("stop", finish | ~F.col("has_queries") | early).withColumn("status", F.when(finish & ~early & F.col("has_queries"), "complete").otherwise("early_stop"))
+    return state.withColumn("stop", finish | ~F.col("has_queries") | early).withColumn(name, F.when(finish & ~early & F.col("has_queries"), "complete").otherwise("early_stop"))
 
 
 def explore_exploit(results: DataFrame, seeds: DataFrame, used: DataFrame, n: int, explore: float) -> DataFrame:
@@ -145,52 +147,120 @@ def symmetric_assembly(pairs: DataFrame, left: str, right: str, assemble: Callab
 
 @dataclass
 class Job:
-    """A search job: seeds climb towards items of high score."""
+    """A search job: seeds climb towards items of high score.
+
+    Without assemble, candidates are items of the library. With it they are products of one parent of each
+    of `positions` positions, found by a query vector a position; with a mapper as well, one query vector gives
+    the vectors of all positions, and embed gives the product's own vector, on which the climb goes on.
+    """
 
     library: DataFrame
-    score: Callable[[DataFrame], DataFrame]  # adds valid and score
+    score: Callable[[DataFrame], DataFrame]  # rows with item_id, item, vec, vecs: adds valid and score
     k: int = 10
     metric: str = "cosine"
     rates: list[float] = field(default_factory=lambda: [0.5, 1.0, 2.0])
     max_iterations: int = 3
-    inference_limit: int | None = None
+    inference_limit: int | None = None  # of all inputs together
+    time_limit: int | None = None
     group: bool = False
+    positions: int = 1
+    assemble: Callable[[list[Column]], Column] | None = None
+    mapper: Callable[[DataFrame], DataFrame] | None = None  # input_id, query_group, vec -> rows with assembly_index and vec
+    embed: Callable[[list[Column]], Column] | None = None  # vectors of the parents -> vector of the product
+    filters: Callable[[DataFrame], DataFrame] | None = None  # rows as for score, with valid: may set it to false
 
 
-def run_job(job: Job, seeds: DataFrame, name: str = "job") -> DataFrame:
-    """(input_id, iteration, query_group, item_id, similarity, valid, score) of all iterations.
+@dataclass
+class JobRun:
+    """results: a row a candidate; inputs: (input_id, iterations, inference, status); log: a row an iteration."""
+
+    results: DataFrame
+    inputs: DataFrame
+    log: DataFrame
+
 
-    seeds: input_id, vec. All inputs advance together, one plan an iteration: queries, search, score, update.
-    An iteration's scored candidates are written once to the shared folder, and the next state is read
-    from there, so that lineage stays short and the score runs once. An item is scored once in a job:
-    later iterations take its score from the earlier tables. A row a live input goes to the driver.
+def candidates(job: Job, groups: DataFrame) -> DataFrame:
+    """(input_id, query_group, item_id, item, similarity, place, vecs) of query groups (input_id, assembly_index, query_group, vec).
+
+    vecs holds the vector of each position that the update goes on from; a product's id is a hash of its text.
+    """
+    one = lambda vec: F.array(F.struct(F.lit(0).alias("assembly_index"), vec.alias("vec")))
+    if job.assemble is None:
+        asked = groups.select(F.xxhash64("input_id", "query_group").alias("query_id"), "input_id", "query_group", "vec")
+        hits = search_single(asked, job.library, job.k, job.metric).join(asked.select("query_id", "input_id"), "query_id")
+        return hits.select("input_id", "query_group", "item_id", F.col("external_id").alias("item"), "similarity", F.col("rank").cast("long").alias("place"), one(F.col("vec")).alias("vecs"))
+    asked = job.mapper(groups.select("input_id", "query_group", "vec")) if job.mapper else groups
+    found = search_assembled(asked.withColumn("k", F.lit(job.k)), job.library, job.positions, job.metric, job.assemble)
+    vectors = [F.col(f"vec_{i}") for i in range(job.positions)]
+    vecs = one(job.embed(vectors)) if job.mapper else F.array(*(F.struct(F.lit(i).alias("assembly_index"), v.alias("vec")) for i, v in enumerate(vectors)))
+    place = sum((F.col(f"rank_{i}") * (job.k + 1) ** (job.positions - 1 - i) for i in range(job.positions)), F.lit(0).cast("long"))
+    return found.select("input_id", "query_group", F.xxhash64("product").alias("item_id"), F.col("product").alias("item"), F.lit(None).cast("double").alias("similarity"), place.alias("place"), vecs.alias("vecs"))
+
+
+def run(job: Job, seeds: DataFrame, name: str = "job") -> JobRun:
+    """All iterations of a job over all its inputs.
+
+    seeds: input_id, vec, and assembly_index where a job has several positions without a mapper; further, where inputs
+    differ, max_iterations, inference_limit and time_limit (the same in all rows of an input). All inputs advance
+    together, one plan an iteration: queries, search, filters, score, update. An iteration's scored candidates are
+    written once to the shared folder, and the next state is read from there, so that lineage stays short
+    and the score runs once. An item is scored once in a job; it counts as inference of the least input that
+    asks for it then. After each iteration should_stop() decides for every input; the inference of all and
+    the number of inputs that go on are all that goes to the driver.
     """
     spark = seeds.sparkSession
     work = Workspace(spark, name)
+    started = F.lit(datetime.now(timezone.utc))
     rates = F.array(*map(F.lit, job.rates))
-    state = seeds.select("input_id", "vec", F.lit(None).cast("array<double>").alias("gradient"), rates.alias("rates"))
+    keys = ["input_id", "assembly_index"]
+    optional = lambda c, default: F.coalesce(F.col(c), F.lit(default)).cast("long") if c in seeds.columns else F.lit(default).cast("long")
+    positions = F.col("assembly_index") if "assembly_index" in seeds.columns else F.lit(0)
+    state = work.save(seeds.select("input_id", positions.cast("int").alias("assembly_index"), "vec", F.lit(None).cast("array<double>").alias("gradient"), rates.alias("rates")), "seeds")
+    limits = seeds.select("input_id", optional("max_iterations", job.max_iterations).alias("max_iterations"), optional("inference_limit", None).alias("inference_limit"), optional("time_limit", None).alias("time_limit"))
+    inputs = work.save(limits.groupBy("input_id").agg(*(F.max(c).alias(c) for c in limits.columns[1:])).withColumns({"inference": F.lit(0).cast("long"), "iterations": F.lit(0), "status": F.lit("running")}), "inputs")
     tables: list[DataFrame] = []
-    for i in range(job.max_iterations):
-        groups = step_embeddings(state, ["input_id"]).withColumn("query_id", F.xxhash64("input_id", "query_group"))
-        hits = search_single(groups, job.library, job.k, job.metric).join(groups.select("query_id", "input_id"), "query_id")
-        items = hits.select("item_id", "vec").dropDuplicates(["item_id"])
-        if tables:
-            old = tables[0].select("item_id", "valid", "score")
-            for t in tables[1:]:
-                old = old.unionByName(t.select("item_id", "valid", "score"))
-            old = old.dropDuplicates(["item_id"])
-            scores = job.score(items.join(old, "item_id", "left_anti")).select("item_id", "valid", "score", F.lit(True).alias("fresh")).unionByName(old.join(items, "item_id", "left_semi").withColumn("fresh", F.lit(False)))
-        else:
-            scores = job.score(items).select("item_id", "valid", "score", F.lit(True).alias("fresh"))
-        order = Window.partitionBy("input_id").orderBy("query_group", "rank", "item_id")
-        scored = hits.join(scores, "item_id").withColumn("seq", F.row_number().over(order)).withColumn("iteration", F.lit(i))
-        tables.append(work.save(scored.select("input_id", "iteration", "query_group", "item_id", "similarity", "valid", "score", "fresh", "seq", "vec"), f"scored{i}"))
-        inference = tables[-1].filter("fresh").agg(F.count_distinct("item_id")).first()[0]
-        following = update(tables[-1], ["input_id"], job.metric, job.group)
-        state = work.save(following.select("input_id", "vec", "gradient", rates.alias("rates")), f"state{i}")
-        if state.isEmpty() or (job.inference_limit is not None and inference > job.inference_limit):
+    known: DataFrame | None = None
+    i = 0
+    while True:
+        groups = whole_groups(step_embeddings(state, keys), ["input_id"], 1 if job.assemble is None or job.mapper else job.positions)
+        found = work.save(candidates(job, groups), f"found{i}")
+        items = found.groupBy("item_id").agg(F.min("item").alias("item"), F.min("vecs").alias("vecs"), F.min("input_id").alias("asked_by")).withColumns({"vec": F.col("vecs")[0]["vec"], "valid": F.lit(True)})
+        asked = items.join(known.select("item_id"), "item_id", "left_anti") if known is not None else items
+        if job.filters:
+            asked = work.save(job.filters(asked), f"filtered{i}")
+        done = job.score(asked.filter("valid").drop("valid")).select("item_id", "valid", "score", F.lit(True).alias("fresh"))
+        if job.filters:
+            done = done.unionByName(asked.filter("not valid").select("item_id", F.lit(False).alias("valid"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("fresh")))
+        done = work.save(done.join(asked.select("item_id", "asked_by"), "item_id"), f"done{i}")
+        scores = done.select("item_id", "valid", "score", "fresh")
+        if known is not None:
+            scores = scores.unionByName(known.withColumn("fresh", F.lit(False)))
+        known = scores.select("item_id", "valid", "score")
+        order = Window.partitionBy("input_id").orderBy("query_group", "place", "item_id")
+        scored = found.join(scores, "item_id").withColumn("seq", F.row_number().over(order)).withColumn("iteration", F.lit(i))
+        tables.append(work.save(scored, f"scored{i}"))
+        rows = tables[-1].select("input_id", "item_id", "query_group", "score", "seq", "valid", F.inline("vecs"))
+        following = work.save(update(rows, keys, job.metric, job.group).select(*keys, "vec", "gradient", rates.alias("rates")), f"state{i}")
+
+        spent = done.filter("fresh").groupBy(F.col("asked_by").alias("input_id")).agg(F.count("*").alias("n"))
+        alive = following.select("input_id").distinct().withColumn("has_queries", F.lit(True))
+        now = inputs.join(spent, "input_id", "left").join(alive, "input_id", "left").withColumns({"inference": F.col("inference") + F.coalesce("n", F.lit(0)), "has_queries": F.coalesce("has_queries", F.lit(False)), "iteration": F.lit(i), "started_at": started})
+        total = now.agg(F.sum("inference")).first()[0] or 0
+        parent = {"parent_inference": F.lit(total), "parent_inference_limit": F.lit(job.inference_limit).cast("long"), "parent_started_at": started, "parent_time_limit": F.lit(job.time_limit).cast("long")}
+        judged = should_stop(now.withColumns(parent), F.current_timestamp(), "new_status")
+        open_ = F.col("inputs.status") == "running"
+        judged = judged.alias("inputs").select("input_id", "max_iterations", "inference_limit", "time_limit", "inference", F.when(open_, F.lit(i + 1)).otherwise(F.col("iterations")).alias("iterations"), F.when(open_ & F.col("stop"), F.col("new_status")).otherwise(F.col("inputs.status")).alias("status"))
+        inputs = work.save(judged, f"inputs{i}")
+        state = following.join(inputs.filter("status = 'running'").select("input_id"), "input_id", "left_semi")
+        i += 1
+        if not inputs.filter("status = 'running'").count():
             break
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out.drop("vec")
+    results = reduce(DataFrame.unionByName, tables)
+    one_item = results.groupBy("iteration", "item_id").agg(F.count("*").alias("n"), F.bool_or("fresh").alias("fresh"), F.bool_or("valid").alias("valid"))
+    log = one_item.groupBy("iteration").agg(F.sum("n").alias("candidates"), F.count("*").alias("unique_items"), F.count_if("fresh").alias("executed"), F.count_if(~F.col("valid")).alias("invalid"))
+    return JobRun(results.drop("vecs", "place"), inputs.select("input_id", "iterations", "inference", "status"), log)
+
+
+def run_job(job: Job, seeds: DataFrame, name: str = "job") -> DataFrame:
+    """The results of run(): (input_id, iteration, query_group, item_id, item, similarity, valid, score, fresh, seq)."""
+    return run(job, seeds, name).results

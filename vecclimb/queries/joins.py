@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecclimb.catalog import register
 from vecclimb.operators import relations as R
 from vecclimb.operators.windows import first_seen
+from vecclimb.plans import jobs as C
 from vecclimb.queries.standins import COMP, ITER, JOBS, PLUG, REQ, RES, components, item_results, items, iterations, jobs, plugins, requests
 from vecclimb.queries.store import EXECUTED, _cached, _marked, executed
 from vecclimb.session import table
@@ -328,6 +332,47 @@ def delete_job_cascade(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+STORE = f"""{COMP}, gone as (select o_orderkey as job_id from orders where o_orderstatus = 'F' and o_totalprice > 150000),
+res as (select user_id as job_id, event_id % 2000 as item_id, case when event_id % 3 = 0 then null else event_id end as assembly_id from events),
+asm as (select o_orderkey as assembly_id, o_custkey as product_id, 1 + o_orderkey % 4 as required from orders),
+src as (select p_partkey as item_id, case when p_type in ('SMALL', 'PROMO') then 'assembly' else 'data_source' end as plugin_type from part where p_size > 10),
+ir as (select doc_id as item_id from labels), it as (select p_partkey as item_id from part),
+res2 as (select * from res where job_id not in (select * from gone)),
+cnt as (select a.assembly_id, required, count(c.item_id) as n from asm a left join comp c using (assembly_id) group by 1, 2),
+stale as (select assembly_id from cnt where n <> required union select assembly_id from asm where assembly_id not in (select assembly_id from res2 where assembly_id is not null)),
+asm2 as (select * from asm where assembly_id not in (select * from stale)), comp2 as (select * from comp where assembly_id not in (select * from stale)),
+orphan as (select distinct item_id from src where plugin_type = 'assembly' and item_id not in (select product_id from asm2)),
+ir2 as (select * from ir where item_id not in (select * from orphan)), src2 as (select * from src where not (plugin_type = 'assembly' and item_id in (select * from orphan))),
+it2 as (select * from it where item_id in (select item_id from src2 union select item_id from ir2 union select item_id from res2 union select item_id from comp2 union select product_id from asm2))"""
+
+
+@register("delete_job_chain", f"with {STORE} select 'jobs' as name, count(*) as n from orders where o_orderkey not in (select * from gone) union all select 'links', count(*) from (select distinct l_orderkey, l_suppkey from lineitem) where l_orderkey not in (select * from gone) union all select 'results', count(*) from res2 union all select 'assemblies', count(*) from asm2 union all select 'components', count(*) from comp2 union all select 'sources', count(*) from src2 union all select 'item_results', count(*) from ir2 union all select 'items', count(*) from it2")
+def delete_job_chain(spark, d):
+    """Deleted jobs with what hung off them: assemblies, orphan products, their results and sources, unused items."""
+    e, o = table(spark, d, "events"), table(spark, d, "orders")
+    store = {
+        "jobs": o.select(F.col("o_orderkey").alias("job_id")),
+        "links": table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_suppkey").distinct(),
+        "results": e.select(F.col("user_id").alias("job_id"), (F.col("event_id") % 2000).alias("item_id"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("assembly_id")),
+        "assemblies": o.select(F.col("o_orderkey").alias("assembly_id"), F.col("o_custkey").alias("product_id"), (1 + F.col("o_orderkey") % 4).alias("required")),
+        "components": components(spark, d),
+        "sources": plugins(spark, d).filter("size > 10").select(F.col("plugin_id").alias("item_id"), F.when(F.col("kind").isin("SMALL", "PROMO"), "assembly").otherwise("data_source").alias("plugin_type")),
+        "item_results": item_results(spark, d),
+        "items": plugins(spark, d).select(F.col("plugin_id").alias("item_id")),
+    }
+    gone = o.filter("o_orderstatus = 'F' and o_totalprice > 150000").select(F.col("o_orderkey").alias("job_id"))
+    left = C.delete_jobs(store, gone)
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in left.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@register("seed_embedding_product", "with e as (select vec_id // 10 as input_id, vec_id % 2 as assembly_index, vec_id as embedding from embeddings) select a.input_id, a.embedding as embedding_0, b.embedding as embedding_1 from e a join e b using (input_id) where a.assembly_index = 0 and b.assembly_index = 1")
+def seed_embedding_product(spark, d):
+    """First queries of a job: a seed's embeddings at one position with those at the other."""
+    e = table(spark, d, "embeddings").select(F.expr("vec_id div 10").alias("input_id"), (F.col("vec_id") % 2).alias("assembly_index"), F.col("vec_id").alias("embedding"))
+    return R.pool_product([e.filter(F.col("assembly_index") == i).select("input_id", "embedding") for i in (0, 1)], ["input_id"])
+
+
 @register("drop_library", "select vec_id as item_id from embeddings where label not in (select n_nationkey from nation where n_regionkey = 1)")
 def drop_library(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("library_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vecclimb.catalog import register
 from vecclimb.operators import roles
 from vecclimb.operators.windows import page
+from vecclimb.plans import jobs as C
 from vecclimb.plans import search as S
 from vecclimb.queries.standins import JOBS, LIB, PLUG, REQ, RES, item_results, items, jobs, library, plugins, requests
 from vecclimb.queries.store import CACHED, _cached
@@ -120,6 +121,43 @@ def create_job(spark, d):
     return count.unionByName(wrong)
 
 
+@register("create_job_inputs", f"with {PLUG}, s as (select l_orderkey as job_id, l_suppkey as input_no, l_linenumber as i, p_name as item, case when l_quantity > 40 then cast(l_quantity as bigint) end as own from lineitem join part on p_partkey = l_partkey), n as (select job_id, input_no, count(*) as n_seeds, max(own) as own, count(distinct item) as items from s group by 1, 2) select job_id, input_no, n_seeds, coalesce(own, 10) as inference_limit, cast(5 as bigint) as max_iterations, o_orderkey % 60 as time_limit, items from n join orders on o_orderkey = job_id")
+def create_job_inputs(spark, d):
+    """Orders as jobs, their lines as seeds; a supplier is an input, and large quantities are limits of its own."""
+    jobs_ = jobs(spark, d).select("job_id", F.lit(5).cast("long").alias("max_iterations"), F.lit(10).cast("long").alias("inference_limit"), (F.col("job_id") % 60).alias("time_limit"))
+    none = F.lit(None).cast("long")
+    own = F.when(F.col("l_quantity") > 40, F.col("l_quantity").cast("long"))
+    parts = plugins(spark, d).select(F.col("plugin_id").alias("l_partkey"), F.col("name").alias("item"))
+    seeds = table(spark, d, "lineitem").join(parts, "l_partkey").select(F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("input_no"), F.col("l_linenumber").alias("assembly_index"), "item", F.col("l_partkey").cast("string").alias("external_id"), own.alias("inference_limit"), none.alias("max_iterations"), none.alias("time_limit"))
+    old = parts.filter("l_partkey % 2 = 0").select("item", F.col("l_partkey").alias("item_id")).groupBy("item").agg(F.min("item_id").alias("item_id")).select("item_id", "item")
+    inputs, _, checked = C.create_inputs(jobs_, seeds, old)
+    different = checked.groupBy("job_id", "input_no").agg(F.count_distinct("item_id").alias("items"))
+    return inputs.join(different, ["job_id", "input_no"])
+
+
+@register("job_config_violations", """with kinds as (select p_partkey as plugin_id, case p_type when 'SMALL' then 'embedding' when 'LARGE' then 'data_source' when 'PROMO' then 'mapper' when 'ECONOMY' then 'assembly' when 'MEDIUM' then 'score' else 'filter' end as type, p_size % 3 + 1 as n_parents from part where p_partkey % 50 <> 0),
+c as (select distinct l_orderkey as job_id, l_partkey as plugin_id, cast(l_linenumber - 1 as int) as assembly_index, case l_linenumber % 4 when 0 then 'mapper' when 1 then 'assembly' else 'data_source' end as role from lineitem),
+n as (select job_id, count(*) filter (where role = 'data_source') as n from c group by 1),
+outs as (select plugin_id, unnest([1, 2]) as assembly_index, plugin_id % 3 as embedding_id from kinds),
+links as (select plugin_id, plugin_id % 3 as embedding_id from kinds),
+k as (select c.*, type, n_parents from c left join kinds using (plugin_id))
+select job_id, 'unknown' as problem, plugin_id from k where type is null
+union select job_id, 'type', plugin_id from k where type <> role
+union select job_id, 'parents', plugin_id from k join n using (job_id) where role = 'assembly' and type is not null and n <> n_parents
+union select job_id, 'outputs', plugin_id from k join n using (job_id) where role = 'mapper' and n <> case when type is null then 0 else 2 end
+union select m.job_id, 'embedding', s.plugin_id from c m join outs o on o.plugin_id = m.plugin_id join c s on s.job_id = m.job_id and s.role = 'data_source' and s.assembly_index = o.assembly_index where m.role = 'mapper' and not exists (select 1 from links l where l.plugin_id = s.plugin_id and l.embedding_id = o.embedding_id)""")
+def job_config_violations(spark, d):
+    """Order lines as the plugins of a job, in roles by line; parts are plugins of the types that their kinds name."""
+    types = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for x in ("SMALL", "embedding", "LARGE", "data_source", "PROMO", "mapper", "ECONOMY", "assembly", "MEDIUM", "score"))), F.col("kind")), F.lit("filter"))
+    known = plugins(spark, d).filter("plugin_id % 50 <> 0").select("plugin_id", types.alias("type"), (F.col("size") % 3 + 1).alias("n_parents"))
+    line = F.col("l_linenumber")
+    role = F.when(line % 4 == 0, "mapper").when(line % 4 == 1, "assembly").otherwise("data_source")
+    config = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_partkey").alias("plugin_id"), (line - 1).cast("int").alias("assembly_index"), role.alias("role")).distinct()
+    embedding = (F.col("plugin_id") % 3).alias("embedding_id")
+    outputs = known.select("plugin_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("assembly_index"), embedding)
+    return C.config_violations(config, known.select("plugin_id", "type", "n_parents"), outputs, known.select("plugin_id", embedding))
+
+
 @register("explore_exploit", f"with {RES} select * from (select item_id, 'best' as origin from res order by score desc, item_id limit 40) union all select * from (select vec_id as item_id, 'fresh' as origin from embeddings where vec_id not in (select item_id from res) order by vec_id limit 60)")
 def explore_exploit(spark, d):
     results = item_results(spark, d)

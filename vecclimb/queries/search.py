@@ -279,3 +279,48 @@ def run_job(spark, d):
     score = lambda rows: rows.join(results, "item_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
     seeds = library(spark, d).filter("item_id % 100 = 0").select(F.col("item_id").alias("input_id"), "vec")
     return S.run_job(S.Job(library(spark, d), score), seeds).select("input_id", "iteration", "query_group", "item_id", F.round("similarity", 6).alias("similarity"), "valid", "score", "fresh")
+
+
+def _score_of_product(rows: DataFrame) -> DataFrame:
+    """A score of the two parents' numbers in a product's text; some products are invalid."""
+    a, b = (F.split_part("item", F.lit("."), F.lit(i)).cast("long") for i in (1, 2))
+    return rows.withColumns({"valid": (a + b) % 5 != 0, "score": F.when((a + b) % 5 != 0, ((a * 7 + b * 3) % 101).cast("double"))})
+
+
+def _product_filter(rows: DataFrame) -> DataFrame:
+    a, b = (F.split_part("item", F.lit("."), F.lit(i)).cast("long") for i in (1, 2))
+    return rows.withColumn("valid", F.col("valid") & ((a + b) % 7 != 3))
+
+
+def _product_job(spark, d, **options) -> S.Job:
+    lib = library(spark, d).withColumn("item", F.col("external_id"))
+    return S.Job(lib, _score_of_product, k=4, positions=2, assemble=lambda parts: F.concat_ws(".", *parts), filters=_product_filter, **options)
+
+
+JUDGED = "ok as (select *, (a + b) % 7 <> 3 and (a + b) % 5 <> 0 as valid from pr) select input_id, product, valid, case when valid then cast((a * 7 + b * 3) % 101 as double) end as score from ok"
+
+
+@register("run_job_first", f"{COSINE}, {RES} select f.query_id as input_id, f.item_id, f.similarity, coalesce(res.valid, false) as valid, res.score from f left join res using (item_id)")
+def run_job_first(spark, d):
+    """The first iteration of run_job, which SQL can express."""
+    results = item_results(spark, d)
+    score = lambda rows: rows.join(results, "item_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    seeds = library(spark, d).filter("item_id % 100 = 0").select(F.col("item_id").alias("input_id"), "vec")
+    return S.run_job(S.Job(library(spark, d), score, max_iterations=1), seeds).select("input_id", "item_id", F.round("similarity", 6).alias("similarity"), "valid", "score")
+
+
+@register("run_job_assembled", f"with {LIB}, q as (select item_id // 200 as input_id, item_id // 100 % 2 as assembly_index, vec from lib where item_id % 100 = 0), h as (select * from (select q.input_id, q.assembly_index, lib.item_id, lib.external_id, row_number() over (partition by q.input_id, q.assembly_index order by {COS} desc, lib.item_id) as rank from q join lib on lib.embedding_id = q.assembly_index) where rank <= 4), pr as (select a.input_id, a.external_id || '.' || b.external_id as product, a.item_id as a, b.item_id as b from h a join h b using (input_id) where a.assembly_index = 0 and b.assembly_index = 1), {JUDGED}")
+def run_job_assembled(spark, d):
+    """One iteration of a job over products of two positions; the tests run more."""
+    seeds = library(spark, d).filter("item_id % 100 = 0").select(F.expr("item_id div 200").alias("input_id"), F.expr("item_id div 100 % 2").alias("assembly_index"), "vec")
+    return S.run_job(_product_job(spark, d, max_iterations=1), seeds).select("input_id", F.col("item").alias("product"), "valid", "score")
+
+
+@register("run_job_mapped", f"with {LIB}, qq as (select item_id as input_id, vec from lib where item_id % 100 = 0), q as (select input_id, 0 as assembly_index, list_transform(vec, lambda x: x * 0.5) as vec from qq union all select input_id, 1, list_transform(vec, lambda x: -x) from qq), h as (select * from (select q.input_id, q.assembly_index, lib.item_id, lib.external_id, row_number() over (partition by q.input_id, q.assembly_index order by {COS} desc, lib.item_id) as rank from q join lib on lib.embedding_id = q.assembly_index) where rank <= 4), pr as (select a.input_id, a.external_id || '.' || b.external_id as product, a.item_id as a, b.item_id as b from h a join h b using (input_id) where a.assembly_index = 0 and b.assembly_index = 1), {JUDGED}")
+def run_job_mapped(spark, d):
+    """One iteration of a job whose query vector is mapped to two positions; the tests run more."""
+    outputs = F.array(V.scale(F.col("vec"), F.lit(0.5)), V.scale(F.col("vec"), F.lit(-1.0)))
+    middle = lambda vectors: F.zip_with(*vectors, lambda x, y: (x + y) / 2)
+    seeds = library(spark, d).filter("item_id % 100 = 0").select(F.col("item_id").alias("input_id"), "vec")
+    job = _product_job(spark, d, max_iterations=1, mapper=lambda rows: roles.mapped(rows, outputs), embed=middle)
+    return S.run_job(job, seeds).select("input_id", F.col("item").alias("product"), "valid", "score")

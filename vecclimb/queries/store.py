@@ -175,9 +175,10 @@ def upsert_item_results(spark, d):
     return I.merge_last(item_results(spark, d), updates, ["item_id"])
 
 
-def _assembly_batch(spark, d):
+def _assembly_batch(spark, d, request=False):
     rows = components(spark, d).groupBy("assembly_id").agg(F.array_sort(F.collect_list(F.struct((F.col("assembly_index") - 1).alias("assembly_index"), "item_id"))).alias("components"))
-    return rows.select((F.col("assembly_id") % 500).alias("product_id"), "components")
+    extra = [F.col("assembly_id").alias("request_id")] if request else []
+    return rows.select(*extra, (F.col("assembly_id") % 500).alias("product_id"), "components")
 
 
 KEYS = f"{COMP}, k as (select assembly_id % 500 as product_id, '7_' || string_agg(cast(item_id as varchar), '_' order by assembly_index) as component_key, count(*) as n from comp group by assembly_id)"
@@ -197,6 +198,39 @@ def create_assembly(spark, d):
     return components(spark, d).groupBy("assembly_id").agg(J.contiguous(F.min(i), F.max(i), F.count_distinct(i), F.count("*")).alias("accepted"))
 
 
+@register("get_or_create_assembly", f"with {COMP}, b as (select assembly_id as request_id, assembly_id % 500 as product_id, string_agg(cast(item_id as varchar), '_' order by assembly_index) as p, min(assembly_index) = 1 and max(assembly_index) = count(*) as accepted from comp group by assembly_id) select request_id, accepted, case when accepted then count(*) over (partition by accepted, p, product_id) end as sharing from b")
+def get_or_create_assembly(spark, d):
+    """Requests for assemblies, half of them made before; how many requests got the same one."""
+    batch = _assembly_batch(spark, d, request=True)
+    none = spark.createDataFrame([], "assembly_id long, assembly_key string, component_key string, product_id long")
+    old, _, _ = I.create_assembly(none, batch.filter("product_id < 250"), 7)
+    _, _, out = I.create_assembly(old, batch, 7)
+    shared = out.filter("accepted").groupBy("assembly_id").agg(F.count("*").alias("sharing"))
+    return out.join(shared, "assembly_id", "left").select("request_id", "accepted", "sharing")
+
+
+@register("relink_plugins", "with b as (select distinct l_partkey as plugin_id, l_suppkey as embedding_id from lineitem), w as (select s_suppkey as plugin_id, unnest([s_nationkey, s_nationkey + 1]) as embedding_id from supplier) select * from b where plugin_id not in (select plugin_id from w) union select plugin_id, embedding_id from w")
+def relink_plugins(spark, d):
+    links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("plugin_id"), F.col("l_suppkey").alias("embedding_id")).distinct()
+    nation = F.col("s_nationkey").cast("long")
+    wanted = table(spark, d, "supplier").select(F.col("s_suppkey").alias("plugin_id"), F.explode(F.array(nation, nation + 1)).alias("embedding_id"))
+    return I.relink(links, wanted, "plugin_id")
+
+
+@register("checkin_knn_sources", f"with {Q}, h as (select q.query_id, lib.external_id, row_number() over (partition by q.query_id order by list_cosine_similarity(q.vec, lib.vec) desc, lib.item_id) as rank, lib.label, lib.vec from q, lib), f as (select external_id, max(query_id) as last, any_value(label) as label, any_value(vec[1]) as first from h where rank <= 10 group by 1) select external_id, cast(last as varchar) as source, round(first, 6) as first from f")
+def checkin_knn_sources(spark, d):
+    """Items, sources and embeddings of what a search returns; the last query that found an item is its source's id."""
+    from vecclimb.operators.knn import knn
+    from vecclimb.queries.standins import asked, library
+
+    lib = library(spark, d)
+    hits = knn(asked(spark, d).drop("embedding_id"), lib).join(lib.select("item_id", "external_id", "label", "vec"), "item_id")
+    hits = hits.select(F.col("external_id").alias("item"), F.col("query_id").cast("string").alias("external_id"), F.col("label").alias("embedding_id"), "vec", F.col("query_id").alias("seq"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    found, sources, embedded = I.checkin_knn(none("item_id long, item string"), none("item_id long, plugin_id long, external_id string"), none("item_id long, embedding_id long, vec array<double>"), hits, 3)
+    return found.join(sources, "item_id").join(embedded, "item_id").select(F.col("item").alias("external_id"), F.col("external_id").alias("source"), F.round(F.element_at("vec", 1), 6).alias("first"))
+
+
 @register("checkin_assembly_outputs", f"with {KEYS} select component_key || '_' || product_id as assembly_key, cast(min(n) as bigint) as parents from k where product_id % 10 <> 0 group by 1")
 def checkin_assembly_outputs(spark, d):
     outputs = _assembly_batch(spark, d).withColumn("valid", F.col("product_id") % 10 != 0)  # the others failed
@@ -416,6 +450,12 @@ def execute_role(spark, d):
     return executed(spark, d).select("event_id", "source", "value", "valid")
 
 
+@register("execute_role_stored", f"with {EXECUTED} select key, value from store union select key, value from ex where source = 'remaining' and value is not null")
+def execute_role_stored(spark, d):
+    """The store after a call of a role whose results are always stored."""
+    return roles.stored_results(roles.Plugin(9, "score", None), executed(spark, d), _cached(spark, d)[1], "key")
+
+
 @register("failure_to_invalid", f"with {PLUG} select plugin_id, size % 11 <> 0 as valid, case when size % 11 <> 0 then round(price * 2, 6) end as value, case when size % 11 = 0 then 'ValueError: size' end as error from plug")
 def failure_to_invalid(spark, d):
     """A pandas function that raises for some rows: they become invalid, with the error."""
