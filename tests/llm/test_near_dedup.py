@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from vecclimb.llm import near_dedup, skew
 from vecclimb.llm.components import connected_components
 from vecclimb.llm.near_dedup import near_duplicates
 from vecclimb.session import Workspace
@@ -54,7 +55,7 @@ def test_edge_cases(spark):
     long = " ".join(f"t{i}" for i in range(30000))
     docs = [(5, None), (6, ""), (7, " \t\n"), (1, "One two"), (2, "one  TWO"), (3, long), (9, long + " end"), (4, "solo"), (4, "solo"), (None, "one two"), (None, "nobody else")]
     frame = spark.createDataFrame([(*d, "bait", 1) for d in docs], "doc_id long, text string, node string, keys int")
-    got = [tuple(r) for r in near_duplicates(frame, 3, 85).collect()]
+    got = [tuple(r)[:4] for r in near_duplicates(frame, 3, 85).collect()]
     by = {r[0]: r for r in got if r[0] is not None}
     assert by[5] == (5, 0, 5, True) and by[6] == (6, 0, 6, True) and by[7] == (7, 0, 7, True)
     assert by[1] == (1, 1, 1, True) and by[2] == (2, 1, 1, False)
@@ -65,6 +66,37 @@ def test_edge_cases(spark):
     assert near_duplicates(frame.limit(0), 3, 85).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    """Whatever the order of the rows, each is in the group of its own text, and one row of a group is chosen."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    docs = [(1, text("a")), (1, text("b")), (2, text("a") + " end"), (3, text("b") + " end"), (None, text("c")), (None, text("c") + " end"), (None, text("d")), (4, text("d")), (5, None), (5, None)]
+    for seed in range(3):
+        random.Random(seed).shuffle(docs)
+        rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85, keep=("text",)).collect()
+        found = sorted((str(r.text)[:1], r.doc_id or 0, r.component_id or 0, r.kept, r.chosen) for r in rows)
+        c = [x for x in found if x[0] == "c"]
+        assert [x for x in found if x[0] in "abd"] == [("a", 1, 1, True, True), ("a", 2, 1, False, False), ("b", 1, 1, True, True), ("b", 3, 1, False, False), ("d", 0, 4, False, False), ("d", 4, 4, True, True)]
+        assert [x[:4] for x in c] == [("c", 0, 0, True)] * 2 and sum(x[4] for x in c) == 1
+        assert [x for x in found if x[0] == "N"] == [("N", 5, 5, True, True)] * 2
+
+
+def test_large_buckets_and_hot_keys(spark, monkeypatch):
+    """Buckets of many blocks, open members of a star, and salted keys give the same groups."""
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 7)
+    monkeypatch.setattr(skew, "LEAST_ROWS", 3)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(90)]
+    docs, words = [], base
+    for i in range(150):  # a chain that drifts away from its start, with copies
+        if i % 3:
+            words = list(words)
+            words[rng.randrange(len(words))] = f"x{i}"
+        docs.append((i, " ".join(words)))
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85, bands=48, rows=3).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, 3, 85)
+    assert sum(r.chosen for r in got) == len({r.component_id for r in got})
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200 + i, 200) for i in range(30)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long"), Workspace(spark, "t")).collect()))

@@ -15,7 +15,7 @@ from vecclimb.session import table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), ngram=3, percent=85, bands=32, rows=6)
+    return near_duplicates(table(spark, sf_dir, "documents"), ngram=3, percent=85, bands=32, rows=6).drop("chosen")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

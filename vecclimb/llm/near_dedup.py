@@ -10,16 +10,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vecclimb.llm import words as W
+from vecclimb.llm.bitmap import bitmap_of, passes
 from vecclimb.llm.components import connected_components
+from vecclimb.llm.skew import hot_keys, spread_join
 from vecclimb.session import Workspace, ship
 
 #: Buckets of up to so many different texts give their pairs directly; larger ones give a star and,
-#: where the star leaves anything open, blocks of at most so many texts or shingles.
+#: where the star leaves anything open, blocks of about so many texts or shingles.
 SMALL, BLOCK_TEXTS, BLOCK_SHINGLES = 8, 1024, 1_000_000
-#: Ids that may be broadcast (8 bytes each); beyond that the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: Bits of the bitmap of the texts whose full sets are needed: 8 MB, whatever their number.
+WANTED_BITS = 26
 
 
 def shingles(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -55,7 +58,7 @@ def _sign(n: int, bands: int, rows: int):
         salt = W.mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             sizes, digests, signatures, keys = [], [], [], []
-            for _, found in shingles(batch.column(1), n):
+            for _, found in shingles(batch.column(0), n):
                 sizes.append(len(found))
                 if not len(found):
                     digests.append(None), signatures.append(None), keys.append(None)
@@ -67,21 +70,22 @@ def _sign(n: int, bands: int, rows: int):
                 for j in range(rows):
                     key = W.mix(key * np.uint64(0xD6E8FEB86659FD93) + low[j::rows])
                 keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "signature", "keys"],
-            )
+            found = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, "n_shingles", "digest", "signature", "keys"])
 
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, wanted):
+    """Full sets of the texts (row, hash, text) whose hash is in the broadcast bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(passes(wanted.value, batch.column(1).to_numpy())))
             ids, low = batch.column(0), 0
             out: list[bytes] = []
             size = 0
-            for k, found in shingles(batch.column(1), n):
+            for k, found in shingles(batch.column(2), n):
                 out.append(found.tobytes())
                 size += 8 * len(found)
                 if size > 1 << 24 or k == len(ids) - 1:
@@ -185,43 +189,50 @@ def _compare_block(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): the near-duplicate group of every document.
+def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., n_shingles, component_id, kept, chosen): the near-duplicate group of every document.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. Two documents are linked if
     their sets of ngram-word shingles have a Jaccard similarity of at least percent / 100; a text of
-    fewer words is one shingle. component_id is the smallest doc_id reachable by links, kept marks it.
-
-    Method: bands * rows universal hash minima; documents that share a band are candidates. Equal
-    sets are one node from the start. Small buckets give their pairs; a large one gives a star from
-    its smallest node, and if some member is not linked to that, its members are compared block by
-    block over their full sets. So every candidate pair is confirmed on full sets or already joined.
-    A pair at the threshold shares no band with probability (1 - s ** rows) ** bands: 3e-6 at 0.8
-    with 5 rows, 3e-7 at 0.85 with 6.
-
-    Null and empty texts and texts of white space have no shingles and link with nothing. Rows that
-    share a doc_id and a text are one document, and each of them is returned. A null doc_id is
-    returned with its group's component, and stands for a group only if all its ids are null. An
-    empty table gives an empty result; further columns are ignored.
+    fewer words is one shingle. component_id is the smallest doc_id reachable by links, kept marks the rows
+    that have it, chosen exactly one row of each group: of the rows with the least doc_id, the one with the
+    least hash of its text.
+
+    Method: bands * rows universal hash minima; documents that share a band are candidates. Rows of equal
+    sets are one node, named by one of them, so that rows which share an id are apart where their texts are.
+    Small buckets give their pairs; a large one gives a star from its smallest node, and if some members are
+    not linked to that, they are compared block by block with each other and the rest, over their full
+    sets. So every candidate pair is confirmed on full sets or already joined. A pair at the threshold
+    shares no band with probability (1 - s ** rows) ** bands: 3e-6 at 0.8 with 5 rows, 3e-7 at 0.85 with 6.
+
+    Null and empty texts and texts of white space have no shingles, link with nothing and are all chosen. Rows
+    that share a doc_id, with equal or different texts, are each returned with the group of their own
+    text. A null doc_id is returned with its group's component, and stands for a group only if all its
+    ids are null. An empty table gives an empty result; columns that are not kept are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     work = Workspace(spark, "near")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = work.save(base.mapInArrow(_sign(ngram, bands, rows), "doc_id long, n_shingles long, digest binary, signature binary, keys array<long>"), "signed")
-    classes = work.save(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = signed.filter("digest is not null and doc_id is not null").join(classes, (signed.digest == classes.digest) & (signed.doc_id == classes.node)).select("node", "n_shingles", "signature", "keys").dropDuplicates(["node"])
-    nodes = work.save(nodes, "nodes")
+    base = docs.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"), F.struct(F.lit(0).alias("_0"), *keep).alias("_kept"), F.xxhash64(text_col).alias("_hash"))
+    signing = StructType([*base.schema.fields, *StructType.fromDDL("n_shingles long, digest binary, signature binary, keys array<long>").fields])
+    # the written number of a row is its name from here on
+    signed = work.save(base.mapInArrow(_sign(ngram, bands, rows), signing).withColumn("row", F.monotonically_increasing_id()), "signed")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_hash", "row"))
+    # rows of one digest have equal sets, signatures and keys
+    classes = signed.filter("digest is not null").groupBy("digest").agg(first.alias("best"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "keys")))
+    nodes = work.save(classes.withColumn("node", F.col("best.row")), "nodes")
+    classes = nodes.select("digest", "node", "best", "copies")
+    total = signed.count()
 
     members = nodes.select("node", F.explode("keys").alias("bucket"), "n_shingles")
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("leader"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.sum("n_shingles").alias("weight")).filter("m > 1")
-    buckets = buckets.groupBy("m", "leader", "mark", "weight").agg(F.min("bucket").alias("bucket"))
-    members = work.save(members.join(buckets.select("bucket", "m", "leader", "weight"), "bucket"), "members")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("leader"), F.min_by("n_shingles", "node").alias("nx"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"), F.sum("n_shingles").alias("weight")).filter("m > 1")
+    buckets = work.save(buckets.groupBy("m", "leader", "nx", "mark", "weight").agg(F.min("bucket").alias("bucket")), "buckets")
+    hot = hot_keys(buckets, ["bucket"], "m", total * bands)
+    members = work.save(spread_join(members, buckets.select("bucket", "m", "leader", "nx"), ["bucket"], hot), "members")
 
     lists = members.filter(f"m <= {SMALL}").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "n_shingles"))).alias("all"))
     small = lists.select(F.explode(F.expr("flatten(transform(all, (p, i) -> transform(slice(all, i + 2, size(all)), q -> struct(p.node as x, q.node as y, p.n_shingles as nx, q.n_shingles as ny))))")).alias("e")).select("e.*")
-    sizes = members.filter(f"m > {SMALL} and node = leader").select("bucket", F.col("n_shingles").alias("nx"))
-    star = members.filter(f"m > {SMALL} and node <> leader").join(sizes, "bucket").select(F.col("leader").alias("x"), F.col("node").alias("y"), "nx", F.col("n_shingles").alias("ny"))
+    star = members.filter(f"m > {SMALL} and node <> leader").select(F.col("leader").alias("x"), F.col("node").alias("y"), "nx", F.col("n_shingles").alias("ny"))
     pairs = small.unionByName(star).filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").select("x", "y").distinct()
 
     signature = nodes.select("node", "signature")
@@ -230,25 +241,37 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, bands: i
     least = int(k * s - 6 * (k * s * (1 - s)) ** 0.5)  # six standard deviations below the threshold
     pairs = work.save(pairs.select("x", "y", "sx", "sy").mapInArrow(_alike(least), "x long, y long"), "pairs")
 
-    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).union(members.filter(f"m > {SMALL}").select("node")).distinct()
-    wanted = work.save(wanted, "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = base.join(F.broadcast(wanted) if few else wanted, base.doc_id == wanted.node, "left_semi")
-    sets = work.save(texts.mapInArrow(_sets(ngram), "node long, items binary").dropDuplicates(["node"]), "sets")
-    ends = pairs.join(sets.select(F.col("node").alias("x"), F.col("items").alias("ix")), "x").join(sets.select(F.col("node").alias("y"), F.col("items").alias("iy")), "y")
+    # sets of rows that only pass the bitmap by chance meet no pair
+    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).union(members.filter(f"m > {SMALL}").select("node"))
+    sent = spark.sparkContext.broadcast(bitmap_of(wanted, F.xxhash64("node"), WANTED_BITS))
+    sets = work.save(signed.filter("digest is not null").select("row", F.xxhash64("row").alias("hash"), "_text").mapInArrow(_sets(ngram, sent), "node long, items binary"), "sets")
+    # one plan for any number of pairs: sets are shuffled once, pairs with a set once
+    ends = pairs.join(sets.hint("merge").select(F.col("node").alias("x"), F.col("items").alias("ix")), "x").join(sets.hint("merge").select(F.col("node").alias("y"), F.col("items").alias("iy")), "y")
     links = work.save(ends.select("x", "y", "ix", "iy").mapInArrow(_confirm(percent), "x long, y long"), "links")
 
     large = members.filter(f"m > {SMALL}").join(links.select(F.col("x").alias("leader"), F.col("y").alias("node"), F.lit(True).alias("joined")), ["leader", "node"], "left")
     large = large.withColumn("joined", F.coalesce("joined", F.col("node") == F.col("leader")))
-    open_ = large.groupBy("bucket").agg(F.count_if(~F.col("joined")).alias("left_over")).filter("left_over > 0").select("bucket")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_TEXTS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    dealt = large.join(open_, "bucket").select("bucket", "node", F.when(F.col("joined"), F.col("leader")).otherwise(F.col("node")).alias("label"), blocks.alias("n"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    dealt = dealt.select("bucket", "node", "label", "block", F.explode(F.expr("transform(sequence(0, n - 1), o -> struct(least(o, block) as lo, greatest(o, block) as hi))")).alias("at"))
+    large = work.save(large.withColumn("label", F.when(F.col("joined"), F.col("leader")).otherwise(F.col("node"))), "large")
+    count = lambda flag: F.greatest(F.ceil(F.count_if(flag) / BLOCK_TEXTS), F.ceil(F.sum(F.when(flag, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    blocks = large.groupBy("bucket").agg(count(F.col("joined")).alias("nj"), count(~F.col("joined")).alias("no"), count(F.lit(True)).alias("all")).filter("no > 0")
+    dealt = spread_join(large, blocks, ["bucket"], hot).withColumn("joined", F.col("joined") & (F.col("all") > 1)).withColumn("nj", F.when(F.col("all") > 1, F.col("nj")).otherwise(0))
+    # what fits into one block is one; else those joined to the leader come first, and only pairs of blocks
+    # with open members are compared
+    number = F.pmod(F.xxhash64("node"), F.when(F.col("joined"), F.col("nj")).otherwise(F.col("no"))).cast("int")
+    dealt = dealt.select("bucket", "node", "joined", "label", "nj", "no", F.when(F.col("joined"), number).otherwise(F.col("nj") + number).alias("block"))
+    dealt = dealt.select("bucket", "node", "label", "block", F.explode(F.expr("transform(sequence(if(joined, nj, 0), nj + no - 1), o -> struct(least(o, block) as lo, greatest(o, block) as hi))")).alias("at"))
     dealt = dealt.select("bucket", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "block", "node", "label").join(sets, "node")
     more = dealt.groupBy("bucket", "lo", "hi").applyInPandas(_compare_block(percent), "u long, v long")
 
     found = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(more), work)
-    groups = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    linked_ = work.save(classes.join(found, "node").select("digest", "component", "best"), "linked")
+    tops = work.save(linked_.groupBy("component").agg(F.min("best").alias("top"), F.count("*").alias("n")), "tops")
+    groups = spread_join(linked_, tops.select("component", "top"), ["component"], hot_keys(tops, ["component"], "n", total)).select("digest", "top")
+    groups = groups.unionByName(classes.join(linked_.select("digest"), "digest", "left_anti").select("digest", F.col("best").alias("top")))
+    in_group = spread_join(signed.filter("digest is not null").select("row", "_id", "n_shingles", "digest"), groups, ["digest"], hot_keys(classes, ["digest"], "copies", total))
+    in_group = in_group.select("row", "_id", "n_shingles", F.col("top.id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("chosen"))
+    alone = signed.filter("digest is null").select("row", "_id", "n_shingles", F.col("_id").alias("component_id"), F.lit(True).alias("chosen"))
+    out = in_group.unionByName(alone).withColumn("kept", F.col("_id").eqNullSafe(F.col("component_id")))
+    if keep:
+        out = out.join(signed.select("row", "_kept"), "row")
+    return out.select(F.col("_id").alias("doc_id"), *(F.col(f"_kept.{c}") for c in keep), "n_shingles", "component_id", "kept", "chosen")
