@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from vecclimb.llm import sharding, url_filter
+from vecclimb.llm import sharding, skew, url_filter, vector_dedup
 from vecclimb.llm.vector_dedup import near_vectors
 from vecclimb.session import Workspace
 
@@ -67,6 +67,19 @@ def test_near_vectors_edge_cases(spark):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_near_vectors_of_one_id_and_large_buckets(spark, monkeypatch):
+    """Vectors that share an id are nodes of their own; blocks of a bucket and salted keys lose no link."""
+    monkeypatch.setattr(vector_dedup, "BLOCK", 16)
+    monkeypatch.setattr(skew, "LEAST_ROWS", 3)
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (1, [1.0, 0.0], 1)]
+    got = sorted(map(tuple, near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    rng = np.random.default_rng(2)
+    many = [(i, (np.ones(8) + rng.normal(size=8) * 0.01).tolist(), 0) for i in range(200)]
+    rows = near_vectors(spark.createDataFrame(many, "vec_id long, embedding array<double>, label int")).collect()
+    assert all((r.n_links, r.component_id, r.kept) == (199, 0, r.vec_id == 0) for r in rows)
+
+
 def test_hosts_paths_and_rules(spark):
     rows = [(1, "http://Example.COM/en/7x?q#f"), (2, "https://a.example.com/en/1"), (3, "ftp://b.net/de/"), (4, "x://example.net/de/8"), (5, None), (6, "no scheme"), (7, "http://c.org?x"), (8, "http://com/en/"), (9, "http://notcom.xcom/en/"), (10, "a://b://c/d"), (11, "http://d.org/es/#"), (11, "http://d.org/es/#")]
     frame = spark.createDataFrame([(*r, None, "bait") for r in rows], "page_id long, url string, html string, host string")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecclimb.llm.components import connected_components
+from vecclimb.llm.skew import hot_keys, spread_join
 from vecclimb.session import Workspace, ship
 
 #: Vectors of one block of a bucket; a larger bucket is compared block by block.
@@ -28,7 +29,11 @@ def _hash(tables: int, hashes: int, width: float):
         for batch in batches:
             for low in range(0, len(batch), 2048):
                 part = batch.slice(low, 2048)
-                vectors = [np.array(v, np.float64) if v is not None and None not in v else np.zeros(0) for v in part.column(2).to_pylist()]
+                column = part.column(2)
+                ends = column.offsets.to_numpy()
+                flat, ends = column.values.slice(ends[0], ends[-1] - ends[0]), ends - ends[0]
+                values, null = flat.fill_null(np.nan).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+                vectors = [np.zeros(0) if null[i] else values[ends[i] : ends[i + 1]] for i in range(len(part))]
                 unit, keys = [None] * len(part), [None] * len(part)
                 for size in {len(v) for v in vectors} - {0}:
                     at = [i for i, v in enumerate(vectors) if len(v) == size]
@@ -139,29 +144,35 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = 24, hash
     of about 0.05 %. n_links counts the other vectors linked directly, component_id is the
     smallest vec_id reachable.
 
-    Vectors of equal direction bit for bit are one node with a count of copies. Buckets are salted into
-    blocks of BLOCK nodes, compared by pairs of blocks; only counts and a forest of the links leave a
-    task, so that a hot bucket is neither collected nor written as pairs.
+    Vectors of equal label and direction bit for bit are one node, named by one of their rows, with a count of
+    copies. Buckets are salted into blocks of BLOCK nodes, compared by pairs of blocks; only counts and a forest
+    of the links leave a task, so that a hot bucket is neither collected nor written as pairs.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and those of a null
-    label, link with nothing. Vectors of different lengths are not compared. Rows that share a vec_id,
-    label and direction count as copies of each other; a null vec_id is returned and counts as a copy. An
-    empty table gives an empty result; further columns are ignored.
+    label, link with nothing. Vectors of different lengths are not compared. Rows that share a vec_id
+    are told apart by label and direction, and count as copies of each other where both are equal; a null
+    vec_id is returned and counts as a vector, and stands for a group only if all its ids are null. An empty
+    table gives an empty result; further columns are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
     work = Workspace(spark, "vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     hashed = rows.mapInArrow(_hash(tables, hashes, width), "vec_id long, label long, unit binary, keys array<long>")
-    hashed = work.save(hashed.withColumn("class", F.when(F.col("unit").isNotNull() & F.col("label").isNotNull(), F.md5(F.concat(F.col("label").cast("string").cast("binary"), F.lit(":").cast("binary"), "unit")))), "hashed")
-    classes = work.save(hashed.filter("class is not null").groupBy("class").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "classes")
-    nodes = hashed.filter("class is not null and vec_id is not null").join(classes, "class").filter("vec_id = node").dropDuplicates(["class"])
-    nodes = work.save(nodes.select("node", "label", "unit", "keys", "copies"), "nodes")
+    hashed = hashed.withColumns({"class": F.when(F.col("unit").isNotNull() & F.col("label").isNotNull(), F.md5(F.concat(F.col("label").cast("string").cast("binary"), F.lit(":").cast("binary"), "unit"))), "row": F.monotonically_increasing_id()})
+    hashed = work.save(hashed, "hashed")  # the written number of a row is its name from here on
+    total = hashed.count()
+    first = F.min(F.struct(F.col("vec_id").isNull().alias("none"), F.col("vec_id").alias("id"), "row"))
+    classes = hashed.filter("class is not null").groupBy("class").agg(first.alias("best"), F.count("*").alias("copies"))
+    classes = work.save(classes.select("class", F.col("best.row").alias("node"), F.col("best.id").alias("id"), "copies"), "classes")
+    nodes = hashed.select(F.col("row").alias("node"), "label", "unit", "keys").join(classes.select("node", "copies"), "node")
+    nodes = work.save(nodes, "nodes")
 
     placed = nodes.select("node", "label", F.posexplode("keys").alias("t", "bucket"))
-    full = placed.groupBy("t", "label", "bucket").agg(F.count("*").alias("m")).filter("m > 1")
+    full = work.save(placed.groupBy("t", "label", "bucket").agg(F.count("*").alias("m")).filter("m > 1"), "full")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = placed.join(full, ["t", "label", "bucket"]).select("t", "label", "bucket", "node", blocks.alias("n"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    by_bucket = ["t", "label", "bucket"]
+    dealt = spread_join(placed, full, by_bucket, hot_keys(full, by_bucket, "m", total * tables)).select("t", "label", "bucket", "node", blocks.alias("n"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     dealt = dealt.select("t", F.xxhash64("label", "bucket").alias("bucket"), "node", "block", F.explode(F.expr("transform(sequence(0, n - 1), o -> struct(least(o, block) as lo, greatest(o, block) as hi))")).alias("at"))
     dealt = dealt.select("t", "bucket", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "block", "node").join(nodes.drop("label"), "node")
     by = ["t", "bucket", "lo", "hi"]
@@ -170,7 +181,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, tables: int = 24, hash
 
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(found.filter("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v")), work)
-    known = classes.join(counts, "node", "left").join(groups, "node", "left").select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    out = hashed.select("vec_id", "class").join(known, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    linked = work.save(classes.select("node", "id").join(groups, "node"), "linked")
+    # the least id of a component; null only if all its ids are
+    tops = work.save(linked.groupBy("component").agg(F.min("id").alias("top"), F.count("*").alias("n")), "tops")
+    least_id = spread_join(linked.select("node", "component"), tops.select("component", "top"), ["component"], hot_keys(tops, ["component"], "n", total)).select("node", "top", F.lit(True).alias("grouped"))
+    known = classes.join(counts, "node", "left").join(least_id, "node", "left").select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("grouped"), F.col("top")).otherwise(F.col("id")).alias("component_id"))
+    out = spread_join(hashed.filter("class is not null").select("vec_id", "class"), known, ["class"], hot_keys(classes, ["class"], "copies", total)).select("vec_id", "n_links", "component_id")
+    out = out.unionByName(hashed.filter("class is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
