@@ -16,8 +16,7 @@ def auc(score, y):
     return ((a[:, None] > b[None]).mean() + 0.5 * (a[:, None] == b[None]).mean()).item()
 
 
-def measured(spark, module, label):
-    d = "/root/testdata/sf0.01"
+def measured(spark, module, label, d="/root/testdata/sf0.01"):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     rows = module.score(docs, module.fit(docs, labels)).join(labels, "doc_id").toPandas()
     held = rows[rows.held_out]
@@ -29,6 +28,51 @@ def test_quality_on_held_out_rows(spark):
     assert measured(spark, quality, "quality") > 0.93
 
 
+def test_toxicity_on_held_out_rows(spark):
+    assert measured(spark, toxicity, "toxic", "/root/testdata/sf0.1") > 0.96  # smaller tables hold out six toxic texts
+
+
+def test_prior_of_known_mixtures():
+    """Within 0.05, whatever the share of positives, from positives and mixtures alone."""
+    rng = np.random.default_rng(1)
+    draw = lambda n, at: rng.normal(at, 1, (n, 6))
+    for prior in (0.2, 0.5, 0.85):
+        n = int(4000 * prior)
+        mixture = rng.permutation(np.concatenate([draw(n, 1.2), draw(4000 - n, -1.2)]))
+        assert abs(quality.estimated_prior(draw(3000, 1.2), mixture) - prior) < 0.05
+
+
+def test_gradients_are_those_of_the_risk():
+    """Numeric differences, where the negative part of the risk is above zero and where it is below."""
+    rng = np.random.default_rng(4)
+    params = [rng.normal(0, 0.4, (5, 3)), rng.normal(0, 0.4, 3), rng.normal(0, 1, 3), np.array([0.2])]
+    p, u = rng.normal(0.5, 1, (20, 5)), rng.normal(-0.5, 1, (30, 5))
+    seen = set()
+    for prior in (0.1, 0.99):
+        for a, b in ((p, u), (u, p)):
+            _, rest, grads = quality.risk(params, a, b, prior)
+            value = lambda: (lambda good, part: good + part if rest >= 0 else -part)(*quality.risk(params, a, b, prior)[:2])
+            seen.add(rest >= 0)
+            for x, g in zip(params, grads):
+                for at in np.ndindex(x.shape):
+                    x[at] += 1e-6
+                    above = value()
+                    x[at] -= 2e-6
+                    below = value()
+                    x[at] += 1e-6
+                    assert abs((above - below) / 2e-6 - g[at]) < 1e-6
+    assert seen == {True, False}
+
+
+def test_long_texts_are_sampled_too(spark):
+    frame = spark.createDataFrame([(i, "word " * (50_000 if i % 2 else 2)) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2), int(i % 2)) for i in range(20)], "doc_id long, quality int, toxic int")
+    from vecclimb.llm.samples import labelled_texts
+
+    rows = labelled_texts(frame, labels, "toxic", 5, 0, 100, 1_000_000).collect()
+    assert sum(len(r.text) for r in rows if r.y == 1) == 1_000_000 and sum(r.y == 0 for r in rows) > 5
+
+
 def invented(seed, n):
     """Texts of invented words; a third hold one of a few bad words, some of them misspelt."""
     rng = random.Random(seed)

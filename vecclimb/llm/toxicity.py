@@ -262,8 +262,12 @@ def _calibrated(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarr
     return a[:-1] / scale, float(a[-1] - (a[:-1] * middle / scale).sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, most: int = 3000, most_chars: int = 20_000) -> Model:
-    """Train on up to `most` toxic and `most` clean labelled documents, none of the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, most: int = 3000, most_chars: int = 8_000_000) -> Model:
+    """Train on up to `most` toxic and `most` clean labelled documents, none of the held-out fold.
+
+    Texts may have any length; those of either label have most_chars characters together at most, which go to
+    the driver. train() draws up to most_bags bags of either label from them in a pass.
+    """
     sample = labelled_texts(docs, labels, "toxic", folds, fold, most, most_chars).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     return train(sample.column("text"), sample.column("y").to_numpy().astype(np.int64))
 
