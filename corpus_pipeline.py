@@ -24,14 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
 
-    Of rows that share a doc_id one stays; a row without id stays only as a group of its own.
+    Rows are told apart by their texts, also where they share a doc_id or have none.
     """
-    groups = near_dedup.near_duplicates(docs).filter("kept").select("doc_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    groups = Workspace(spark, "pipeline").save(groups, "kept")
-    few = groups.count() <= near_dedup.BROADCAST_IDS
-    chosen = docs.select(*COLUMNS).join(F.broadcast(groups) if few else groups, docs.doc_id.eqNullSafe(groups.doc_id)).select(docs.doc_id, *COLUMNS[1:], "copies")
-    repeated = chosen.filter("copies > 1 and doc_id is not null").dropDuplicates(["doc_id"])
-    return chosen.filter("copies = 1 or doc_id is null").unionByName(repeated).select(*COLUMNS)
+    return near_dedup.near_duplicates(docs, keep=COLUMNS[1:]).filter("chosen").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
