@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecclimb.functions.scalars import TERMINAL
@@ -53,7 +53,7 @@ def marked_pairs(fragments: DataFrame, rules: DataFrame) -> DataFrame:
     marks = fragments.select("id", F.explode(F.array_distinct("marks")).alias("mark"))
     left = marks.select(F.col("id").alias("left_id"), F.col("mark").alias("left_mark"))
     right = marks.select(F.col("id").alias("right_id"), F.col("mark").alias("right_mark"))
-    return left.join(F.broadcast(rules), "left_mark").join(right, "right_mark").filter("left_id <> right_id").select("left_id", "right_id").distinct()
+    return left.join(rules, "left_mark").join(right, "right_mark").filter("left_id <> right_id").select("left_id", "right_id").distinct()
 
 
 def marked_partner_counts(fragments: DataFrame, rules: DataFrame) -> DataFrame:
@@ -162,6 +162,51 @@ def cascade_delete(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame, ke
 
 
 def advantages(rows: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """(score - mean) / (population deviation + 1e-8) within the keys."""
-    by = Window.partitionBy(*keys)
-    return rows.withColumn("advantage", (F.col(score) - F.avg(score).over(by)) / (F.stddev_pop(score).over(by) + 1e-8))
+    """(score - mean) / (population deviation + 1e-8) within the keys.
+
+    Mean and deviation are aggregates, combined before the shuffle, so no task sees a whole key.
+    """
+    named = {k: f"_k{i}" for i, k in enumerate(keys)}
+    stats = rows.groupBy(*(F.col(k).alias(n) for k, n in named.items())).agg(F.avg(score).alias("_mean"), F.stddev_pop(score).alias("_deviation"))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()))
+    return rows.join(stats, same).select(*rows.columns, ((F.col(score) - F.col("_mean")) / (F.col("_deviation") + 1e-8)).alias("advantage"))
+
+
+def merged_sums(tables: list[DataFrame], key: str, *counters: str) -> DataFrame:
+    """Counters of all tables added by key; null and null is null, null and x is x."""
+    return reduce(DataFrame.unionByName, (t.select(key, *counters) for t in tables)).groupBy(key).agg(*(F.sum(c).alias(c) for c in counters))
+
+
+def reference_counts(rows: DataFrame, key: str, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """key and, for each table (table, column), how many of its rows refer to it, 0 if none does."""
+    out = rows.select(key)
+    for name, (t, c) in references.items():
+        out = out.join(t.groupBy(F.col(c).alias(key)).agg(F.count("*").alias(name)), key, "left")
+    return out.na.fill(0, list(references))
+
+
+def count_by_class(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of each class."""
+    return rows.groupBy(kind).agg(F.count("*").alias("n"))
+
+
+def unregistered(present: DataFrame, registered: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that are present but not registered (H1)."""
+    return present.select(key).distinct().join(registered.select(key), key, "left_anti")
+
+
+def distinct_pairs(*tables: DataFrame) -> DataFrame:
+    """Rows of all tables, each once, by position of the columns (H4)."""
+    return reduce(DataFrame.union, tables).distinct()
+
+
+def products_of(requests: DataFrame, assemblies: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """Every request with valid and products: the known products of its parents, with their external ids.
+
+    requests: request_id, key; assemblies: key, product_id; sources: product_id, external_id, of which a
+    product may have none. A request of unknown parents has no products and is not valid.
+    """
+    known = assemblies.select(key, "product_id").join(sources.select("product_id", "external_id"), "product_id", "left")
+    found = known.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("product_id", "external_id"))).alias("products"))
+    none = F.array().cast(found.schema["products"].dataType)
+    return requests.join(found, key, "left").withColumns({"valid": F.col("products").isNotNull(), "products": F.coalesce("products", none)})

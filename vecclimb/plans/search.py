@@ -14,6 +14,7 @@ from vecclimb.functions.scalars import over_limit
 from vecclimb.functions.vectors import dot, norm, step
 from vecclimb.operators.knn import knn, knn_to_items
 from vecclimb.operators.relations import advantages, pool_product
+from vecclimb.operators.sums import mean_vectors
 from vecclimb.operators.windows import last_wins, top_result
 from vecclimb.session import Workspace
 
@@ -21,22 +22,22 @@ from vecclimb.session import Workspace
 def gradients(rows: DataFrame, tops: DataFrame, keys: list[str], metric: str, dot_as_distance: bool = False) -> DataFrame:
     """keys and gradient: the gradient at each top's vec from rows with vec and advantage.
 
-    Sums go by position of the vector, combined before the shuffle. The Dot form is that of the plain
-    product, which points away from good items; dot_as_distance turns it round.
+    It is the mean of a vector for each row, summed in the tasks before the shuffle. The Dot form is that of
+    the plain product, which points away from good items; dot_as_distance turns it round.
     """
     at = tops.select(*keys, F.col("vec").alias("_q"))
     joined = rows.select(*keys, "vec", "advantage").join(at, keys)
+    w = F.col("advantage")
     if metric == "euclid":
-        part = F.zip_with("vec", "_q", lambda e, q: 2 * (q - e) / F.size(F.col("_q")))
-        weight, extra = F.col("advantage"), F.lit(0.0)
+        joined = joined.withColumn("_w", 2 * w / F.size("_q"))
+        term = F.zip_with("vec", "_q", lambda e, q: F.col("_w") * (q - e))
     elif metric == "cosine":
-        weight = F.col("advantage") / (norm(F.col("_q")) * norm(F.col("vec")))
-        part, extra = F.transform("vec", lambda e: -e), weight * dot(F.col("vec"), F.col("_q")) / dot(F.col("_q"), F.col("_q"))
+        joined = joined.withColumn("_w", w / (norm(F.col("_q")) * norm(F.col("vec"))))
+        joined = joined.withColumn("_x", F.col("_w") * dot(F.col("vec"), F.col("_q")) / dot(F.col("_q"), F.col("_q")))
+        term = F.zip_with("vec", "_q", lambda e, q: F.col("_x") * q - F.col("_w") * e)
     else:
-        part, weight, extra = F.transform("vec", lambda e: -e if dot_as_distance else e), F.col("advantage"), F.lit(0.0)
-    terms = joined.select(*keys, weight.alias("_w"), extra.alias("_x"), F.posexplode(F.arrays_zip(part.alias("p"), F.col("_q").alias("q"))).alias("_i", "_t"))
-    means = terms.groupBy(*keys, "_i").agg((F.avg(F.col("_w") * F.col("_t.p")) + F.avg(F.col("_x")) * F.first("_t.q")).alias("_g"))
-    return means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_g"))).alias("_a")).select(*keys, F.transform("_a", lambda a: a["_g"]).alias("gradient"))
+        term = F.transform("vec", lambda e: -w * e if dot_as_distance else w * e)
+    return mean_vectors(joined.select(*keys, term.alias("vec")), keys).withColumnRenamed("vec", "gradient")
 
 
 def step_embeddings(state: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,15 +128,20 @@ def staged_assembly(first: DataFrame, parents: DataFrame, rules: DataFrame, stag
     """Products of stages: a product that fits a rule's left side meets the parents that fit its right.
 
     first: product; parents: stage, part; rules: stage, left, right, sep (texts that products end, and
-    parts begin, with). A stage is two joins on the ends, its products distinct; where a stage has
-    several rules all their products go on.
+    parts begin, with). A product stands for each of its ends as long as any rule's, and a part for its
+    beginnings, so that both meet the rules by equality, however many there are. A stage's products are
+    distinct; where it has several rules all their products go on.
     """
+    lengths = {r["stage"]: (r["l"], r["r"]) for r in rules.groupBy("stage").agg(F.array_sort(F.collect_set(F.length("left"))).alias("l"), F.array_sort(F.collect_set(F.length("right"))).alias("r")).filter(F.col("stage") < stages).collect()}
+    cuts = lambda sizes: F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"))
     current = first.select("product").distinct()
     for s in range(stages):
-        rule = F.broadcast(rules.filter(F.col("stage") == s).select("left", "right", "sep"))
-        left = current.join(rule, F.col("product").endswith(F.col("left")))
-        parts = parents.filter(F.col("stage") == s).select("part").distinct().join(rule.select(F.col("right").alias("begin")).distinct(), F.col("part").startswith(F.col("begin")))
-        current = left.join(parts, left.right == parts.begin).select(F.concat("product", "sep", "part").alias("product")).distinct()
+        rule = rules.filter(F.col("stage") == s).select("left", "right", "sep").distinct()
+        l, r = lengths.get(s, ([], []))
+        ends = current.select("product", cuts(l).alias("_n")).filter(F.length("product") >= F.col("_n")).select("product", F.expr("right(product, _n)").alias("left"))
+        parts = parents.filter(F.col("stage") == s).select("part").distinct()
+        begins = parts.select("part", cuts(r).alias("_n")).filter(F.length("part") >= F.col("_n")).select("part", F.expr("left(part, _n)").alias("right"))
+        current = ends.join(rule, "left").join(begins, "right").select(F.concat("product", "sep", "part").alias("product")).distinct()
     return current
 
 

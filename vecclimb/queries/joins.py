@@ -56,12 +56,14 @@ def lookup_item_results(spark, d):
     return R.with_scores(requests(spark, d), item_results(spark, d), ["item_id"]).select("event_id", "item_id", "score", "valid")
 
 
-@register("lookup_assembly_results", f"with {COMPKEY}, r as (select p_partkey as request_id, cast(p_partkey as varchar) as key from part) select request_id, count(assembly_id) > 0 as valid, coalesce(string_agg(cast(assembly_id as varchar), ',' order by assembly_id), '') as products from r left join k using (key) group by 1")
+@register("lookup_assembly_results", f"with {COMPKEY}, r as (select p_partkey as request_id, cast(p_partkey as varchar) as key from part) select request_id, count(assembly_id) > 0 as valid, coalesce(string_agg(assembly_id || ':' || coalesce(cast(o_custkey as varchar), ''), ',' order by assembly_id), '') as products from r left join k using (key) left join orders on o_orderkey = assembly_id and o_orderkey % 3 > 0 group by 1")
 def lookup_assembly_results(spark, d):
     keyed = R.components_array(components(spark, d), "assembly_id", "assembly_index", "item_id").select("assembly_id", F.array_join(F.transform("components", lambda c: c["item_id"].cast("string")), "_").alias("key"))
     asked = plugins(spark, d).select(F.col("plugin_id").alias("request_id"), F.col("plugin_id").cast("string").alias("key"))
-    out = asked.join(keyed, "key", "left").groupBy("request_id").agg(F.array_sort(F.collect_list("assembly_id")).alias("p"))
-    return out.select("request_id", (F.size("p") > 0).alias("valid"), F.array_join(F.col("p").cast("array<string>"), ",").alias("products"))
+    sources = table(spark, d, "orders").filter("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("product_id"), F.col("o_custkey").cast("string").alias("external_id"))
+    out = R.products_of(asked, keyed.withColumnRenamed("assembly_id", "product_id"), sources, "key")
+    named = F.transform("products", lambda p: F.concat(p["product_id"].cast("string"), F.lit(":"), F.coalesce(p["external_id"], F.lit(""))))
+    return out.select("request_id", "valid", F.array_join(named, ",").alias("products"))
 
 
 @register("iteration_results_join", f"with {ITER}, {JOBS}, {RES} select iter.job_id, iteration, inference, status, score from iter join jobs using (job_id) left join res on res.item_id = iter.job_id")
@@ -204,15 +206,13 @@ def export_hierarchy(spark, d):
 @register("merge_execute_stats", f"with {REQ} select plugin_id, cast(sum(case when event_type = 'error' then null else k end) as bigint) as executed, cast(sum(case when item_id % 2 = 0 then item_id end) as bigint) as cached from req group by 1")
 def merge_execute_stats(spark, d):
     rows = requests(spark, d).select("plugin_id", F.when(F.col("event_type") != "error", F.col("k")).alias("executed"), F.when(F.col("item_id") % 2 == 0, F.col("item_id")).alias("cached"))
-    return rows.groupBy("plugin_id").agg(F.sum("executed").alias("executed"), F.sum("cached").alias("cached"))
+    return R.merged_sums([rows], "plugin_id", "executed", "cached")
 
 
 @register("merge_key_counts", f"with {REQ} select key, count(*) as n from req group by 1")
 def merge_key_counts(spark, d):
     rows = requests(spark, d).select("key", F.lit(1).cast("long").alias("n"), "event_type")
-    one, two = rows.filter("event_type = 'click'"), rows.filter("event_type <> 'click'")
-    counted = lambda x: x.groupBy("key").agg(F.sum("n").alias("n"))
-    return counted(counted(one).unionByName(counted(two)))
+    return R.merged_sums([rows.filter("event_type = 'click'"), rows.filter("event_type <> 'click'")], "key", "n")
 
 
 @register("execution_log", f"with {EXECUTED} select plugin_id, count(*) as inputs, count(distinct key) as unique_inputs, count(distinct key) filter (where source = 'cache') as cache_hits, count(distinct key) filter (where source = 'store') as stored_hits, count(distinct key) filter (where source = 'remaining') as executed, count(distinct key) filter (where source = 'remaining' and value is null) as failed from ex group by 1")
@@ -236,15 +236,13 @@ def parent_status_rollup(spark, d):
 
 @register("delete_preflight", f"with {PLUG}, {COMP}, {BRIDGE} select plugin_id, (select count(*) from b where b.plugin_id = plug.plugin_id) as jobs, (select count(*) from comp where item_id = plug.plugin_id) as assemblies from plug")
 def delete_preflight(spark, d):
-    bridge = table(spark, d, "lineitem").select(F.col("l_partkey").alias("plugin_id"), F.col("l_suppkey")).distinct().groupBy("plugin_id").agg(F.count("*").alias("jobs"))
-    uses = components(spark, d).groupBy(F.col("item_id").alias("plugin_id")).agg(F.count("*").alias("assemblies"))
-    out = plugins(spark, d).select("plugin_id").join(bridge, "plugin_id", "left").join(uses, "plugin_id", "left")
-    return out.na.fill(0, ["jobs", "assemblies"])
+    bridge = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return R.reference_counts(plugins(spark, d), "plugin_id", {"jobs": (bridge, "l_partkey"), "assemblies": (components(spark, d), "item_id")})
 
 
 @register("count_by_class", "select p_brand as grp, count(*) as n from part where p_name like 'red%' group by 1")
 def count_by_class(spark, d):
-    return plugins(spark, d).filter("name like 'red%'").groupBy("grp").agg(F.count("*").alias("n"))
+    return plugins(spark, d).filter("name like 'red%'").transform(R.count_by_class, "grp")
 
 
 @register("distinct_embedding_ids", "with a as (select l_partkey as id from lineitem) select id, 'duplicate' as problem from a group by 1 having count(*) > 1 union all select distinct id, 'unknown' from a where id not in (select s_suppkey from supplier)")
@@ -258,7 +256,7 @@ def distinct_embedding_ids(spark, d):
 
 @register("orphan_libraries", "select distinct label from embeddings except select n_nationkey % 7 from nation")
 def orphan_libraries(spark, d):
-    return table(spark, d, "embeddings").select("label").distinct().exceptAll(table(spark, d, "nation").select((F.col("n_nationkey") % 7).alias("label")).distinct())
+    return R.unregistered(table(spark, d, "embeddings"), table(spark, d, "nation").select((F.col("n_nationkey") % 7).alias("label")), "label")
 
 
 PAIRS = "p as (select a.p_name as l, b.p_name as r from part a join part b on b.p_partkey = a.p_partkey + 1)"
@@ -281,7 +279,7 @@ def union_sources(spark, d):
 @register("job_plugin_ids", "select o_orderkey as job_id, o_orderkey % 1000 as plugin_id from orders union select l_orderkey, l_partkey from lineitem")
 def job_plugin_ids(spark, d):
     config = jobs(spark, d).select("job_id", (F.col("job_id") % 1000).alias("plugin_id"))
-    return config.union(table(spark, d, "lineitem").select("l_orderkey", "l_partkey")).distinct()
+    return R.distinct_pairs(config, table(spark, d, "lineitem").select("l_orderkey", "l_partkey"))
 
 
 @register("invalid_ids", "select distinct user_id as id, 'unknown' as problem from events where user_id not in (select s_suppkey from supplier)")

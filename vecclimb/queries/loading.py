@@ -61,9 +61,10 @@ def load_summary(spark, d):
     return A.load_summary(_embedded(spark, d))
 
 
-@register("library_info", f"with {LIB} select embedding_id, count(*) as points, max(len(vec)) as vector_length from lib group by 1")
+@register("library_info", f"with {LIB} select embedding_id, count(*) as points, max(len(vec)) as vector_length, any_value(case n_regionkey % 2 when 0 then 'Cosine' else 'Euclid' end) as metric from lib left join nation on n_nationkey = embedding_id group by 1")
 def library_info(spark, d):
-    return A.library_info(library(spark, d))
+    metric = F.when(F.col("n_regionkey") % 2 == 0, "Cosine").otherwise("Euclid")
+    return A.library_info(library(spark, d), table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("embedding_id"), metric.alias("metric")))
 
 
 @register("library_snapshot", f"with {LIB} select item_id, embedding_id, external_id, round(vec[64], 6) as last from lib")

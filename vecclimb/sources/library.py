@@ -51,9 +51,10 @@ def load_summary(embedded: DataFrame) -> DataFrame:
     return records.agg(F.count_if("ok").alias("uploaded"), F.count_if(~F.col("ok")).alias("failed"))
 
 
-def library_info(library: DataFrame) -> DataFrame:
-    """Points and vector length of each named vector."""
-    return library.groupBy("embedding_id").agg(F.count("*").alias("points"), F.max(F.size("vec")).cast("long").alias("vector_length"))
+def library_info(library: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Points, vector length and metric of each named vector; embeddings: embedding_id, metric."""
+    sizes = library.groupBy("embedding_id").agg(F.count("*").alias("points"), F.max(F.size("vec")).cast("long").alias("vector_length"))
+    return sizes.join(embeddings.select("embedding_id", "metric"), "embedding_id", "left")
 
 
 def snapshot(library: DataFrame, path: str, version: str) -> DataFrame:
