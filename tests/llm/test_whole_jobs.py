@@ -1,7 +1,9 @@
 """Groups, links and windows of any size are done whole."""
 
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tests.llm.test_tables import check_shards
@@ -62,3 +64,43 @@ def test_large_benchmarks_are_joined(spark, monkeypatch):
     rows = decontaminate.find_overlaps(frame, spark.createDataFrame(items, "item_id long, text string"), most_windows=20).collect()
     assert pretty((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in rows) == pretty(brute_overlaps(docs, items))
     assert sent and not any(isinstance(value, list) for value in sent)
+
+
+def test_verdicts_are_those_of_a_dense_solution(spark):
+    """Hosts of a random graph of layers (few rounds) with links to themselves, a third of the links of three layers to
+    one host, against ranks solved with matrices."""
+    rng = random.Random(11)
+    hosts = [f"h{i}.{rng.choice(['net', 'org', 'xyz', 'xyz', 'xyz'])}" for i in range(60)]
+    weight, pages = Counter(), []
+    for i in range(400):
+        host = rng.choice(hosts[:50])  # the others are linked to, but have no pages
+        path = {"net": "/de/", "org": "/es/"}.get(host.split(".")[1], "/") if rng.random() < 0.6 else "/other"
+        layer = hosts.index(host) // 10
+        links = [hosts[32] if layer < 3 and rng.random() < 0.33 else rng.choice([host, *hosts[10 * layer + 10 :]]) for _ in range(rng.randrange(3))]
+        weight.update((host, to) for to in links)
+        pages.append((i, f"http://{host}{path}", " ".join(f'<a href="http://{to}/x">y</a>' for to in links)))
+    at = {h: k for k, h in enumerate(hosts)}
+    links = np.zeros((60, 60))
+    for (a, b), n in weight.items():
+        links[at[b], at[a]] = n
+
+    def ranks(m, suffix, path):
+        start = np.zeros(60)
+        for _, url, _ in pages:
+            host, _, rest = url[7:].partition("/")
+            start[at[host]] += host.endswith(suffix) and f"/{rest}".startswith(path)
+        out = m.sum(axis=0)
+        visits = np.linalg.solve(np.eye(60) - 0.85 * m / np.where(out > 0, out, 1), start)
+        return visits / visits.sum()
+
+    trust, distrust = ranks(links, ".net", "/de/"), ranks(links.T, ".org", "/es/")
+    assert not np.any((trust + distrust > 0) & (np.abs(distrust - trust) < 1e-4 * (trust + distrust)))
+    wanted = {}
+    for i, url, _ in pages:
+        host, _, rest = url[7:].partition("/")
+        rule = "allow" if host.endswith(".net") and rest == "de/" else "block" if host.endswith(".org") and rest == "es/" else None
+        wanted[i] = rule or ("block" if distrust[at[host]] > trust[at[host]] else "allow")
+    by_host = Counter(v for (i, url, _), v in zip(pages, wanted.values()) if url.endswith("/other"))
+    assert min(by_host["allow"], by_host["block"]) > 20
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(frame).collect()} == wanted
