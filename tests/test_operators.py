@@ -13,6 +13,7 @@ from vecclimb.operators import relations as R
 from vecclimb.operators import roles
 from vecclimb.operators import upserts as I
 from vecclimb.operators import windows as W
+from vecclimb.operators.sums import mean_vectors
 from vecclimb.plans import search as S
 from vecclimb.session import Workspace, table
 from vecclimb.sources import library as A
@@ -54,18 +55,6 @@ def test_knn_odd_rows(spark):
         K.knn(queries, lib, 5, "other")
 
 
-def test_approximate_search_recall(spark, sf):
-    from vecclimb.queries.standins import asked, library as points
-
-    lib, queries = points(spark, sf), asked(spark, sf).drop("embedding_id")
-    centres = K.train_centres(lib)
-    exact = {(r.query_id, r.item_id) for r in K.knn(queries, lib).collect()}
-    indexed = K.cells(lib, centres)
-    assert indexed.count() == lib.count()
-    found = {(r.query_id, r.item_id) for r in K.knn_approx(queries, indexed, centres, probes=12).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
-
-
 @pytest.mark.parametrize("metric", ["euclid", "cosine", "dot"])
 def test_gradient_is_that_of_the_loss(spark, metric):
     rng = np.random.default_rng(2)
@@ -97,6 +86,22 @@ def test_steps(spark):
     assert got == {(1, 0): [1.0, 1.0], (1, 1): [0.5, 1.0], (1, 2): [0.0, 1.0], (2, 0): [3.0, 3.0]}
 
 
+def test_means_skip_what_is_no_number(spark):
+    """Nulls and NaN count at no position; short and long vectors of a key meet by position."""
+    nan = float("nan")
+    rows = [(1, [1.0, None]), (1, [3.0, 4.0]), (1, None), (1, []), (2, [nan, 2.0]), (2, [5.0]), (3, [None, nan]), (None, [1.0, 2.0, 3.0]), (None, [3.0])]
+    frame = spark.createDataFrame(rows, "k long, vec array<double>").repartition(3)
+    assert {r.k: r.vec for r in mean_vectors(frame, ["k"]).collect()} == {1: [2.0, 4.0], 2: [5.0, 2.0], 3: [0.0, 0.0], None: [2.0, 2.0, 3.0]}
+
+
+def test_means_of_more_keys_than_are_held(spark, monkeypatch):
+    monkeypatch.setattr("vecclimb.operators.sums.MOST_KEYS", 5)
+    frame = spark.range(0, 3000, 1, 6).selectExpr("id % 100 as k", "array(double(id), double(id % 7)) as vec")
+    got = {r.k: r.vec for r in mean_vectors(frame, ["k"]).collect()}
+    ids = np.arange(3000)
+    assert len(got) == 100 and all(np.allclose(v, [ids[ids % 100 == k].mean(), (ids[ids % 100 == k] % 7).mean()]) for k, v in got.items())
+
+
 def test_job_climbs_and_scores_once(spark):
     x, lib = library(spark, 400, 4, 3)
     goal = np.array([1.0, 1.0, 1.0, 1.0])

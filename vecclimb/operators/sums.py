@@ -16,20 +16,36 @@ from vecclimb.session import ship
 MOST_KEYS = 4096
 
 
+def _rows(held: dict[tuple, list], keys: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array([k[i] for k in held], schema.field(name).type) for i, name in enumerate(keys)]
+    sums, counts = (pa.array([v[j].tolist() for v in held.values()], kind) for j, kind in enumerate((pa.list_(pa.float64()), pa.list_(pa.int64()))))
+    return pa.RecordBatch.from_arrays([*columns, sums, counts], names=[*keys, "sums", "counts"])
+
+
+def _added(held: dict[tuple, list], name: tuple, sums: np.ndarray, counts: np.ndarray) -> None:
+    """Add to a key's sums, by position; the longest vector gives the length."""
+    if name not in held:
+        held[name] = [sums.copy(), counts.copy()]
+        return
+    for j, new in enumerate((sums, counts)):
+        old = held[name][j]
+        if len(old) < len(new):
+            old, new = new.copy(), old
+            held[name][j] = old
+        old[: len(new)] += new
+
+
 def _partial(keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}  # by key and length of the vectors
+        held: dict[tuple, list] = {}
         schema = None
-
-        def out() -> pa.RecordBatch:
-            columns = [pa.array([k[0][i] for k in held], schema.field(name).type) for i, name in enumerate(keys)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([s.tolist() for s, _ in held.values()], pa.list_(pa.float64())), pa.array([n for _, n in held.values()], pa.int64())], names=[*keys, "sums", "n"])
-
         for batch in batches:
             schema = batch.schema
             vectors = batch.column("vec")
             ends = np.asarray(vectors.offsets)
-            flat = vectors.values.to_numpy(zero_copy_only=False)
+            flat = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become NaN
+            good = ~np.isnan(flat)
+            flat = np.where(good, flat, 0.0)
             sizes = np.diff(ends)
             names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
             for size in np.unique(sizes).tolist():
@@ -37,32 +53,55 @@ def _partial(keys: list[str]):
                 number: dict[tuple, int] = {}
                 codes = np.array([number.setdefault(names[r], len(number)) for r in rows.tolist()])
                 order = np.argsort(codes, kind="stable")
-                values = flat[ends[rows[order]][:, None] + np.arange(size)]
-                sums = np.add.reduceat(values, np.searchsorted(codes[order], np.arange(len(number))))
-                for name, s, n in zip(number, sums, np.bincount(codes).tolist()):
-                    if (name, size) in held:
-                        held[name, size][0] += s
-                        held[name, size][1] += n
-                    else:
-                        held[name, size] = [s.copy(), n]
+                at = ends[rows[order]][:, None] + np.arange(size)
+                first = np.searchsorted(codes[order], np.arange(len(number)))
+                sums, counts = np.add.reduceat(flat[at], first), np.add.reduceat(good[at].astype(np.int64), first)
+                for k, name in enumerate(number):
+                    _added(held, name, sums[k], counts[k])
             if len(held) > MOST_KEYS:
-                yield out()
+                yield _rows(held, keys, schema)
                 held.clear()
         if held:
-            yield out()
+            yield _rows(held, keys, schema)
+
+    return run
+
+
+def _merged(keys: list[str]):
+    """The means of keys whose partial sums stream by in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        schema = None
+
+        def means() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in held], schema.field(name).type) for i, name in enumerate(keys)]
+            vectors = [np.where(n > 0, s / np.maximum(n, 1), 0.0).tolist() for s, n in held.values()]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*keys, "vec"])
+
+        for batch in batches:
+            schema = batch.schema
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            for name, sums, counts in zip(names, batch.column("sums").to_pylist(), batch.column("counts").to_pylist()):
+                if len(held) > MOST_KEYS and name not in held:
+                    yield means()
+                    held.clear()
+                _added(held, name, np.array(sums), np.array(counts))
+        if held:
+            yield means()
 
     return run
 
 
 def mean_vectors(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and vec: the mean of the keys' vectors, by position; null and empty vectors do not count.
+    """keys and vec: the mean of the keys' vectors, by position; null and empty vectors do not count, nor do nulls and NaN in one.
 
-    A task gives a row a key and length, so a key of any number of rows reaches the shuffle as a few; then
-    positions are summed. A position counts the vectors that are long enough to have it.
+    A task gives a row a key, so a key of any number of rows reaches the only shuffle as a few; there they stream by in order of
+    their keys. A position counts the vectors that have a number in it; where none has, the mean is 0.
     """
     ship(rows.sparkSession)
-    given = rows.filter(F.size("vec") > 0).select(*keys, "vec")
-    schema = StructType([*(given.schema[k] for k in keys), *StructType.fromDDL("sums array<double>, n long").fields])
-    terms = given.mapInArrow(_partial(keys), schema).select(*keys, "n", F.posexplode("sums").alias("_i", "_s"))
-    means = terms.groupBy(*keys, "_i").agg((F.sum("_s") / F.sum("n")).alias("_m"))
-    return means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_a")).select(*keys, F.transform("_a", lambda a: a["_m"]).alias("vec"))
+    given = rows.filter(F.size("vec") > 0).select(*keys, F.col("vec").cast("array<double>").alias("vec"))
+    fields = [given.schema[k] for k in keys]
+    terms = given.mapInArrow(_partial(keys), StructType([*fields, *StructType.fromDDL("sums array<double>, counts array<long>").fields]))
+    sorted_ = terms.repartition(*keys).sortWithinPartitions(*keys)
+    return sorted_.mapInArrow(_merged(keys), StructType([*fields, *StructType.fromDDL("vec array<double>").fields]))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vecclimb.functions.scalars import over_limit
 from vecclimb.functions.vectors import dot, norm, step
@@ -16,6 +16,7 @@ from vecclimb.operators.knn import knn, knn_to_items
 from vecclimb.operators.relations import advantages, pool_product
 from vecclimb.operators.sums import mean_vectors
 from vecclimb.operators.windows import last_wins, top_result
+from vecclimb.plans.journal import Journal
 from vecclimb.session import Workspace
 
 
@@ -60,27 +61,27 @@ def whole_groups(groups: DataFrame, keys: list[str], positions: int) -> DataFram
 
 def search_single(queries: DataFrame, library: DataFrame, k: int, metric: str) -> DataFrame:
     """Candidates from one library: hits with item columns and query group (L2)."""
-    return knn_to_items(knn(queries, library, k, metric), library, queries)
+    return knn_to_items(queries, library, k, metric)
 
 
-def search_pools(queries: DataFrame, library: DataFrame, metric: str) -> DataFrame:
+def search_pools(queries: DataFrame, library: DataFrame, metric: str, keys: tuple[str, ...] = ("input_id", "query_group")) -> DataFrame:
     """Hits of each position's query in the library of its position, with its own k.
 
-    queries: input_id, query_group, assembly_index, vec, k; library: embedding_id = position.
+    queries: keys, assembly_index, vec, k; library: embedding_id = position. Hits bring item and vec along.
     """
-    asked = queries.withColumns({"query_id": F.xxhash64("input_id", "query_group", "assembly_index"), "embedding_id": F.col("assembly_index")})
-    hits = knn(asked, library, metric=metric)
-    return hits.join(asked.select("query_id", "input_id", "query_group", "assembly_index"), "query_id").join(library.select("item_id", "item", "vec"), "item_id")
+    asked = queries.withColumns({"query_id": F.xxhash64(*keys, "assembly_index"), "embedding_id": F.col("assembly_index")})
+    hits = knn(asked, library, metric=metric, carry=["item", "vec"])
+    return hits.join(asked.select("query_id", *keys, "assembly_index"), "query_id")
 
 
-def search_assembled(queries: DataFrame, library: DataFrame, positions: int, metric: str, assemble: Callable[[list[Column]], Column]) -> DataFrame:
-    """Products of one parent of each position, within input and query group (L3).
+def search_assembled(queries: DataFrame, library: DataFrame, positions: int, metric: str, assemble: Callable[[list[Column]], Column], keys: tuple[str, ...] = ("input_id", "query_group")) -> DataFrame:
+    """Products of one parent of each position, within the keys: input and query group, and the query where there are several (L3).
 
-    (input_id, query_group, item_id_i, vec_i, rank_i ..., product)
+    (keys, item_id_i, vec_i, rank_i ..., product)
     """
-    hits = search_pools(queries, library, metric)
-    pools = [hits.filter(F.col("assembly_index") == i).select("input_id", "query_group", "item_id", "item", "vec", "rank") for i in range(positions)]
-    return pool_product(pools, ["input_id", "query_group"]).withColumn("product", assemble([F.col(f"item_{i}") for i in range(positions)]))
+    hits = search_pools(queries, library, metric, keys)
+    pools = [hits.filter(F.col("assembly_index") == i).select(*keys, "item_id", "item", "vec", "rank") for i in range(positions)]
+    return pool_product(pools, list(keys)).withColumn("product", assemble([F.col(f"item_{i}") for i in range(positions)]))
 
 
 def fan_out(config: DataFrame, positions: int) -> DataFrame:
@@ -171,102 +172,211 @@ class Job:
     group: bool = False
     positions: int = 1
     assemble: Callable[[list[Column]], Column] | None = None
-    mapper: Callable[[DataFrame], DataFrame] | None = None  # input_id, query_group, vec -> rows with assembly_index and vec
+    mapper: Callable[[DataFrame], DataFrame] | None = None  # input_id, query_no, query_group, vec -> rows with assembly_index and vec
     embed: Callable[[list[Column]], Column] | None = None  # vectors of the parents -> vector of the product
     filters: Callable[[DataFrame], DataFrame] | None = None  # rows as for score, with valid: may set it to false
 
 
+    def settings(self) -> str:
+        """What must be the same for a broken-off run to go on."""
+        return repr((self.k, self.metric, self.rates, self.max_iterations, self.inference_limit, self.time_limit, self.group, self.positions))
+
+
 @dataclass
 class JobRun:
-    """results: a row a candidate; inputs: (input_id, iterations, inference, status); log: a row an iteration."""
+    """results: a row a candidate; inputs: (input_id, iterations, inference, status); log: a row an iteration; scores: items scored."""
 
     results: DataFrame
     inputs: DataFrame
     log: DataFrame
+    scores: DataFrame
+    inference: int
+
+
+QUERY = ("input_id", "query_no")
+
+
+def query_seeds(seeds: DataFrame, positions: int) -> DataFrame:
+    """(input_id, query_no, assembly_index, vec): a query for every combination of one embedding of each position.
+
+    seeds: input_id, vec, assembly_index where there are several positions, embedding_no where a position of an input has several
+    embeddings (without it they are ordered by their numbers). Combinations are numbered in the order of the first position's embeddings,
+    then the second's and so on. An input that lacks a position has no query.
+    """
+    at = F.col("assembly_index").cast("int") if "assembly_index" in seeds.columns else F.lit(0)
+    order = [F.col("embedding_no")] if "embedding_no" in seeds.columns else []
+    numbered = seeds.filter("vec is not null").select("input_id", at.alias("assembly_index"), F.col("vec").cast("array<double>").alias("vec"), *order)
+    within = Window.partitionBy("input_id", "assembly_index")
+    numbered = numbered.withColumns({"_no": F.row_number().over(within.orderBy(*order, "vec")) - 1, "_n": F.count("*").over(within)})
+    pools = [numbered.filter(F.col("assembly_index") == i).select("input_id", "vec", "_no", "_n") for i in range(positions)]
+    both = pool_product(pools, ["input_id"])
+    number = reduce(lambda n, i: n * F.col(f"_n_{i}") + F.col(f"_no_{i}"), range(positions), F.lit(0).cast("long"))
+    each = F.array(*(F.struct(F.lit(i).alias("assembly_index"), F.col(f"vec_{i}").alias("vec")) for i in range(positions)))
+    return both.select("input_id", number.alias("query_no"), F.inline(each))
 
 
 def candidates(job: Job, groups: DataFrame) -> DataFrame:
-    """(input_id, query_group, item_id, item, similarity, place, vecs) of query groups (input_id, assembly_index, query_group, vec).
+    """(input_id, query_no, query_group, item_id, item, similarity, place, vecs) of groups (input_id, query_no, assembly_index, query_group, vec).
 
-    vecs holds the vector of each position that the update goes on from; a product's id is a hash of its text.
+    vecs holds the vector of each position that the update goes on from; a product's id is a hash of its text. place orders
+    the candidates of a query group.
     """
+    keys = (*QUERY, "query_group")
     one = lambda vec: F.array(F.struct(F.lit(0).alias("assembly_index"), vec.alias("vec")))
     if job.assemble is None:
-        asked = groups.select(F.xxhash64("input_id", "query_group").alias("query_id"), "input_id", "query_group", "vec")
-        hits = search_single(asked, job.library, job.k, job.metric).join(asked.select("query_id", "input_id"), "query_id")
-        return hits.select("input_id", "query_group", "item_id", F.col("external_id").alias("item"), "similarity", F.col("rank").cast("long").alias("place"), one(F.col("vec")).alias("vecs"))
-    asked = job.mapper(groups.select("input_id", "query_group", "vec")) if job.mapper else groups
-    found = search_assembled(asked.withColumn("k", F.lit(job.k)), job.library, job.positions, job.metric, job.assemble)
+        asked = groups.select(F.xxhash64(*keys).alias("query_id"), *keys, "vec")
+        hits = knn(asked, job.library, job.k, job.metric, ["external_id", "vec"]).join(asked.select("query_id", *keys), "query_id")
+        return hits.select(*keys, "item_id", F.col("external_id").alias("item"), "similarity", F.col("rank").cast("long").alias("place"), one(F.col("vec")).alias("vecs"))
+    asked = job.mapper(groups.select(*keys, "vec")) if job.mapper else groups
+    found = search_assembled(asked.withColumn("k", F.lit(job.k)), job.library, job.positions, job.metric, job.assemble, keys)
     vectors = [F.col(f"vec_{i}") for i in range(job.positions)]
     vecs = one(job.embed(vectors)) if job.mapper else F.array(*(F.struct(F.lit(i).alias("assembly_index"), v.alias("vec")) for i, v in enumerate(vectors)))
     place = sum((F.col(f"rank_{i}") * (job.k + 1) ** (job.positions - 1 - i) for i in range(job.positions)), F.lit(0).cast("long"))
-    return found.select("input_id", "query_group", F.xxhash64("product").alias("item_id"), F.col("product").alias("item"), F.lit(None).cast("double").alias("similarity"), place.alias("place"), vecs.alias("vecs"))
+    return found.select(*keys, F.xxhash64("product").alias("item_id"), F.col("product").alias("item"), F.lit(None).cast("double").alias("similarity"), place.alias("place"), vecs.alias("vecs"))
 
 
-def run(job: Job, seeds: DataFrame, name: str = "job") -> JobRun:
+def run(job: Job, seeds: DataFrame, name: str = "job", at: str | None = None, scored: DataFrame | None = None) -> JobRun:
     """All iterations of a job over all its inputs.
 
-    seeds: input_id, vec, and assembly_index where a job has several positions without a mapper; further, where inputs
-    differ, max_iterations, inference_limit and time_limit (the same in all rows of an input). All inputs advance
-    together, one plan an iteration: queries, search, filters, score, update. An iteration's scored candidates are
-    written once to the shared folder, and the next state is read from there, so that lineage stays short
-    and the score runs once. An item is scored once in a job; it counts as inference of the least input that
-    asks for it then. After each iteration should_stop() decides for every input; the inference of all and
-    the number of inputs that go on are all that goes to the driver.
+    seeds: see query_seeds(); further, where inputs differ, max_iterations, inference_limit and time_limit (the same in all rows of
+    an input). Each query of an input climbs on its own. All advance together, one plan an iteration: queries, search,
+    filters, score, update. An item is scored once in a job, and not at all if it is in scored (item_id, valid, score), which earlier
+    jobs left; it counts as inference of the least input that asks for it then. After each iteration should_stop() decides for
+    every input; counts of the scored items and of the inputs that go on are all that goes to the driver.
+
+    An iteration is four steps: candidates found, new items scored, the next state, the inputs. Each is a table in the job's
+    folder and an entry in its journal. With at, the folder of a run that broke off, steps that were committed are read and the rest is
+    done, so that the results are those of an unbroken run and no item that was scored is scored again; other settings than
+    that run's are an error.
     """
     spark = seeds.sparkSession
-    work = Workspace(spark, name)
-    started = F.lit(datetime.now(timezone.utc))
+    work = Journal(spark, at or Workspace(spark, name).path, job.settings())
+    started = F.lit(work.started)
     rates = F.array(*map(F.lit, job.rates))
-    keys = ["input_id", "assembly_index"]
+    keys = [*QUERY, "assembly_index"]
+    positions = 1 if job.assemble is None or job.mapper else job.positions
     optional = lambda c, default: F.coalesce(F.col(c), F.lit(default)).cast("long") if c in seeds.columns else F.lit(default).cast("long")
-    positions = F.col("assembly_index") if "assembly_index" in seeds.columns else F.lit(0)
-    state = work.save(seeds.select("input_id", positions.cast("int").alias("assembly_index"), "vec", F.lit(None).cast("array<double>").alias("gradient"), rates.alias("rates")), "seeds")
+    state = work.step("seeds", lambda: query_seeds(seeds, positions).select(*keys, "vec", F.lit(None).cast("array<double>").alias("gradient"), rates.alias("rates")))
     limits = seeds.select("input_id", optional("max_iterations", job.max_iterations).alias("max_iterations"), optional("inference_limit", None).alias("inference_limit"), optional("time_limit", None).alias("time_limit"))
-    inputs = work.save(limits.groupBy("input_id").agg(*(F.max(c).alias(c) for c in limits.columns[1:])).withColumns({"inference": F.lit(0).cast("long"), "iterations": F.lit(0), "status": F.lit("running")}), "inputs")
+    inputs = work.step("inputs", lambda: limits.groupBy("input_id").agg(*(F.max(c).alias(c) for c in limits.columns[1:])).withColumns({"inference": F.lit(0).cast("long"), "iterations": F.lit(0), "status": F.lit("running")}))
+    none = StructType.fromDDL("item_id long, valid boolean, score double, fresh boolean, asked_by long")
+    earlier = spark.createDataFrame([], "item_id long, valid boolean, score double") if scored is None else scored.select(F.col("item_id").cast("long").alias("item_id"), "valid", F.col("score").cast("double").alias("score"))
     tables: list[DataFrame] = []
-    known: DataFrame | None = None
-    i = 0
+    total, i = 0, 0
     while True:
-        groups = whole_groups(step_embeddings(state, keys), ["input_id"], 1 if job.assemble is None or job.mapper else job.positions)
-        found = work.save(candidates(job, groups), f"found{i}")
-        items = found.groupBy("item_id").agg(F.min("item").alias("item"), F.min("vecs").alias("vecs"), F.min("input_id").alias("asked_by")).withColumns({"vec": F.col("vecs")[0]["vec"], "valid": F.lit(True)})
-        asked = items.join(known.select("item_id"), "item_id", "left_anti") if known is not None else items
-        if job.filters:
-            asked = work.save(job.filters(asked), f"filtered{i}")
-        done = job.score(asked.filter("valid").drop("valid")).select("item_id", "valid", "score", F.lit(True).alias("fresh"))
-        if job.filters:
-            done = done.unionByName(asked.filter("not valid").select("item_id", F.lit(False).alias("valid"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("fresh")))
-        done = work.save(done.join(asked.select("item_id", "asked_by"), "item_id"), f"done{i}")
+        groups = whole_groups(step_embeddings(state, keys), list(QUERY), positions)
+        found = work.step(f"found{i}", lambda: candidates(job, groups))  # noqa: B023 - steps are built at once
+        known = earlier.unionByName(work.together("done", i, none).select("item_id", "valid", "score"))
+
+        def judged_items() -> DataFrame:
+            items = found.groupBy("item_id").agg(F.min("item").alias("item"), F.min("vecs").alias("vecs"), F.min("input_id").alias("asked_by")).withColumns({"vec": F.col("vecs")[0]["vec"], "valid": F.lit(True)})
+            asked = items.join(known.select("item_id"), "item_id", "left_anti") if i or scored is not None else items
+            if job.filters:
+                asked = work.step(f"filtered{i}", lambda: job.filters(asked))
+            out = job.score(asked.filter("valid").drop("valid")).select("item_id", "valid", "score", F.lit(True).alias("fresh"))
+            if job.filters:
+                out = out.unionByName(asked.filter("not valid").select("item_id", F.lit(False).alias("valid"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("fresh")))
+            return out.join(asked.select("item_id", "asked_by"), "item_id").select("item_id", "valid", F.col("score").cast("double").alias("score"), "fresh", "asked_by")
+
+        done = work.step(f"done{i}", judged_items, "done")
+        total += done.filter("fresh").count()
         scores = done.select("item_id", "valid", "score", "fresh")
-        if known is not None:
+        if i or scored is not None:
             scores = scores.unionByName(known.withColumn("fresh", F.lit(False)))
-        known = scores.select("item_id", "valid", "score")
-        order = Window.partitionBy("input_id").orderBy("query_group", "place", "item_id")
-        scored = found.join(scores, "item_id").withColumn("seq", F.row_number().over(order)).withColumn("iteration", F.lit(i))
-        tables.append(work.save(scored, f"scored{i}"))
-        rows = tables[-1].select("input_id", "item_id", "query_group", "score", "seq", "valid", F.inline("vecs"))
-        following = work.save(update(rows, keys, job.metric, job.group).select(*keys, "vec", "gradient", rates.alias("rates")), f"state{i}")
-
-        spent = done.filter("fresh").groupBy(F.col("asked_by").alias("input_id")).agg(F.count("*").alias("n"))
-        alive = following.select("input_id").distinct().withColumn("has_queries", F.lit(True))
-        now = inputs.join(spent, "input_id", "left").join(alive, "input_id", "left").withColumns({"inference": F.col("inference") + F.coalesce("n", F.lit(0)), "has_queries": F.coalesce("has_queries", F.lit(False)), "iteration": F.lit(i), "started_at": started})
-        total = now.agg(F.sum("inference")).first()[0] or 0
-        parent = {"parent_inference": F.lit(total), "parent_inference_limit": F.lit(job.inference_limit).cast("long"), "parent_started_at": started, "parent_time_limit": F.lit(job.time_limit).cast("long")}
-        judged = should_stop(now.withColumns(parent), F.current_timestamp(), "new_status")
-        open_ = F.col("inputs.status") == "running"
-        judged = judged.alias("inputs").select("input_id", "max_iterations", "inference_limit", "time_limit", "inference", F.when(open_, F.lit(i + 1)).otherwise(F.col("iterations")).alias("iterations"), F.when(open_ & F.col("stop"), F.col("new_status")).otherwise(F.col("inputs.status")).alias("status"))
-        inputs = work.save(judged, f"inputs{i}")
+        judged = found.join(scores, "item_id").withColumns({"seq": F.struct("query_group", "place", "item_id"), "iteration": F.lit(i)})
+        tables.append(judged)
+        rows = judged.select(*QUERY, "item_id", "query_group", "score", "seq", "valid", F.inline("vecs"))
+        following = work.step(f"state{i}", lambda: update(rows, keys, job.metric, job.group).select(*keys, "vec", "gradient", rates.alias("rates")))
+
+        def stopped_inputs() -> DataFrame:
+            spent = done.filter("fresh").groupBy(F.col("asked_by").alias("input_id")).agg(F.count("*").alias("n"))
+            alive = following.select("input_id").distinct().withColumn("has_queries", F.lit(True))
+            now = inputs.join(spent, "input_id", "left").join(alive, "input_id", "left").withColumns({"inference": F.col("inference") + F.coalesce("n", F.lit(0)), "has_queries": F.coalesce("has_queries", F.lit(False)), "iteration": F.lit(i), "started_at": started})
+            parent = {"parent_inference": F.lit(total), "parent_inference_limit": F.lit(job.inference_limit).cast("long"), "parent_started_at": started, "parent_time_limit": F.lit(job.time_limit).cast("long")}
+            out = should_stop(now.withColumns(parent), F.current_timestamp(), "new_status")
+            open_ = F.col("inputs.status") == "running"
+            return out.alias("inputs").select("input_id", "max_iterations", "inference_limit", "time_limit", "inference", F.when(open_, F.lit(i + 1)).otherwise(F.col("iterations")).alias("iterations"), F.when(open_ & F.col("stop"), F.col("new_status")).otherwise(F.col("inputs.status")).alias("status"))
+
+        inputs = work.step(f"inputs{i}", stopped_inputs)
         state = following.join(inputs.filter("status = 'running'").select("input_id"), "input_id", "left_semi")
         i += 1
-        if not inputs.filter("status = 'running'").count():
+        if inputs.filter("status = 'running'").isEmpty():
             break
     results = reduce(DataFrame.unionByName, tables)
     one_item = results.groupBy("iteration", "item_id").agg(F.count("*").alias("n"), F.bool_or("fresh").alias("fresh"), F.bool_or("valid").alias("valid"))
     log = one_item.groupBy("iteration").agg(F.sum("n").alias("candidates"), F.count("*").alias("unique_items"), F.count_if("fresh").alias("executed"), F.count_if(~F.col("valid")).alias("invalid"))
-    return JobRun(results.drop("vecs", "place"), inputs.select("input_id", "iterations", "inference", "status"), log)
+    return JobRun(results.drop("seq"), inputs.select("input_id", "iterations", "inference", "status"), log, work.together("done", i, none).select("item_id", "valid", "score"), total)
+
+
+def run_job(job: Job, seeds: DataFrame, name: str = "job", at: str | None = None) -> DataFrame:
+    """The results of run(): (input_id, query_no, iteration, query_group, item_id, item, similarity, valid, score, fresh)."""
+    return run(job, seeds, name, at).results.drop("vecs", "place")
 
 
-def run_job(job: Job, seeds: DataFrame, name: str = "job") -> DataFrame:
-    """The results of run(): (input_id, iteration, query_group, item_id, item, similarity, valid, score, fresh, seq)."""
-    return run(job, seeds, name).results
+@dataclass
+class Chain:
+    """results: those of all runs, with run; best: the best items of all runs; inference: scores executed; runs: how many jobs."""
+
+    results: DataFrame
+    best: DataFrame
+    inference: int
+    runs: int
+
+
+def best_items(results: DataFrame, n: int) -> DataFrame:
+    """(item_id, item, vecs, score): the n best valid items of results, ties by the lesser id. The best of parts hold the best of all."""
+    one = results.filter("valid and score is not null").groupBy("item_id", "score").agg(F.min("item").alias("item"), F.min("vecs").alias("vecs"))
+    return one.orderBy(F.desc("score"), "item_id").limit(n).select("item_id", "item", "vecs", "score")
+
+
+def chain(job: Job, pool: DataFrame, n: int, explore: float, budget: int, most_runs: int | None = None, seeds_of: Callable[[DataFrame], DataFrame] | None = None, keep: int = 1000, at: str | None = None) -> Chain:
+    """Jobs in a row under one budget of inference, each from fresh seeds and the best items of the job before.
+
+    pool: seed_no (distinct), vec, and assembly_index where the job has positions. A job takes the next seeds by seed_no as inputs, each once in
+    the chain: n in the first, then n - int(n * (1 - explore)), with the best valid items of the last job for the rest. seeds_of gives (item_id, vec,
+    assembly_index) of items (item_id, item, vecs); their own vectors otherwise. The chain ends when the budget is spent, no fresh
+    seeds are left, or most_runs is reached; a job may spend what is left of the budget, which like any limit is checked
+    after an iteration. Scores of earlier jobs are known to later ones. Of each job the `keep` best are merged into the best of all, so that
+    this state does not grow with the runs. at: a folder of a chain that broke off, which then goes on in its last job.
+    """
+    if not 0 <= explore <= 1 or n < 1:
+        raise ValueError("n is 1 or more and explore a share")
+    spark = pool.sparkSession
+    folder = at or Workspace(spark, "chain").path
+    exploit = int(n * (1 - explore))
+    given = [c for c in ("assembly_index", "embedding_no") if c in pool.columns]
+    spent, runs, last = 0, 0, None
+    tables: list[DataFrame] = []
+    best: DataFrame | None = None
+    top: DataFrame | None = None
+    scored: DataFrame | None = None
+    while spent < budget and (most_runs is None or runs < most_runs):
+        chosen = top.limit(exploit) if top is not None and exploit else None
+        fresh = pool if last is None else pool.filter(F.col("seed_no") > last)
+        numbers = [r["seed_no"] for r in fresh.select("seed_no").distinct().orderBy("seed_no").limit(n if runs == 0 else n - exploit).collect()]  # n at most
+        if not numbers:
+            break
+        last = numbers[-1]
+        seeds = fresh.filter(F.col("seed_no") <= last).select(F.col("seed_no").cast("string").alias("_seed"), F.lit("fresh").alias("origin"), "vec", *given)
+        if chosen is not None:
+            own = seeds_of(chosen) if seeds_of else chosen.select("item_id", F.inline("vecs"))
+            own = own.select(F.col("item_id").cast("string").alias("_seed"), F.lit("best").alias("origin"), "vec", *(c if c in own.columns else F.lit(0).alias(c) for c in given))
+            seeds = own.unionByName(seeds)
+        seeds = seeds.withColumn("input_id", F.xxhash64(F.lit(runs), "origin", "_seed"))
+        work = Journal(spark, f"{folder}/run{runs}", "seeds")
+        seeds = work.step("seeds", lambda: seeds)
+        left = replace(job, inference_limit=budget - spent)
+        done = run(left, seeds.drop("origin", "_seed"), at=f"{folder}/run{runs}/job", scored=scored)
+        named = seeds.select("input_id", "origin", F.col("_seed").alias("seed")).distinct()
+        tables.append(done.results.join(named, "input_id").withColumn("run", F.lit(runs)))
+        top = work.step("top", lambda: best_items(done.results, max(keep, exploit)))
+        merged = top if best is None else best_items(best.unionByName(top).withColumn("valid", F.lit(True)), max(keep, exploit))
+        best = work.step("best", lambda: merged)
+        scored = work.step("scored", lambda: done.scores if scored is None else scored.unionByName(done.scores))
+        spent += done.inference
+        runs += 1
+    kind = "item_id long, item string, vecs array<struct<assembly_index:int,vec:array<double>>>, score double"
+    if best is None:
+        best = spark.createDataFrame([], kind)
+        return Chain(best.withColumn("run", F.lit(0)), best, 0, 0)
+    return Chain(reduce(DataFrame.unionByName, tables).drop("vecs", "place"), best.orderBy(F.desc("score"), "item_id").limit(keep), spent, runs)

@@ -10,8 +10,10 @@ from vecclimb.functions import vectors as V
 from vecclimb.operators import knn as K
 from vecclimb.operators import relations as R
 from vecclimb.operators import roles
+from vecclimb.operators.index import VectorIndex
 from vecclimb.plans import search as S
 from vecclimb.queries.standins import LIB, RES, Q, asked, item_results, items, library
+from vecclimb.session import Workspace
 
 
 def rounded() -> tuple:
@@ -89,11 +91,46 @@ def knn_routed(spark, d):
     return K.knn(asked(spark, d).join(F.broadcast(config), "embedding_id"), library(spark, d)).select("query_id", "item_id", *rounded())
 
 
+_INDEXES: dict[tuple[str, str, str], VectorIndex] = {}
+
+
+def index(spark: SparkSession, d: str, metric: str) -> VectorIndex:
+    """The library's index, built once an application: of the even items, and the odd ones appended."""
+    key = (spark.sparkContext.applicationId, d, metric)
+    if key not in _INDEXES:
+        built = VectorIndex.build(library(spark, d).filter("item_id % 2 = 0"), f"{Workspace(spark, 'index').path}/library", metric, cells=16, carry=["external_id"])
+        if built.model is not None:
+            built.append(library(spark, d).filter("item_id % 2 = 1"), ["external_id"])
+        _INDEXES[key] = built
+    return _INDEXES[key]
+
+
 @register("knn_approx")
 def knn_approx(spark, d):
-    lib = library(spark, d)
-    centres = K.train_centres(lib)
-    return K.knn_approx(asked(spark, d), K.cells(lib, centres), centres, probes=12).select("query_id", "item_id", *rounded())
+    """By codes of 14 of 16 cells, then by the vectors of at most 100 rows a query."""
+    return index(spark, d, "cosine").search(plain_kinds(asked(spark, d)), probes=14).hits.select("query_id", "item_id", *rounded())
+
+
+def plain_kinds(queries: DataFrame) -> DataFrame:
+    """Each query for its own named vector."""
+    return queries.select("query_id", "embedding_id", "vec")
+
+
+@register("index_rows", f"with {LIB} select embedding_id, count(*) as n, cast(sum(item_id) as bigint) as ids, round(sum(sqrt(list_inner_product(vec, vec))), 4) as norms from lib group by 1")
+def index_rows(spark, d):
+    """What the index holds, by named vector: every row of the library once."""
+    rows = index(spark, d, "cosine").rows()
+    return rows.groupBy(F.col("kind").alias("embedding_id")).agg(F.count("*").alias("n"), F.sum("item_id").alias("ids"), F.round(F.sum(V.norm(F.col("vec"))), 4).alias("norms"))
+
+
+for _metric, _sql in (("cosine", ("desc", COS, f"1 - {COS}")), ("euclid", ("asc", f"1 / (1 + {L2})", L2)), ("dot", ("desc", IP, IP))):
+
+    def _pruned(spark, d, metric=_metric):
+        found = index(spark, d, metric).exact(plain_kinds(asked(spark, d)), carry=["external_id"]).hits
+        return found.select("query_id", "item_id", "external_id", *rounded())
+
+    _score = {"cosine": COS, "euclid": L2, "dot": IP}[_metric]
+    register(f"knn_pruned_{_metric}", f"with {Q}, {knn_sql(_score, *_sql, 'q.embedding_id = lib.embedding_id')} select query_id, item_id, cast(item_id as varchar) as external_id, similarity, distance, rank from f")(_pruned)
 
 
 @register("rescale_by_norm", f"with {LIB} select item_id, round(sqrt(list_inner_product(list_transform(vec, lambda x: x * (1 + label)), list_transform(vec, lambda x: x * (1 + label)))), 6) as norm from lib")
@@ -105,7 +142,7 @@ def rescale_by_norm(spark, d):
 @register("knn_to_items", f"{COSINE} select f.query_id, q.embedding_id as query_group, f.item_id, lib.external_id, f.rank, round(lib.vec[1], 6) as first from f join lib using (item_id) join q using (query_id)")
 def knn_to_items(spark, d):
     queries, lib = asked(spark, d).withColumnRenamed("embedding_id", "query_group"), library(spark, d)
-    return K.knn_to_items(K.knn(queries, lib), lib, queries).select("query_id", "query_group", "item_id", "external_id", F.col("rank").cast("long").alias("rank"), F.round(F.element_at("vec", 1), 6).alias("first"))
+    return K.knn_to_items(queries, lib).select("query_id", "query_group", "item_id", "external_id", F.col("rank").cast("long").alias("rank"), F.round(F.element_at("vec", 1), 6).alias("first"))
 
 
 @register("topk_per_query", "select * from (select doc_id, source, n_chars, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents) where rank <= 5")
@@ -275,10 +312,40 @@ def score_iteration(spark, d):
 
 @register("run_job")
 def run_job(spark, d):
-    results = item_results(spark, d)
-    score = lambda rows: rows.join(results, "item_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
     seeds = library(spark, d).filter("item_id % 100 = 0").select(F.col("item_id").alias("input_id"), "vec")
-    return S.run_job(S.Job(library(spark, d), score), seeds).select("input_id", "iteration", "query_group", "item_id", F.round("similarity", 6).alias("similarity"), "valid", "score", "fresh")
+    return S.run_job(S.Job(library(spark, d), _by_labels(spark, d)), seeds).select("input_id", "iteration", "query_group", "item_id", F.round("similarity", 6).alias("similarity"), "valid", "score", "fresh")
+
+
+def _by_labels(spark, d):
+    """A score from the labels; items without one are invalid."""
+    results = item_results(spark, d)
+    return lambda rows: rows.join(results, "item_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+
+
+@register("run_job_embeddings", f"with {LIB}, {RES}, e as (select item_id // 200 as input_id, item_id as no, vec from lib where item_id % 100 = 0), q as (select input_id, row_number() over (partition by input_id order by no) - 1 as query_no, vec from e), h as (select * from (select q.input_id, q.query_no, lib.item_id, round({COS}, 6) as similarity, row_number() over (partition by q.input_id, q.query_no order by {COS} desc, lib.item_id) as n from q, lib) where n <= 10) select h.input_id, h.query_no, h.item_id, h.similarity, coalesce(res.valid, false) as valid, res.score from h left join res using (item_id)")
+def run_job_embeddings(spark, d):
+    """The first iteration of a job whose inputs have several embeddings, each a query of its own."""
+    seeds = library(spark, d).filter("item_id % 100 = 0").select(F.expr("item_id div 200").alias("input_id"), F.col("item_id").alias("embedding_no"), "vec")
+    found = S.run_job(S.Job(library(spark, d), _by_labels(spark, d), max_iterations=1), seeds)
+    return found.select("input_id", "query_no", "item_id", F.round("similarity", 6).alias("similarity"), "valid", "score")
+
+
+CHAIN = f"""{LIB}, {RES}, p as (select *, item_id // 100 as seed_no from lib where item_id % 100 = 0),
+q1 as (select item_id as seed, 'fresh' as origin, vec from p order by seed_no limit 3),
+h1 as (select q.seed, q.origin, lib.item_id, row_number() over (partition by q.seed, q.origin order by {COS} desc, lib.item_id) as n from q1 q, lib),
+r1 as (select 0 as run, seed, origin, item_id, coalesce(valid, false) as valid, score from h1 left join res using (item_id) where n <= 10),
+best as (select distinct item_id, score from r1 where valid and score is not null order by score desc, item_id limit 1),
+q2 as (select item_id as seed, 'best' as origin, lib.vec from best join lib using (item_id) union all select * from (select item_id, 'fresh', vec from p order by seed_no limit 2 offset 3)),
+h2 as (select q.seed, q.origin, lib.item_id, row_number() over (partition by q.seed, q.origin order by {COS} desc, lib.item_id) as n from q2 q, lib),
+r2 as (select 1 as run, seed, origin, item_id, coalesce(valid, false) as valid, score from h2 left join res using (item_id) where n <= 10)"""
+
+
+@register("explore_exploit_chain", f"with {CHAIN} select cast(run as bigint) as run, origin, cast(case origin when 'fresh' then seed // 100 else seed end as varchar) as seed, item_id, valid, score from (select * from r1 union all select * from r2)")
+def explore_exploit_chain(spark, d):
+    """Two jobs of one iteration: three fresh seeds, then two fresh ones and the best item of the first."""
+    pool = library(spark, d).filter("item_id % 100 = 0").select(F.expr("item_id div 100").alias("seed_no"), "vec")
+    found = S.chain(S.Job(library(spark, d), _by_labels(spark, d), max_iterations=1), pool, 3, 0.6, 1_000_000, most_runs=2)
+    return found.results.select(F.col("run").cast("long").alias("run"), "origin", "seed", "item_id", "valid", "score")
 
 
 def _score_of_product(rows: DataFrame) -> DataFrame:
@@ -303,10 +370,8 @@ JUDGED = "ok as (select *, (a + b) % 7 <> 3 and (a + b) % 5 <> 0 as valid from p
 @register("run_job_first", f"{COSINE}, {RES} select f.query_id as input_id, f.item_id, f.similarity, coalesce(res.valid, false) as valid, res.score from f left join res using (item_id)")
 def run_job_first(spark, d):
     """The first iteration of run_job, which SQL can express."""
-    results = item_results(spark, d)
-    score = lambda rows: rows.join(results, "item_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
     seeds = library(spark, d).filter("item_id % 100 = 0").select(F.col("item_id").alias("input_id"), "vec")
-    return S.run_job(S.Job(library(spark, d), score, max_iterations=1), seeds).select("input_id", "item_id", F.round("similarity", 6).alias("similarity"), "valid", "score")
+    return S.run_job(S.Job(library(spark, d), _by_labels(spark, d), max_iterations=1), seeds).select("input_id", "item_id", F.round("similarity", 6).alias("similarity"), "valid", "score")
 
 
 @register("run_job_assembled", f"with {LIB}, q as (select item_id // 200 as input_id, item_id // 100 % 2 as assembly_index, vec from lib where item_id % 100 = 0), h as (select * from (select q.input_id, q.assembly_index, lib.item_id, lib.external_id, row_number() over (partition by q.input_id, q.assembly_index order by {COS} desc, lib.item_id) as rank from q join lib on lib.embedding_id = q.assembly_index) where rank <= 4), pr as (select a.input_id, a.external_id || '.' || b.external_id as product, a.item_id as a, b.item_id as b from h a join h b using (input_id) where a.assembly_index = 0 and b.assembly_index = 1), {JUDGED}")
