@@ -13,7 +13,7 @@ from vecclimb.operators import relations as R
 from vecclimb.operators import roles
 from vecclimb.operators import upserts as I
 from vecclimb.operators import windows as W
-from vecclimb.operators.sums import mean_vectors
+from vecclimb.operators.sums import mean_vectors, tops_and_gradients
 from vecclimb.plans import search as S
 from vecclimb.session import Workspace, table
 from vecclimb.sources import library as A
@@ -86,6 +86,22 @@ def test_steps(spark):
     assert got == {(1, 0): [1.0, 1.0], (1, 1): [0.5, 1.0], (1, 2): [0.0, 1.0], (2, 0): [3.0, 3.0]}
 
 
+@pytest.mark.parametrize("metric", ["euclid", "cosine", "dot"])
+def test_gradients_in_one_pass_are_those_of_advantages(spark, metric, monkeypatch):
+    monkeypatch.setattr("vecclimb.operators.sums.MOST_KEYS", 3)
+    rng = np.random.default_rng(4)
+    rows = [(int(k), i, (rng.normal(size=4) + 1).tolist(), float(round(rng.normal() * 3 + 100)), i) for i, k in enumerate(rng.integers(0, 9, 300))]
+    rows += [(20, 1000, [1.0, 2.0], 5.0, 1), (21, 1001, None, 7.0, 1), (21, 1002, [1.0, 1.0], 6.0, 1)]
+    frame = spark.createDataFrame(rows, "k long, item_id long, vec array<double>, score double, seq long").repartition(5)
+    got = {r.k: r for r in tops_and_gradients(frame, ["k"], metric).collect()}
+    plain = frame.filter("k < 20")
+    tops = W.top_result(plain, ["k"])
+    for r in S.gradients(R.advantages(plain, ["k"]), tops, ["k"], metric).collect():
+        assert np.allclose(got[r.k].gradient, r.gradient, atol=1e-9)
+    assert {r.k: r.vec for r in tops.collect()} == {k: r.vec for k, r in got.items() if k < 20}
+    assert got[20].gradient == [0.0, 0.0] and got[21].vec is None and not got[21].gradient
+
+
 def test_means_skip_what_is_no_number(spark):
     """Nulls and NaN count at no position; short and long vectors of a key meet by position."""
     nan = float("nan")

@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 from vecclimb.functions.scalars import over_limit
 from vecclimb.functions.vectors import dot, norm, step
 from vecclimb.operators.knn import knn, knn_to_items
-from vecclimb.operators.relations import advantages, pool_product
-from vecclimb.operators.sums import mean_vectors
+from vecclimb.operators.relations import pool_product
+from vecclimb.operators.sums import mean_vectors, tops_and_gradients
 from vecclimb.operators.windows import last_wins, top_result
 from vecclimb.plans.journal import Journal
 from vecclimb.session import Workspace
@@ -23,22 +23,24 @@ from vecclimb.session import Workspace
 def gradients(rows: DataFrame, tops: DataFrame, keys: list[str], metric: str, dot_as_distance: bool = False) -> DataFrame:
     """keys and gradient: the gradient at each top's vec from rows with vec and advantage.
 
-    It is the mean of a vector for each row, summed in the tasks before the shuffle. The Dot form is that of
-    the plain product, which points away from good items; dot_as_distance turns it round.
+    It is the mean of a term a row. Terms are linear in the rows' weighted vectors, so these are summed in the tasks before the only
+    shuffle, and the top joins their means. The Dot form is that of the plain product, which points away from good
+    items; dot_as_distance turns it round.
     """
-    at = tops.select(*keys, F.col("vec").alias("_q"))
-    joined = rows.select(*keys, "vec", "advantage").join(at, keys)
     w = F.col("advantage")
+    weighted = rows.withColumn("_w", w / norm(F.col("vec")) if metric == "cosine" else w)
+    terms = weighted.select(*keys, F.concat(F.array(w), F.transform("vec", lambda e: F.col("_w") * e)).alias("vec"))
+    means = mean_vectors(terms.filter("vec is not null"), keys).select(*keys, F.element_at("vec", 1).alias("_a"), F.expr("slice(vec, 2, size(vec) - 1)").alias("_m"))
+    q, m = F.col("_q"), F.col("_m")
+    joined = means.join(tops.select(*keys, F.col("vec").alias("_q")), keys)
     if metric == "euclid":
-        joined = joined.withColumn("_w", 2 * w / F.size("_q"))
-        term = F.zip_with("vec", "_q", lambda e, q: F.col("_w") * (q - e))
+        gradient = F.zip_with(q, m, lambda x, y: 2 * (x * F.col("_a") - y) / F.size(q))
     elif metric == "cosine":
-        joined = joined.withColumn("_w", w / (norm(F.col("_q")) * norm(F.col("vec"))))
-        joined = joined.withColumn("_x", F.col("_w") * dot(F.col("vec"), F.col("_q")) / dot(F.col("_q"), F.col("_q")))
-        term = F.zip_with("vec", "_q", lambda e, q: F.col("_x") * q - F.col("_w") * e)
+        joined = joined.withColumn("_x", dot(q, m) / dot(q, q)).withColumn("_n", norm(q))
+        gradient = F.zip_with(q, m, lambda x, y: (F.col("_x") * x - y) / F.col("_n"))
     else:
-        term = F.transform("vec", lambda e: -w * e if dot_as_distance else w * e)
-    return mean_vectors(joined.select(*keys, term.alias("vec")), keys).withColumnRenamed("vec", "gradient")
+        gradient = F.transform(m, lambda y: -y) if dot_as_distance else m
+    return joined.select(*keys, gradient.alias("gradient"))
 
 
 def step_embeddings(state: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,11 +99,11 @@ def update(scored: DataFrame, keys: list[str], metric: str, group: bool = False)
     of score. A single result has no advantage and so no gradient.
     """
     valid = scored.filter("valid and score is not null")
-    tops = top_result(valid, keys)
     if group:
+        tops = top_result(valid, keys)
         valid = valid.join(tops.select(*keys, "query_group"), [*keys, "query_group"], "left_semi")
-    unique = last_wins(valid, [*keys, "item_id"], F.desc("score"), F.desc("seq"))
-    return tops.select(*keys, "vec").join(gradients(advantages(unique, keys), tops, keys, metric), keys)
+    unique = last_wins(valid.select(*keys, "item_id", "vec", "score", "seq"), [*keys, "item_id"], F.desc("score"), F.desc("seq"))
+    return tops_and_gradients(unique, keys, metric)
 
 
 def should_stop(state: DataFrame, now: Column, name: str = "status") -> DataFrame:
