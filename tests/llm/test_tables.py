@@ -144,6 +144,62 @@ def test_shards(spark):
     assert sharding.shard(frame.limit(0), 8).count() == 0
 
 
+def cut_edges(rows, key):
+    """(edges of equal texts between shards, all edges)."""
+    by, all_ = Counter((key(r), r.shard) for r in rows), Counter(key(r) for r in rows)
+    pairs = lambda c: sum(x * (x - 1) // 2 for x in c.values())
+    return pairs(all_) - pairs(by), pairs(all_)
+
+
+def least_cut(groups, quota):
+    """The least cut of groups over shards, by trying every way to deal them (few and small)."""
+    best = [None]
+
+    def deal(i, room, kept):
+        if i == len(groups):
+            best[0] = max(best[0] or 0, kept)
+            return
+
+        def split(s, left, own, kept):
+            if s == len(room):
+                if not left:
+                    deal(i + 1, [r - o for r, o in zip(room, own)], kept)
+                return
+            for c in range(min(left, room[s]) + 1):
+                split(s + 1, left - c, [*own, c], kept + c * (c - 1) // 2)
+
+        split(0, groups[i], [], kept)
+
+    deal(0, list(quota), 0)
+    return sum(g * (g - 1) // 2 for g in groups) - best[0]
+
+
+def test_shards_cut_few_edges(spark):
+    """Against the best of all ways, on tables with no, few and many unlinked documents."""
+    for groups, single, shards in (((7, 4, 3, 2), 2, 3), ((5, 5, 5, 3), 0, 3), ((11, 3, 2), 4, 3), ((6, 6, 2, 2), 0, 2), ((9,), 0, 4)):
+        docs = [(100 * g + i, f"group {g}") for g, c in enumerate(groups) for i in range(c)] + [(5000 + i, f"alone {i}") for i in range(single)]
+        rows = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), shards).collect()
+        check_shards(docs, rows, shards)
+        n = len(docs)
+        cut, all_ = cut_edges([r for r in rows if r.doc_id < 5000], lambda r: r.doc_id // 100)
+        assert cut <= least_cut(groups, [n // shards + (k < n % shards) for k in range(shards)]) + 0.05 * all_, (groups, cut)
+
+
+def test_a_group_larger_than_shards_fills_them(spark):
+    docs = [(i, "a third of all") for i in range(400)] + [(1000 + i, f"pair {i // 2}") for i in range(300)] + [(2000 + i, f"text {i}") for i in range(300)]
+    rows = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), 10).collect()
+    check_shards(docs, rows, 10)
+    assert sorted(Counter(r.shard for r in rows if r.doc_id < 400).values()) == [100] * 4
+    assert cut_edges([r for r in rows if 1000 <= r.doc_id < 1300], lambda r: (r.doc_id - 1000) // 2)[0] <= 7
+
+
+def test_null_ids_and_texts_are_dealt(spark):
+    docs = [(None, None)] * 90 + [(None, "same")] * 60 + [(i, "same") for i in range(30)]
+    rows = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), 6).collect()
+    check_shards(docs, rows, 6)
+    assert sorted(Counter(r.shard for r in rows if r.size == 20).values()) == [30] * 3
+
+
 def test_pipeline_equals_its_parts(spark, sf):
     import corpus_pipeline as C
     from tests.llm.test_near_dedup import brute

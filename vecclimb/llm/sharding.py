@@ -5,31 +5,32 @@ DataFrame functions only. Documents of equal text are linked.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecclimb.llm.skew import hot_keys, spread_join
 from vecclimb.session import Workspace
 
 #: Rows that one bucket of a ranking holds on average.
 BUCKET_ROWS = 20_000
 
-#: Groups larger than this part of a shard are placed one by one, at most 2 * PLACED * shards of them.
-PLACED = 50
-
 
-def _ranked(rows: DataFrame, keys: list[str], order: list[Column], spread: Column, n: int, name: str) -> DataFrame:
-    """rows with `name`: gapless numbers from 0 within keys, in the order of spread and then order.
+def _summed(rows: DataFrame, keys: list[str], order: list[Column], spread: Column, weight: Column, n: int, name: str) -> DataFrame:
+    """rows with `name`: the sum of the weights of all rows before it within keys, in the order of spread and then order.
 
     spread is a number from 0 up to 1. It cuts the rows of a key into buckets by range; buckets are
-    counted, and the numbers of a bucket follow those of the ones before it. So no task sorts a whole
-    key, and the window over the counts sees n / BUCKET_ROWS rows of a key.
+    summed, and the sums of a bucket follow those of the ones before it. So no task sorts a whole
+    key, and the window over the sums sees n / BUCKET_ROWS rows of a key.
     """
     buckets = max(64, n // BUCKET_ROWS)
-    rows = rows.withColumn("_bucket", F.floor(spread * buckets).cast("int"))
+    rows = rows.withColumn("_bucket", F.floor(spread * buckets).cast("int")).withColumn("_w", weight)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return rows.withColumn("_row", F.row_number().over(inside)).join(offsets, [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_bucket", "_before", "_row")
+    offsets = rows.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_n")).select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_row", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    return rows.join(offsets, [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.col("_row")).drop("_bucket", "_before", "_row", "_w")
 
 
 def _unit(*columns: str | Column) -> Column:
@@ -37,64 +38,88 @@ def _unit(*columns: str | Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / float(1 << 40)
 
 
-def _pieces(groups: list[tuple[int, int]], quota: list[int]) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
-    """((group, from, to, shard, slot of from) of every piece, rows placed in each shard), the largest of (group, rows) first.
-
-    A group goes where it fits closest; one that fits nowhere fills the emptiest shard, and its rest is
-    placed likewise. So it takes as few shards as the room left allows.
-    """
-    room = list(quota)
-    pieces = []
-    for grp, linked in sorted(groups, key=lambda g: (-g[1], g[0])):
-        low = 0
-        while low < linked:
-            fits = [k for k, r in enumerate(room) if r >= linked - low]
-            k = min(fits, key=room.__getitem__) if fits else room.index(max(room))
-            high = low + min(room[k], linked - low)
-            pieces.append((grp, low, high, k, quota[k] - room[k]))
-            room[k] -= high - low
-            low = high
-    return pieces, [q - r for q, r in zip(quota, room)]
-
-
 def _by_shard(rows: DataFrame, key: str, value: str, shards: int) -> list[int]:
     """The sums of value for every shard, from as many rows as shards."""
     sums = {r[0]: r[1] for r in rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum(value)).collect()}
     return [sums.get(k, 0) for k in range(shards)]
 
 
-def _settled(groups: DataFrame, room: list[int], rounds: int, work: Workspace) -> DataFrame:
-    """(grp, linked, home): the shard that each group moves to as a whole, null for a group refused in all rounds."""
-    shards = len(room)
-    state = groups.select("grp", "linked", "wish", F.lit(None).cast("int").alias("home"))
-    for i in range(1, rounds + 1):
-        free = [max(0, r - x) for r, x in zip(room, _by_shard(state, "home", "linked", shards))]
-        if i > 1:  # refused groups are dealt over the shards in proportion to their room
-            ends = F.array(*(F.lit(float(sum(free[: k + 1]))) for k in range(shards)))
-            drawn = F.least(F.size(F.filter(ends, lambda e: e <= _unit("grp", F.lit(i)) * float(sum(free)))), F.lit(shards - 1))
-            state = state.withColumn("wish", F.when(F.col("home").isNull(), drawn).otherwise(F.col("wish")))
-        wanted = _by_shard(state.filter("home is null"), "wish", "linked", shards)
-        if not sum(wanted):
-            break
-        share = F.array(*(F.lit(min(1.0, f / max(1, w))) for f, w in zip(free, wanted)))
-        taken = _unit("grp", "wish", F.lit(-i)) < F.element_at(share, F.col("wish") + 1)
-        state = work.save(state.withColumn("home", F.coalesce("home", F.when(taken, F.col("wish")))), f"settled{i}")
-    return state.select("grp", "linked", "home")
-
+def _granted(asking: DataFrame, first: Column, room: list[int], whole_from: int, n: int) -> DataFrame:
+    """asking (grp, to, c) with take, what the shard `to` takes of the c rows: as many as its room allows, the first in the order of `first`.
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    first is a number above 1, the greater the earlier: what comes first by its whole logarithm, then by a hash. A request is
+    granted whole or not at all, but for those of more than whole_from rows, which no shard could take whole.
+    """
+    spread = 1 - (F.floor(F.log2(first.cast("double"))) + _unit("grp", "to")) / 64
+    classes = 64 * (n // BUCKET_ROWS + 1) * BUCKET_ROWS  # a class is a 64-th of the buckets
+    asking = _summed(asking.withColumn("_spread", spread), ["to"], [F.col("_spread"), F.col("grp"), F.col("c")], F.col("_spread"), F.col("c"), classes, "_ahead")
+    free = F.greatest(F.element_at(F.array(*map(F.lit, room)), F.col("to") + 1) - F.col("_ahead"), F.lit(0))
+    return asking.withColumn("take", F.when(F.col("c") <= free, F.col("c")).when(F.col("c") > whole_from, free).otherwise(0)).drop("_spread", "_ahead")
+
+
+def propagate(labels: DataFrame, quota: list[int], work: Workspace) -> DataFrame:
+    """(grp, shard, c): how many documents of every group end in which shard, no shard taking more than its quota.
+
+    labels: (grp, shard, c), the documents of a group by the shard that they start in; a group's documents are each other's
+    neighbours. In every round the documents of a group that have no place ask for the shard that most of its neighbours are in,
+    among those with room for all of them; where none of these has, a shard that has, by a hash. Larger groups come first. Groups
+    that fit nowhere as a whole are cut where the room ends, before any others have a place. Then groups in several shards pull their smaller parts after their
+    largest, by the pairs that this saves, until no move is left that cuts fewer edges. A round is a few joins and one table; groups
+    of any size are at most a row a shard.
+    """
+    shards = len(quota)
+    sizes = labels.groupBy("grp").agg(F.sum("c").alias("linked")).filter("linked > 1")
+    labels = work.save(labels.join(sizes.drop("linked"), "grp", "left_semi"), "labels")
+    waiting = work.save(sizes.select("grp", "linked", F.col("linked").alias("c")), "waiting")
+    room, tables, i = list(quota), [], 0
+    while True:
+        most = max(room)
+        n, large = waiting.agg(F.count("*"), F.count_if(F.col("c") > most)).first()
+        if not n:
+            break
+        later = waiting.filter(F.col("c") <= most) if large else waiting.limit(0)  # what fits waits for what must be cut
+        waiting = waiting.filter(F.col("c") > most) if large else waiting
+        of = lambda s, rooms=tuple(room): F.element_at(F.array(*map(F.lit, rooms)), s + 1)
+        need = F.least("c", F.lit(most))
+        near = waiting.select("grp", "c").join(labels.select("grp", "shard", F.col("c").alias("_near")), "grp").filter(of(F.col("shard")) >= need)
+        near = near.groupBy("grp").agg(F.max_by("shard", F.struct("_near", F.xxhash64("grp", "shard"))).alias("to"))
+        open_ = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: of(s) >= need)
+        drawn = F.element_at(open_, (F.pmod(F.xxhash64("grp", F.lit(i)), F.size(open_)) + 1).cast("int"))
+        asking = waiting.join(near, "grp", "left").withColumn("to", F.coalesce("to", drawn))
+        asking = work.save(_granted(asking, F.col("linked"), room, most, n), f"asked{i}")
+        tables.append(asking.filter("take > 0").select("grp", F.col("to").alias("shard"), F.col("take").alias("c")))
+        room = [r - t for r, t in zip(room, _by_shard(asking, "to", "take", shards))]
+        refused = asking.filter("take < c").select("grp", "linked", (F.col("c") - F.col("take")).alias("c"))
+        waiting = work.save(refused.unionByName(later), f"waiting{i}")
+        i += 1
+    if not tables:
+        return labels
+    parts = work.save(reduce(DataFrame.unionByName, tables).groupBy("grp", "shard").agg(F.sum("c").alias("c")), "parts0")
+    i = 0
+    while True:
+        best = parts.groupBy("grp").agg(F.count("*").alias("_n"), F.max(F.struct("c", F.xxhash64("grp", "shard").alias("tie"), "shard")).alias("_b")).filter("_n > 1")
+        asking = parts.join(best.select("grp", F.col("_b.shard").alias("to"), F.col("_b.c").alias("_near")), "grp").filter(F.col("shard") != F.col("to"))
+        asking = work.save(_granted(asking, F.col("_near") + 1, room, 1 << 62, 1), f"pulled{i}")  # whole parts alone
+        moved = asking.filter("take > 0")
+        gone, come = _by_shard(moved, "shard", "c", shards), _by_shard(moved, "to", "c", shards)
+        if not any(gone):
+            return parts
+        room = [r + a - b for r, a, b in zip(room, gone, come)]
+        moves = moved.select("grp", "shard", "to")
+        parts = parts.join(moves, ["grp", "shard"], "left").select("grp", F.coalesce("to", "shard").alias("shard"), "c")
+        i += 1
+        parts = work.save(parts.groupBy("grp", "shard").agg(F.sum("c").alias("c")), f"parts{i}")
+
+
+def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), a row for a row; the law is `rows`.
 
     Shards differ by one document at most. size is the text's UTF-8 bytes and 16, slot is gapless from 0
     within a shard, grown_shard is null under this law.
 
-    Documents start in the shard of a hash of the id. Every group of equal texts moves. Those above a
-    PLACED-th of a shard are placed first, the largest first, whole where one fits and else in ranges that fill
-    shards, so that a group touches no more shards than the room asks for. The others propagate: first a
-    group wants the shard that holds most of it (of equals, the largest by a hash), and where more want in
-    than the room takes, as many as fit come in whole, by a hash; the refused want shards in proportion to the
-    room left. What no round settles lies in one row over the free places, group beside group. Then shards
-    above their quota give up unlinked documents first, and the places of the others are filled with them.
+    Documents start in the shard of a hash of the id. Groups of equal texts propagate (see propagate()): their documents move to the
+    shards of their neighbours while these have room. Then shards above their quota give up unlinked documents, which no edge holds,
+    and the places of the others are filled with them.
 
     A null text is empty but linked with nothing. Rows that share a doc_id are documents of their own. A
     null id is allowed; further columns are ignored; an empty table gives an empty result.
@@ -109,48 +134,42 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 3, id_col: str = "doc
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.when(text.isNotNull(), F.xxhash64(text)).alias("hash"),
     )
-    # two hashes and the size stand for the text
-    base = work.save(rows.withColumn("grp", F.when(F.col("hash").isNotNull(), F.xxhash64("hash", "text_crc32", "size"))), "base")
+    # two hashes and the size stand for the text; rows without an id are told apart by their places
+    rows = rows.withColumn("place", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    base = work.save(rows.withColumn("grp", F.when(F.col("hash").isNotNull(), F.xxhash64("hash", "text_crc32", "size"))).drop("hash"), "base")
     n = base.count()
     if not n:
         return base.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     quota = [n // shards + (k < n % shards) for k in range(shards)]
     start = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int")
-    parts = base.filter("grp is not null").groupBy("grp", start.alias("shard")).agg(F.count("*").alias("part"))
-    most = F.max_by("shard", F.struct("part", F.xxhash64("grp", "shard").alias("tie")))
-    groups = work.save(parts.groupBy("grp").agg(F.sum("part").alias("linked"), most.alias("wish")).filter("linked > 1"), "groups")
-    propagated = max(1, n // shards) // PLACED
-    pieces, taken = _pieces([(r["grp"], r["linked"]) for r in groups.filter(F.col("linked") > propagated).select("grp", "linked").collect()], quota)
-    room = [q - t for q, t in zip(quota, taken)]
-    settled = _settled(groups.filter(F.col("linked") <= propagated), room, rounds, work)
-
-    # ranges of the large groups have their slots already, from 0 in each shard
-    placed = F.broadcast(spark.createDataFrame(pieces, "grp long, low long, high long, shard int, first long"))
-    large = _ranked(base.join(F.broadcast(placed.select("grp").distinct()), "grp", "left_semi"), ["grp"], [_unit("doc_id", "text_crc32"), F.col("doc_id")], _unit("doc_id", "text_crc32"), n, "nth")
-    inside = (large.grp == placed.grp) & (large.nth >= placed.low) & (large.nth < placed.high)
-    large = large.join(placed, inside).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth") - F.col("low")).alias("slot"))
-
-    others = base.join(F.broadcast(placed.select("grp").distinct()), "grp", "left_anti")
-    others = others.filter("grp is not null").join(settled, "grp", "left").unionByName(others.filter("grp is null"), allowMissingColumns=True)
-    others = others.withColumn("linked", F.coalesce("linked", F.lit(1)))
-    state = work.save(others.select("doc_id", "size", "text_crc32", "grp", "linked", F.when(F.col("linked") > 1, F.col("home")).otherwise(start).alias("shard")), "state")
-
-    # linked documents first, a group beside itself; ranges of the hash of the group spread a shard
-    group_key = F.when(F.col("linked") > 1, _unit("grp")).otherwise(_unit("doc_id", "text_crc32"))
-    spread = F.when(F.col("linked") > 1, group_key / 2).otherwise(0.5 + group_key / 2)
-    order = [spread, F.col("grp"), F.col("doc_id"), F.col("text_crc32")]
-    homed = work.save(_ranked(state.filter("shard is not null"), ["shard"], order, spread, n // shards, "slot"), "homed")
+    parts = propagate(base.filter("grp is not null").groupBy("grp", start.alias("shard")).agg(F.count("*").alias("c")), quota, work)
+
+    # a row a group: its parts as ranges of its documents' numbers
+    ahead = F.coalesce(F.sum("c").over(Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a shard at most
+    ranges = parts.withColumn("low", ahead).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("low", "shard"))).alias("ranges"))
+    counts = base.filter("grp is not null").groupBy("grp").agg(F.count("*").alias("linked"))
+    groups = work.save(counts.join(ranges, "grp", "left"), "groups")
+    linked = spread_join(base.filter("grp is not null"), groups, ["grp"], hot_keys(groups, ["grp"], "linked", n))
+    linked = work.save(linked.unionByName(base.filter("grp is null"), allowMissingColumns=True).withColumn("linked", F.coalesce("linked", F.lit(1))), "linked")
+    own = _unit("doc_id", "text_crc32", "place")
+    columns = ["doc_id", "size", "text_crc32", "place", "linked"]
+    cut = _summed(linked.filter("size(ranges) > 1"), ["grp"], [own, F.col("doc_id")], own, F.lit(1), n, "nth")
+    cut = cut.select(*columns, F.element_at(F.filter("ranges", lambda r: r["low"] <= F.col("nth")), -1)["shard"].alias("shard"))
+    whole = linked.filter("ranges is null or size(ranges) = 1").select(*columns, F.coalesce(F.get("ranges", F.lit(0))["shard"], start).alias("shard"))
+    state = cut.unionByName(whole)
+
+    # linked documents first: they are within the quota
+    spread = F.when(F.col("linked") > 1, own / 2).otherwise(0.5 + own / 2)
+    order = [spread, F.col("doc_id"), F.col("text_crc32")]
+    homed = work.save(_summed(state, ["shard"], order, spread, F.lit(1), n // shards, "slot"), "homed")
     held = _by_shard(homed.withColumn("one", F.lit(1)), "shard", "one", shards)
-    lack = [max(0, r - h) for r, h in zip(room, held)]
+    lack = [max(0, q - h) for q, h in zip(quota, held)]
     ends = [sum(lack[: k + 1]) for k in range(shards)]
-    limits, offset = F.array(*map(F.lit, room)), F.array(*map(F.lit, taken))
-    stays = F.col("slot") < F.element_at(limits, F.col("shard") + 1)
-    stay = homed.filter(stays).select("doc_id", "size", "text_crc32", "shard", (F.element_at(offset, F.col("shard") + 1) + F.col("slot")).alias("slot"))
-    spare = homed.filter(~stays).drop("slot").unionByName(state.filter("shard is null")).withColumn("all", F.lit(0))
-    spare = _ranked(spare, ["all"], order, spread, n, "nth")
-    places = F.array(*map(F.lit, ends))
-    to = F.size(F.filter(places, lambda e: e <= F.col("nth")))
+    stays = F.col("slot") < F.element_at(F.array(*map(F.lit, quota)), F.col("shard") + 1)
+    stay = homed.filter(stays).select("doc_id", "size", "text_crc32", "shard", "slot")
+    spare = _summed(homed.filter(~stays).drop("slot").withColumn("all", F.lit(0)), ["all"], order, spread, F.lit(1), n, "nth")
+    to = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("nth")))
     begins = F.array(*(F.lit(e - x) for e, x in zip(ends, lack)))
     first_free = F.array(*(F.lit(q - x) for q, x in zip(quota, lack)))
     filled = spare.withColumn("to", to).select("doc_id", "size", "text_crc32", F.col("to").alias("shard"), (F.element_at(first_free, F.col("to") + 1) + F.col("nth") - F.element_at(begins, F.col("to") + 1)).alias("slot"))
-    return large.unionByName(stay).unionByName(filled).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return stay.unionByName(filled).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
