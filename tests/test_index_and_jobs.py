@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecclimb.operators import knn as K
+from vecclimb.operators import relations as R
 from vecclimb.operators.index import VectorIndex, train
 from vecclimb.plans import journal
 from vecclimb.plans import search as S
@@ -250,6 +251,38 @@ def test_a_broken_chain_goes_on(spark, monkeypatch):
     assert rows(again) == rows(wanted) and again.inference == wanted.inference
 
 
+def test_best_products_are_the_first_of_the_whole_product(spark):
+    """Ties, short and empty pools and null scores included; candidates are counted."""
+    rng = np.random.default_rng(9)
+    pools, sizes = [], (30, 25, 40)
+    for i, n in enumerate(sizes):
+        rows = [(k, 100 * i + j, float(rng.integers(0, 12)) / 4) for k in (1, 2) for j in range(n if k == 1 else (3, 0, 5)[i])] + [(3, 100 * i, 1.0), (1, 100 * i + 99, None)]
+        pools.append(spark.createDataFrame(rows, "input_id long, item_id long, score double"))
+    held = [sorted((r for r in p.collect() if r.score is not None), key=lambda r: (-r.score, r.item_id)) for p in pools]
+    for m in (1, 7, 60, 100_000):
+        got = {}
+        for r in R.best_products(pools, ["input_id"], m).orderBy("place").collect():
+            got.setdefault(r.input_id, []).append((r.item_id_0, r.item_id_1, r.item_id_2, r.total))
+        wanted = {}
+        for k in (1, 3):
+            own = [[(n, r) for n, r in enumerate([r for r in h if r.input_id == k])] for h in held]
+            two = sorted((-(a.score + b.score), i, j, a, b) for i, a in own[0] for j, b in own[1])
+            three = sorted((t - c.score, n, l, (a.item_id, b.item_id, c.item_id, c.score - t)) for n, (t, _, _, a, b) in enumerate(two) for l, c in own[2])
+            wanted[k] = [x[-1] for x in three[:m]]
+        assert got == wanted
+    assert R.frontier_size(list(sizes), 7) < 40 < 30 * 25 * 40 and R.frontier_size([2, 2], 100) == 4
+    with pytest.raises(ValueError):
+        R.best_products(pools, ["input_id"], 0)
+
+
+def test_a_job_of_the_best_products(spark):
+    lib = line(spark).withColumns({"embedding_id": F.col("item_id") % 2, "item": F.col("external_id")})
+    seeds = spark.createDataFrame([(1, p, [8.2, 0.0]) for p in (0, 1)], "input_id long, assembly_index int, vec array<double>")
+    score = lambda rows: rows.select("item_id", F.lit(True).alias("valid"), F.length("item").cast("double").alias("score"))
+    job = S.Job(lib, score, k=6, metric="euclid", max_iterations=1, positions=2, assemble=lambda parts: F.concat_ws(".", *parts), products=3)
+    assert sorted(r.item for r in S.run_job(job, seeds).collect()) == ["8.11", "8.7", "8.9"]
+
+
 def test_vectors_of_slices():
     column = pa.array([[1.0, 2.0], None, [3.0, None], [], [4.0]], pa.list_(pa.float64()))
     values, starts, sizes = K.vectors_of(column.slice(1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecclimb.functions.scalars import TERMINAL
@@ -44,6 +44,42 @@ def pool_product(pools: list[DataFrame], keys: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, keys), named)
 
 
+def best_products(pools: list[DataFrame], keys: list[str], m: int, score: str = "score", tie: str = "item_id") -> DataFrame:
+    """The m best products of one item of each pool within the keys, by the sum of their scores, without the whole product.
+
+    keys, the columns of the i-th pool with the suffix _i, total, place (from 1). Pools join one after the other, each ranked by
+    score, ties by the tie column; products of equal totals stand by their place among those of the pools before, then by rank. A product of the
+    i-th of the earlier products and the j-th of a pool has at least i * j - 1 before it, so pairs with i * j up to m are the
+    frontier that can hold the best m: some m * log(m) a pool, met by an equal join on j, and of these the best m go on. Null scores and
+    keys without an item in some pool give no product.
+    """
+    if m < 1:
+        raise ValueError("m is 1 or more")
+    ranked = []
+    for i, pool in enumerate(pools):
+        by = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
+        held = pool.filter(F.col(score).isNotNull()).withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= m)
+        ranked.append(held.select(*keys, *(F.col(c).alias(f"{c}_{i}") for c in pool.columns if c not in keys), F.col(score).cast("double").alias("_s"), "_r"))
+    out = ranked[0].withColumnsRenamed({"_s": "total", "_r": "place"})
+    for pool in ranked[1:]:
+        sizes = pool.groupBy(*keys).agg(F.max("_r").alias("_n"))
+        reach = F.least(F.floor(F.lit(m) / F.col("place")).cast("int"), F.col("_n"))
+        frontier = out.join(sizes, keys).withColumn("_r", F.explode(F.sequence(F.lit(1), reach))).drop("_n")
+        met = frontier.join(pool, [*keys, "_r"]).withColumn("total", F.col("total") + F.col("_s"))
+        best = Window.partitionBy(*keys).orderBy(F.desc("total"), "place", "_r")
+        out = met.withColumn("_p", F.row_number().over(best)).filter(F.col("_p") <= m).drop("place", "_r", "_s").withColumnRenamed("_p", "place")
+    return out
+
+
+def frontier_size(sizes: list[int], m: int) -> int:
+    """The candidates that best_products() makes of pools of these sizes."""
+    made, held = 0, min(sizes[0], m)
+    for n in sizes[1:]:
+        met = sum(min(m // i, n, m) for i in range(1, held + 1))
+        made, held = made + met, min(met, m)
+    return made
+
+
 def marked_pairs(fragments: DataFrame, rules: DataFrame) -> DataFrame:
     """(left_id, right_id): distinct pairs with a mark of one allowed beside a mark of the other.
 

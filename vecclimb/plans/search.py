@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from vecclimb.functions.scalars import over_limit
 from vecclimb.functions.vectors import dot, norm, step
 from vecclimb.operators.knn import knn, knn_to_items
-from vecclimb.operators.relations import pool_product
+from vecclimb.operators.relations import best_products, pool_product
 from vecclimb.operators.sums import mean_vectors, tops_and_gradients
 from vecclimb.operators.windows import last_wins, top_result
 from vecclimb.plans.journal import Journal
@@ -76,14 +76,16 @@ def search_pools(queries: DataFrame, library: DataFrame, metric: str, keys: tupl
     return hits.join(asked.select("query_id", *keys, "assembly_index"), "query_id")
 
 
-def search_assembled(queries: DataFrame, library: DataFrame, positions: int, metric: str, assemble: Callable[[list[Column]], Column], keys: tuple[str, ...] = ("input_id", "query_group")) -> DataFrame:
+def search_assembled(queries: DataFrame, library: DataFrame, positions: int, metric: str, assemble: Callable[[list[Column]], Column], keys: tuple[str, ...] = ("input_id", "query_group"), best: int | None = None) -> DataFrame:
     """Products of one parent of each position, within the keys: input and query group, and the query where there are several (L3).
 
-    (keys, item_id_i, vec_i, rank_i ..., product)
+    (keys, item_id_i, vec_i, rank_i ..., product). With best only so many within the keys, those of the greatest sums of
+    similarities, found without the whole product.
     """
     hits = search_pools(queries, library, metric, keys)
-    pools = [hits.filter(F.col("assembly_index") == i).select(*keys, "item_id", "item", "vec", "rank") for i in range(positions)]
-    return pool_product(pools, list(keys)).withColumn("product", assemble([F.col(f"item_{i}") for i in range(positions)]))
+    pools = [hits.filter(F.col("assembly_index") == i).select(*keys, "item_id", "item", "vec", "rank", "similarity") for i in range(positions)]
+    met = pool_product([p.drop("similarity") for p in pools], list(keys)) if best is None else best_products(pools, list(keys), best, "similarity")
+    return met.withColumn("product", assemble([F.col(f"item_{i}") for i in range(positions)]))
 
 
 def fan_out(config: DataFrame, positions: int) -> DataFrame:
@@ -174,6 +176,7 @@ class Job:
     group: bool = False
     positions: int = 1
     assemble: Callable[[list[Column]], Column] | None = None
+    products: int | None = None  # best products of a query group; all of them otherwise
     mapper: Callable[[DataFrame], DataFrame] | None = None  # input_id, query_no, query_group, vec -> rows with assembly_index and vec
     embed: Callable[[list[Column]], Column] | None = None  # vectors of the parents -> vector of the product
     filters: Callable[[DataFrame], DataFrame] | None = None  # rows as for score, with valid: may set it to false
@@ -181,7 +184,7 @@ class Job:
 
     def settings(self) -> str:
         """What must be the same for a broken-off run to go on."""
-        return repr((self.k, self.metric, self.rates, self.max_iterations, self.inference_limit, self.time_limit, self.group, self.positions))
+        return repr((self.k, self.metric, self.rates, self.max_iterations, self.inference_limit, self.time_limit, self.group, self.positions, self.products))
 
 
 @dataclass
@@ -230,7 +233,7 @@ def candidates(job: Job, groups: DataFrame) -> DataFrame:
         hits = knn(asked, job.library, job.k, job.metric, ["external_id", "vec"]).join(asked.select("query_id", *keys), "query_id")
         return hits.select(*keys, "item_id", F.col("external_id").alias("item"), "similarity", F.col("rank").cast("long").alias("place"), one(F.col("vec")).alias("vecs"))
     asked = job.mapper(groups.select(*keys, "vec")) if job.mapper else groups
-    found = search_assembled(asked.withColumn("k", F.lit(job.k)), job.library, job.positions, job.metric, job.assemble, keys)
+    found = search_assembled(asked.withColumn("k", F.lit(job.k)), job.library, job.positions, job.metric, job.assemble, keys, job.products)
     vectors = [F.col(f"vec_{i}") for i in range(job.positions)]
     vecs = one(job.embed(vectors)) if job.mapper else F.array(*(F.struct(F.lit(i).alias("assembly_index"), v.alias("vec")) for i, v in enumerate(vectors)))
     place = sum((F.col(f"rank_{i}") * (job.k + 1) ** (job.positions - 1 - i) for i in range(job.positions)), F.lit(0).cast("long"))
