@@ -283,6 +283,27 @@ def test_a_job_of_the_best_products(spark):
     assert sorted(r.item for r in S.run_job(job, seeds).collect()) == ["8.11", "8.7", "8.9"]
 
 
+def test_ten_thousand_rules_of_many_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    word = lambda n: "".join(rng.choice(list("abé"), n))
+    firsts, parts = [word(rng.integers(0, 14)) for _ in range(40)] + [None], [word(rng.integers(0, 14)) for _ in range(40)] + [None]
+    rules = [(int(rng.integers(0, 2)), word(rng.integers(0, 9)) if i % 500 else None, word(rng.integers(1, 9)), "-" if i % 2 else None) for i in range(10_000)]
+    rules += [(1, "", "a", "+")]
+    frames = (spark.createDataFrame([(f,) for f in firsts], "product string"), spark.createDataFrame([(s, p) for p in parts for s in (0, 1)], "stage int, part string"), spark.createDataFrame(rules, "stage int, left string, right string, sep string"))
+    current = {f for f in firsts if f is not None}
+    for s in range(2):
+        own = {(a, b, c or "") for t, a, b, c in rules if t == s and a is not None}
+        current = {f + c + p for f in current for p in parts if p is not None for a, b, c in own if f.endswith(a) and p.startswith(b)}
+        if s == 0:
+            current = set(sorted(current)[:60])
+            frames = (spark.createDataFrame([(f,) for f in current], "product string"), frames[1].filter("stage = 1").withColumn("stage", F.lit(0)), frames[2].filter("stage = 1").withColumn("stage", F.lit(0)))
+    assert current
+    for most in (100_000, 50):  # by tries, and by lengths
+        monkeypatch.setattr(S, "MOST_RULES", most)
+        assert {r.product for r in S.staged_assembly(*frames, 1).collect()} == current
+    assert S.staged_assembly(*frames, 2).count() == 0  # no rules in the second stage
+
+
 def test_vectors_of_slices():
     column = pa.array([[1.0, 2.0], None, [3.0, None], [], [4.0]], pa.list_(pa.float64()))
     values, starts, sizes = K.vectors_of(column.slice(1))

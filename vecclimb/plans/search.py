@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,7 +18,7 @@ from vecclimb.operators.relations import best_products, pool_product
 from vecclimb.operators.sums import mean_vectors, tops_and_gradients
 from vecclimb.operators.windows import last_wins, top_result
 from vecclimb.plans.journal import Journal
-from vecclimb.session import Workspace
+from vecclimb.session import Workspace, ship
 
 
 def gradients(rows: DataFrame, tops: DataFrame, keys: list[str], metric: str, dot_as_distance: bool = False) -> DataFrame:
@@ -129,24 +130,83 @@ def explore_exploit(results: DataFrame, seeds: DataFrame, used: DataFrame, n: in
     return out
 
 
+#: Rules of a stage whose texts one broadcast trie may hold; more meet by the lengths of their texts.
+MOST_RULES = 100_000
+
+
+def _trie(texts: list[str], backwards: bool) -> dict:
+    """Nested dicts by character; the number of a text stands under "" where it ends."""
+    root: dict = {}
+    for no, text in enumerate(texts):
+        at = root
+        for c in reversed(text) if backwards else text:
+            at = at.setdefault(c, {})
+        at[""] = no
+    return root
+
+
+def affixes(rows: DataFrame, column: str, texts: list[str], backwards: bool) -> DataFrame:
+    """(column, no): for each row every text, by its number, that the row's ends with (backwards) or begins with.
+
+    One walk along a trie of all texts finds those of every length, and a row is repeated for those that it has alone.
+    """
+    ship(rows.sparkSession)
+    held = rows.sparkSession.sparkContext.broadcast(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = _trie(held.value, backwards)
+        for batch in batches:
+            at, found = [], []
+            for i, value in enumerate(batch.column(0).to_pylist()):
+                node = root if value is not None else {}
+                if "" in node:
+                    at.append(i), found.append(node[""])
+                for c in reversed(value or "") if backwards else value or "":
+                    node = node.get(c)
+                    if node is None:
+                        break
+                    if "" in node:
+                        at.append(i), found.append(node[""])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int32())], names=[column, "no"])
+
+    return rows.select(column).mapInArrow(run, f"{column} string, no int")
+
+
+def _by_trie(products: DataFrame, parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(product, sep, part) of all pairs that a rule allows."""
+    lefts, rights = (sorted({r[i] for r in rules}) for i in (0, 1))
+    number = [{t: n for n, t in enumerate(texts)} for texts in (lefts, rights)]
+    allowed = products.sparkSession.createDataFrame([(number[0][a], number[1][b], c) for a, b, c in rules], "l int, r int, sep string")
+    ends = affixes(products, "product", lefts, True).withColumnRenamed("no", "l")
+    begins = affixes(parts, "part", rights, False).withColumnRenamed("no", "r")
+    return ends.join(F.broadcast(allowed), "l").join(begins, "r")
+
+
+def _by_lengths(products: DataFrame, parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same for any number of rules: a row stands for each of its ends or beginnings as long as any rule's."""
+    sizes = rules.agg(F.collect_set(F.length("left")), F.collect_set(F.length("right"))).first()
+    cuts = lambda sizes: F.explode(F.array(*map(F.lit, sorted(sizes))))
+    ends = products.select("product", cuts(sizes[0]).alias("_n")).filter(F.length("product") >= F.col("_n")).select("product", F.expr("right(product, _n)").alias("left"))
+    begins = parts.select("part", cuts(sizes[1]).alias("_n")).filter(F.length("part") >= F.col("_n")).select("part", F.expr("left(part, _n)").alias("right"))
+    return ends.join(rules, "left").join(begins, "right")
+
+
 def staged_assembly(first: DataFrame, parents: DataFrame, rules: DataFrame, stages: int) -> DataFrame:
     """Products of stages: a product that fits a rule's left side meets the parents that fit its right.
 
-    first: product; parents: stage, part; rules: stage, left, right, sep (texts that products end, and
-    parts begin, with). A product stands for each of its ends as long as any rule's, and a part for its
-    beginnings, so that both meet the rules by equality, however many there are. A stage's products are
-    distinct; where it has several rules all their products go on.
+    first: product; parents: stage, part; rules: stage, left, right, sep (texts that products end, and parts begin, with; null fits
+    nothing). Up to MOST_RULES rules of a stage are two broadcast tries, which give the rules' numbers that a product or a part fits, so that
+    both meet by equality; more meet by the texts. A stage's products are distinct; where it has several rules all their products go on.
     """
-    lengths = {r["stage"]: (r["l"], r["r"]) for r in rules.groupBy("stage").agg(F.array_sort(F.collect_set(F.length("left"))).alias("l"), F.array_sort(F.collect_set(F.length("right"))).alias("r")).filter(F.col("stage") < stages).collect()}
-    cuts = lambda sizes: F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"))
-    current = first.select("product").distinct()
+    current = first.select("product").filter("product is not null").distinct()
     for s in range(stages):
-        rule = rules.filter(F.col("stage") == s).select("left", "right", "sep").distinct()
-        l, r = lengths.get(s, ([], []))
-        ends = current.select("product", cuts(l).alias("_n")).filter(F.length("product") >= F.col("_n")).select("product", F.expr("right(product, _n)").alias("left"))
-        parts = parents.filter(F.col("stage") == s).select("part").distinct()
-        begins = parts.select("part", cuts(r).alias("_n")).filter(F.length("part") >= F.col("_n")).select("part", F.expr("left(part, _n)").alias("right"))
-        current = ends.join(rule, "left").join(begins, "right").select(F.concat("product", "sep", "part").alias("product")).distinct()
+        rule = rules.filter(F.col("stage") == s).select("left", "right", F.coalesce("sep", F.lit("")).alias("sep")).filter("left is not null and right is not null").distinct()
+        parts = parents.filter(F.col("stage") == s).select("part").filter("part is not null").distinct()
+        held = rule.limit(MOST_RULES + 1).collect()
+        if not held:
+            return current.limit(0)
+        met = _by_trie(current, parts, [tuple(r) for r in held]) if len(held) <= MOST_RULES else _by_lengths(current, parts, rule)
+        current = met.select(F.concat("product", "sep", "part").alias("product")).distinct()
     return current
 
 
