@@ -11,9 +11,10 @@ from vecclimb.plans import jobs as C
 from vecclimb.plans import search as S
 from vecclimb.queries.standins import JOBS, LIB, PLUG, REQ, RES, item_results, items, jobs, library, plugins, requests
 from vecclimb.queries.store import CACHED, _cached
-from vecclimb.session import Workspace, table
+from vecclimb.session import Workspace, ship, table
 from vecclimb.sources import library as A
 from vecclimb.streaming import jobs as M
+from vecclimb.streaming import state as K
 
 # --- A: sources and sinks
 
@@ -227,3 +228,59 @@ def stream_library_load(spark, d):
     embed = lambda rows: rows.select("item", "external_id", F.length("item").cast("long").alias("chars"))
     M.stream_library(spark, f"{path}/in", f"{path}/out", f"{path}/state", embed).awaitTermination()
     return spark.read.parquet(f"{path}/out")
+
+
+# --- M: keyed state
+
+
+def _streamed(spark, rows, process):
+    """What a processor gives of a table that a stream reads from files."""
+    path, setting = Workspace(spark, "stream").path, "spark.sql.streaming.stateStore.providerClass"
+    ship(spark)
+    rows.write.parquet(f"{path}/in")
+    before = spark.conf.get(setting)
+    K.use_store(spark)
+    try:
+        query = process(spark.readStream.schema(rows.schema).parquet(f"{path}/in")).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.parquet(f"{path}/out")
+
+
+def _timed(spark, d):
+    at = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), at.alias("at"), "event_type", "value")
+
+
+YEARS = 20 * 365 * 86_400
+
+
+@register("stream_runs_once", "select cast(user_id as varchar) as key, cast(epoch_us(min(ts)) as bigint) as at from events group by 1")
+def stream_runs_once(spark, d):
+    """Users as run keys: each once, at its first event."""
+    found = _streamed(spark, _timed(spark, d).select("key", "at"), lambda s: K.runs_once(s, YEARS))
+    return found.select("key", F.unix_micros("at").alias("at"))
+
+
+@register("stream_cached_results", """with r as (select cast(user_id as varchar) as key, epoch_ms(ts) as ms, epoch_us(ts) as us, event_type = 'view' as request, case when event_type <> 'error' then value end as value from events where event_type in ('view', 'purchase', 'error')),
+w as (select *, last_value(case when not request then value end ignore nulls) over o as held, last_value(case when not request and value is not null then ms end ignore nulls) over o as since from r window o as (partition by key order by us, request, value is null, coalesce(value, 0) rows unbounded preceding))
+select key, cast(us as bigint) as at, case when ms - since <= 604800000 then held end as value, case when ms - since <= 604800000 then 'cache' else 'execute' end as source from w where request""")
+def stream_cached_results(spark, d):
+    """Views as requests, purchases as results and errors as failed ones: a result answers for a week."""
+    kind = F.when(F.col("event_type") == "view", "request").otherwise("result")
+    value = F.when(F.col("event_type") != "error", F.col("value"))
+    rows = _timed(spark, d).filter("event_type in ('view', 'purchase', 'error')").select("key", "at", kind.alias("kind"), value.alias("value"))
+    found = _streamed(spark, rows, lambda s: K.cached_results(s, 604_800))
+    return found.select("key", F.unix_micros("at").alias("at"), "value", "source")
+
+
+@register("stream_run_statuses", """with e as (select cast(user_id as varchar) as key, epoch_us(ts) as us, case event_type when 'click' then 'STARTED' when 'purchase' then 'SUCCESS' when 'error' then 'FAILURE' when 'view' then 'CANCELED' end as event from events where event_type <> 'signup'),
+k as (select *, coalesce(max(event <> 'STARTED') over (partition by key order by us, event rows between unbounded preceding and 1 preceding), false) as over_ from e),
+c as (select *, lag(event) over (partition by key order by us, event) as before from k where not (over_ and event = 'STARTED'))
+select key, cast(us as bigint) as at, case event when 'STARTED' then 'running' when 'SUCCESS' then 'complete' when 'FAILURE' then 'failed' else 'cancelled' end as status from c where before is distinct from event""")
+def stream_run_statuses(spark, d):
+    """Events as those of runs: clicks start, purchases end well, errors fail, views cancel."""
+    names = F.create_map(*(F.lit(x) for x in ("click", "STARTED", "purchase", "SUCCESS", "error", "FAILURE", "view", "CANCELED", "signup", "OTHER")))
+    rows = _timed(spark, d).select("key", "at", F.element_at(names, F.col("event_type")).alias("event"))
+    return _streamed(spark, rows, lambda s: K.run_statuses(s, YEARS)).select("key", F.unix_micros("at").alias("at"), "status")

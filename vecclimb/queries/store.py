@@ -161,12 +161,12 @@ def checkin_items(spark, d):
     return out.select("doc_id", F.when(F.col("known"), F.col("item_id")).alias("known_id"), F.coalesce("known", F.lit(False)).alias("known"), "copies")
 
 
-@register("upsert_item_sources", "with t as (select p_partkey as item_id, p_brand as plugin, cast(p_size as varchar) as external_id from part), u as (select l_partkey as item_id, 'Brand#' || (l_suppkey % 25 + 1) as plugin, max(l_orderkey * 10 + l_linenumber) as seq from lineitem group by 1, 2) select t.item_id, t.plugin, t.external_id from t anti join u using (item_id, plugin) union all select item_id, plugin, cast(seq as varchar) from u")
+@register("upsert_item_sources", "with t as (select p_partkey as item_id, cast(substr(p_brand, 7) as bigint) as plugin_id, cast(p_size as varchar) as external_id from part), u as (select l_partkey as item_id, l_suppkey % 25 + 1 as plugin_id, max(l_orderkey * 10 + l_linenumber) as seq from lineitem group by 1, 2) select t.item_id, t.plugin_id, t.external_id from t where not exists (select 1 from u where u.item_id = t.item_id and u.plugin_id = t.plugin_id) union all select item_id, cast(plugin_id as bigint), cast(seq as varchar) from u")
 def upsert_item_sources(spark, d):
-    target = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("plugin"), J.external_id_text(F.col("p_size")).alias("external_id"))
+    target = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.substring("p_brand", 7, 9).cast("long").alias("plugin_id"), J.external_id_text(F.col("p_size")).alias("external_id"))
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    updates = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item_id"), F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 25 + 1).cast("string")).alias("plugin"), J.external_id_text(seq).alias("external_id"), seq.alias("seq"))
-    return I.merge_last(target, updates, ["item_id", "plugin"])
+    updates = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item_id"), (F.col("l_suppkey") % 25 + 1).cast("long").alias("plugin_id"), J.external_id_text(seq).alias("external_id"), seq.alias("seq"))
+    return I.merge_last(target, updates, ["item_id", "plugin_id"])
 
 
 @register("upsert_item_results", f"with {RES}, {REQ}, u as (select item_id, max(event_id) as event_id, arg_max(event_type <> 'error', event_id) as valid, arg_max(value, event_id) as score from req group by 1) select item_id, valid, score from res anti join u using (item_id) union all select item_id, valid, score from u")
