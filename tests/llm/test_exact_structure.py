@@ -59,7 +59,7 @@ def passages(seed=3):
     return rows
 
 
-def test_repeats_equal_brute_force(spark, monkeypatch):
+def test_repeats_equal_brute_force(spark):
     rows = passages()
     wanted = repeats(sorted(rows))
     assert found_repeats(spark, rows) == wanted
@@ -74,7 +74,7 @@ def test_one_passage_in_many_contexts_goes_through_blocks(spark):
     assert found_repeats(spark, rows) == repeats(sorted(rows))
 
 
-def test_repeats_of_equal_rows_null_ids_and_long_texts(spark, monkeypatch):
+def test_repeats_of_equal_rows_null_ids_and_long_texts(spark):
     long = "".join(random.Random(1).choices("abcdefgh ", k=2_300_000))
     rows = [(1, long), (2, "q" + long[1_048_000:1_049_500] + "q"), (7, "same " * 60), (7, "same " * 60), (7, "same " * 60), (9, "same " * 60), (None, long[5:300]), (None, long[5:300])]
     got = found_repeats(spark, rows)
@@ -164,6 +164,17 @@ def test_manifest_equals_plain_trees(spark):
     assert all(r.verified for r in M.manifest(docs).select("verified").collect())  # nothing claimed, nothing wrong
 
 
+def test_manifest_of_many_passes(spark, monkeypatch):
+    """Blocks of four nodes: the trees take four passes, and ranges of eight rows meet their language."""
+    monkeypatch.setattr(M, "LEVELS", 2)
+    monkeypatch.setattr(M, "BLOCK", 4)
+    monkeypatch.setattr(M, "RANGE", 3)
+    rows = [(i, "web", "en" if i % 3 else f"l{i % 7}", i, f"text {i}") for i in range(150)]
+    got = M.manifest(spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string"))
+    got = got.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256), "folded_root", "verified").collect()
+    assert sorted(map(tuple, got)) == manifest_of(rows, lambda r: False)
+
+
 def test_manifest_of_few_rows(spark):
     kind = "doc_id long, source string, lang string, n_chars long, text string"
     assert M.manifest(spark.createDataFrame([], kind)).count() == 0
@@ -253,7 +264,7 @@ def spoken(rng, n, conv):
     return [(conv, rng.choice([None, t, t, t + rng.randint(0, 3)]), rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", "u2"]), rng.choice(texts) if rng.random() < 0.5 else f"Line {rng.random()}.") for t in range(n)]
 
 
-def test_repairs_equal_a_search_over_states(spark, monkeypatch):
+def test_repairs_equal_a_search_over_states(spark):
     rng = random.Random(6)
     rows = [r for c in range(120) for r in spoken(rng, rng.randint(1, 9), c)] + spoken(rng, 5, None)
     assert found_repairs(spark, rows) == repaired_of({r[0] for r in rows}, rows)
