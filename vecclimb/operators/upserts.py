@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecclimb.functions.scalars import assembly_key, completed_at, component_key, is_terminal, started_at
 from vecclimb.operators.windows import last_seen
 
 
-def item_id(text: Column) -> Column:
-    """The id of an item's text: a hash, so that new ids need no counter and no single task."""
-    return F.xxhash64(text)
+#: Ids that share a stem at most: a stem is an id without its last byte.
+SLOTS = 256
+
+
+def with_fresh_ids(fresh: DataFrame, key: str, known: DataFrame, name: str, stem: Column | None = None) -> DataFrame:
+    """fresh with ids, the column name, that no other of its rows and no row of known has.
+
+    fresh: distinct keys that known (column name) has no id for yet. An id is 56 bits of the key's hash, its stem, and a
+    slot of 8 bits: the keys of one stem take the slots after those taken, in the order of the keys. So two keys
+    whose hashes collide get two ids, though no id is counted up and no task sees more than a stem; an error if
+    a stem has no slot left. stem gives another hash.
+    """
+    hashed = F.shiftright(F.xxhash64(key) if stem is None else stem, 8)
+    taken = known.select(F.shiftright(name, 8).alias("_stem"), (F.pmod(name, F.lit(SLOTS)) + 1).alias("_taken")).groupBy("_stem").agg(F.max("_taken").alias("_taken"))
+    within = Window.partitionBy("_stem").orderBy(key)
+    placed = fresh.withColumn("_stem", hashed).withColumn("_slot", F.row_number().over(within) - 1).join(taken, "_stem", "left")
+    slot = F.col("_slot") + F.coalesce("_taken", F.lit(0))
+    checked = F.when(slot < SLOTS, F.shiftleft("_stem", 8) + slot).otherwise(F.raise_error(F.lit("a stem of ids has no slot left")).cast("long"))
+    return placed.withColumn(name, checked).drop("_stem", "_slot", "_taken")
 
 
 def checkin_items(items: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -20,7 +36,7 @@ def checkin_items(items: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFr
     items: item_id, item; batch: item and anything else, repeated texts included.
     """
     fresh = batch.select("item").filter("item is not null").distinct().join(items, "item", "left_anti")
-    merged = items.select("item_id", "item").unionByName(fresh.select(item_id(F.col("item")).alias("item_id"), "item"))
+    merged = items.select("item_id", "item").unionByName(with_fresh_ids(fresh, "item", items, "item_id").select("item_id", "item"))
     return merged, batch.join(merged, "item", "left")
 
 
@@ -37,7 +53,8 @@ def checkin_assemblies(assemblies: DataFrame, batch: DataFrame, plugin: int) ->
     the parents and the product; equal keys are one assembly.
     """
     keyed = batch.withColumns({"assembly_key": assembly_key(F.lit(plugin), F.col("components"), F.col("product_id")), "component_key": component_key(F.lit(plugin), F.col("components"))})
-    new = keyed.dropDuplicates(["assembly_key"]).join(assemblies, "assembly_key", "left_anti").withColumn("assembly_id", F.xxhash64("assembly_key"))
+    new = keyed.dropDuplicates(["assembly_key"]).join(assemblies, "assembly_key", "left_anti")
+    new = with_fresh_ids(new, "assembly_key", assemblies, "assembly_id")
     merged = assemblies.select("assembly_id", "assembly_key", "component_key", "product_id").unionByName(new.select("assembly_id", "assembly_key", "component_key", "product_id"))
     return merged, new.select("assembly_id", F.inline("components"))
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from vecclimb.catalog import register
 from vecclimb.operators import relations as R
+from vecclimb.operators.bitmaps import PartnerIndex
 from vecclimb.operators.windows import first_seen
 from vecclimb.plans import jobs as C
 from vecclimb.queries.standins import COMP, ITER, JOBS, PLUG, REQ, RES, components, item_results, items, iterations, jobs, plugins, requests
 from vecclimb.queries.store import EXECUTED, _cached, _marked, executed
-from vecclimb.session import table
+from vecclimb.session import Workspace, table
 
 # --- D: joins
 
@@ -91,6 +92,25 @@ def mark_compatibility_counts(spark, d):
     return R.marked_partner_counts(fragments, rules)
 
 
+@register("mark_compatibility_page", "with m as (select p_partkey as id, unnest([upper(left(p_name, 1)) || ':' || p_size % 8, upper(left(p_type, 1)) || ':' || p_partkey % 5]) as mark from part), r as (select unnest(['S:1', 'B:2', 'R:3']) as lm, unnest(['P:1', 'L:2', 'M:3']) as rm), n as (select distinct a.id as left_id, b.id as right_id from m a join r on a.mark = lm join m b on b.mark = rm where a.id <> b.id) select left_id, right_id, place from (select *, row_number() over (partition by left_id order by right_id) as place from n) where place between 6 and 15")
+def mark_compatibility_page(spark, d):
+    """The second page of partners of every fragment, ten after the first five, from stored bitmaps."""
+    return _partner_index(spark, d).page(5, 10)
+
+
+@register("mark_compatibility_bitmap_counts", "with m as (select p_partkey as id, unnest([upper(left(p_name, 1)) || ':' || p_size % 8, upper(left(p_type, 1)) || ':' || p_partkey % 5]) as mark from part), r as (select unnest(['S:1', 'B:2', 'R:3']) as lm, unnest(['P:1', 'L:2', 'M:3']) as rm), n as (select a.id, count(distinct b.id) as partners from m a join r on a.mark = lm join m b on b.mark = rm where a.id <> b.id group by 1) select p_partkey as id, coalesce(partners, 0) as partners from part left join n on n.id = p_partkey")
+def mark_compatibility_bitmap_counts(spark, d):
+    return _partner_index(spark, d).counts()
+
+
+def _partner_index(spark, d):
+    from vecclimb.functions.scalars import extract_marks
+
+    fragments = _marked(spark, d).select("id", extract_marks(F.col("text")).alias("marks"))
+    rules = spark.createDataFrame([("[S:1]", "[P:1]"), ("[B:2]", "[L:2]"), ("[R:3]", "[M:3]")], "left_mark string, right_mark string")
+    return PartnerIndex(fragments, rules, Workspace(spark, "partners").path)
+
+
 @register("cache_split", f"with {EXECUTED} select event_id, source from ex")
 def cache_split(spark, d):
     return R.cache_split(requests(spark, d), *_cached(spark, d), "key").select("event_id", "source")

@@ -11,8 +11,10 @@ from vecclimb.operators import relations as R
 from vecclimb.operators import roles
 from vecclimb.operators import upserts as I
 from vecclimb.operators import windows as W
+from vecclimb.operators.buckets import upsert_bucketed, write_bucketed
+from vecclimb.operators.pages import By, PagedTable
 from vecclimb.queries.standins import COMP, JOBS, PLUG, REQ, RES, Q, components, item_results, items, jobs, plugins, requests
-from vecclimb.session import table
+from vecclimb.session import Workspace, table
 
 # --- B: filters and predicates
 
@@ -141,6 +143,21 @@ def plugins_page(spark, d):
     return W.page(plugins(spark, d).filter(B.record_filter({"name": "small%"})).select("plugin_id", "name"), F.col("plugin_id"), offset=5, limit=40)
 
 
+@register("results_deep_page", f"with {RES} select doc_id, score, row_number() over (order by score desc nulls last, doc_id) - 1 as place from documents left join res on item_id = doc_id order by place limit 100 offset (select count(*) // 2 from documents)")
+def results_deep_page(spark, d):
+    """A page from the middle of all results, of which only the ranges that hold it are sorted."""
+    rows = R.with_scores(items(spark, d), item_results(spark, d), ["item_id"]).select(F.col("item_id").alias("doc_id"), "score")
+    pages = PagedTable.build(rows, [By("score", descending=True), By("doc_id")], Workspace(spark, "pages").path, 2000)
+    return pages.page(pages.total // 2, 100)
+
+
+@register("results_after_cursor", f"with {JOBS}, o as (select job_id, day, row_number() over (order by day desc, job_id) - 1 as place from jobs) select job_id, day, place from o where day < 900000000 order by place limit 200")
+def results_after_cursor(spark, d):
+    """The page of jobs after a cursor, whose own row need not exist."""
+    pages = PagedTable.build(jobs(spark, d).select("job_id", "day"), [By("day", descending=True), By("job_id")], Workspace(spark, "pages").path, 2000)
+    return pages.after({"day": 900000000, "job_id": 2**62}, 200)
+
+
 # --- I: upserts
 
 SPLIT = "old as (select text as item, min(doc_id) as item_id from documents where doc_id % 3 = 0 group by text)"
@@ -161,12 +178,26 @@ def checkin_items(spark, d):
     return out.select("doc_id", F.when(F.col("known"), F.col("item_id")).alias("known_id"), F.coalesce("known", F.lit(False)).alias("known"), "copies")
 
 
-@register("upsert_item_sources", "with t as (select p_partkey as item_id, cast(substr(p_brand, 7) as bigint) as plugin_id, cast(p_size as varchar) as external_id from part), u as (select l_partkey as item_id, l_suppkey % 25 + 1 as plugin_id, max(l_orderkey * 10 + l_linenumber) as seq from lineitem group by 1, 2) select t.item_id, t.plugin_id, t.external_id from t where not exists (select 1 from u where u.item_id = t.item_id and u.plugin_id = t.plugin_id) union all select item_id, cast(plugin_id as bigint), cast(seq as varchar) from u")
-def upsert_item_sources(spark, d):
+def _source_updates(spark, d):
     target = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.substring("p_brand", 7, 9).cast("long").alias("plugin_id"), J.external_id_text(F.col("p_size")).alias("external_id"))
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     updates = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item_id"), (F.col("l_suppkey") % 25 + 1).cast("long").alias("plugin_id"), J.external_id_text(seq).alias("external_id"), seq.alias("seq"))
-    return I.merge_last(target, updates, ["item_id", "plugin_id"])
+    return target, updates
+
+
+@register("upsert_item_sources", "with t as (select p_partkey as item_id, cast(substr(p_brand, 7) as bigint) as plugin_id, cast(p_size as varchar) as external_id from part), u as (select l_partkey as item_id, l_suppkey % 25 + 1 as plugin_id, max(l_orderkey * 10 + l_linenumber) as seq from lineitem group by 1, 2) select t.item_id, t.plugin_id, t.external_id from t where not exists (select 1 from u where u.item_id = t.item_id and u.plugin_id = t.plugin_id) union all select item_id, cast(plugin_id as bigint), cast(seq as varchar) from u")
+def upsert_item_sources(spark, d):
+    return I.merge_last(*_source_updates(spark, d), ["item_id", "plugin_id"])
+
+
+@register("upsert_bucketed_sources", "with t as (select p_partkey as item_id, cast(substr(p_brand, 7) as bigint) as plugin_id, cast(p_size as varchar) as external_id from part), u as (select l_partkey as item_id, l_suppkey % 25 + 1 as plugin_id, max(l_orderkey * 10 + l_linenumber) as seq from lineitem group by 1, 2) select t.item_id, t.plugin_id, t.external_id from t where not exists (select 1 from u where u.item_id = t.item_id and u.plugin_id = t.plugin_id) union all select item_id, cast(plugin_id as bigint), cast(seq as varchar) from u")
+def upsert_bucketed_sources(spark, d):
+    """The same by tables in buckets of their keys: only the updates are shuffled."""
+    target, updates = _source_updates(spark, d)
+    work, keys = Workspace(spark, "sources"), ["item_id", "plugin_id"]
+    names = [f"sources_{work.path[-12:]}_{v}" for v in (0, 1)]
+    write_bucketed(target, names[0], keys, 8, f"{work.path}/0")
+    return upsert_bucketed(names[0], updates, keys, 8, names[1], f"{work.path}/1")
 
 
 @register("upsert_item_results", f"with {RES}, {REQ}, u as (select item_id, max(event_id) as event_id, arg_max(event_type <> 'error', event_id) as valid, arg_max(value, event_id) as score from req group by 1) select item_id, valid, score from res anti join u using (item_id) union all select item_id, valid, score from u")
