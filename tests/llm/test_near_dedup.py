@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vecclimb.llm import near_dedup, skew
-from vecclimb.llm.components import connected_components
+from vecclimb.llm.components import _to_least, connected_components
 from vecclimb.llm.near_dedup import near_duplicates
 from vecclimb.session import Workspace
 
@@ -101,3 +102,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200 + i, 200) for i in range(30)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long"), Workspace(spark, "t")).collect()))
     assert all(found[i] == 0 for i in range(41)) and found[101] == 100 and all(found[200 + i] == 200 for i in range(30))
+
+
+def test_components_of_a_hub(spark):
+    """A node that half of all edges meet, whose leaves are linked among each other too, beside a chain."""
+    edges = [(5, 10 + i) for i in range(6000)] + [(10 + i, 11 + i) for i in range(0, 5999, 3)] + [(20000 + i, 20001 + i) for i in range(300)] + [(6009, 20000)]
+    rows = spark.createDataFrame(edges, "u long, v long").repartition(6)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        tasks = [r["count"] for r in _to_least(rows, least, len(edges)).groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert sum(tasks) == len(edges) and max(tasks) < 6000 * 2 // 3  # the hub is in several tasks
+        found = dict(map(tuple, connected_components(rows, Workspace(spark, "t")).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == 6001 + 301 and set(found.values()) == {5}
