@@ -173,6 +173,18 @@ def test_words_are_encoded_as_in_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_of_any_case_with_marks_after_them():
+    """A few texts a call, so that most calls hold no added token and take words of either case for the same."""
+    path = P.path("word_bpe_49k.json")
+    coder, tokenizer = token_files.WordEncoder.load(path), Tokenizer.from_file(path)
+    rng = random.Random(16)
+    bits = [*"aAhHtTwWjJsSiIkK01 '.,!$<|>\n\t\x7f\x00", "'s", "'RE", "'Ll", "\u0301", "\u0331", "\u0307", "\u030a", "\u02be", "é", "É", "ß", "ſ", "\u212a", "Σ", "ς", "½", "漢", "\x85", "\u3000"]
+    calls = [[], [""], ["A", "\u0331"], ["TOKEN<|EndOfText|>Ab.", "ab."], ["<|endoftext|>"], *([("".join(rng.choice(bits) for _ in range(rng.randrange(0, 25)))) for _ in range(20)] for _ in range(1500))]
+    for texts in calls:
+        ids, bounds = coder.encode_texts(*words.buffers(pa.array(texts, pa.string())))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_other_tokenizers_take_whole_texts():
     path = P.path("byte_bpe_50k.json")
     coder, tokenizer = token_files.WordEncoder.load(path), Tokenizer.from_file(path)

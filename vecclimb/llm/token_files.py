@@ -38,9 +38,24 @@ def _parts_at_blanks(config: dict) -> bool:
     return bool(steps and within and words and alone and all(r["type"] == "ByteLevel" and not r["add_prefix_space"] and not r["use_regex"] for r in rest))
 
 
+def _lower_cases(config: dict) -> bool:
+    """Whether a tokenizer file that parts at blanks also takes ASCII letters of either case for the same."""
+    return any(n["type"] == "Lowercase" for n in config["normalizer"]["normalizers"]) and not any(t["normalized"] for t in config.get("added_tokens", []))
+
+
+#: ASCII letters and digits; other printable ASCII, which ends a word unless it begins a contraction.
+_ASCII = np.arange(256)
+_WORD = W.ALPHANUMERIC & (_ASCII < 128)
+_MARK = (_ASCII > 32) & (_ASCII < 127) & ~_WORD & (_ASCII != ord("'"))
+#: Lower case, and a blank for a line's end.
+_SAME = W.LOWER.copy()
+_SAME[10] = 32
+
+
 class WordEncoder:
     """Ids of whole texts. Where a tokenizer never joins across blanks, the ids of a text are those of its
-    parts between blanks, one after the other; equal parts are encoded once and kept."""
+    parts between blanks, one after the other; equal parts are encoded once and kept. Where it lower-cases too,
+    the marks after a word are a part of their own, and parts are equal whatever the case of their ASCII letters."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,7 +63,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_parts = _parts_at_blanks(json.load(f))
+            config = json.load(f)
+        self.by_parts = _parts_at_blanks(config)
+        self.lowers = self.by_parts and _lower_cases(config)
+        self.added = [W.LOWER[np.frombuffer(t["content"].encode(), np.uint8)].tobytes() for t in config.get("added_tokens", [])]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.memo = Memo(MEMO)
         # a number is a word of its own, so a number of one id parts the words that the tokenizer takes at once
@@ -61,6 +79,11 @@ class WordEncoder:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
+    def _plain(self, data: np.ndarray) -> bool:
+        """Whether no added token occurs, in any case: these are found before words are."""
+        lower = W.LOWER[data].tobytes()
+        return not any(t in lower for t in self.added)
+
     def _each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -80,7 +103,20 @@ class WordEncoder:
 
     def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts that offsets bounds in data, one after the other; their places at the bounds)."""
-        cuts = (lambda d: np.flatnonzero((d == 32) | (d == 10))) if self.by_parts else (lambda d: np.zeros(0, np.int64))
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        folds = self.lowers and self._plain(data)
+        if folds:
+            # a letter before a mark that may be composed with it keeps its case
+            data = np.where(np.append(data[1:] < 128, True)[: len(data)], _SAME[data], data)
+
+        def cuts(d: np.ndarray) -> np.ndarray:
+            if not self.by_parts:
+                return np.zeros(0, np.int64)
+            at = (d == 32) | (d == 10)
+            if folds:
+                at[1:] |= _MARK[d[1:]] & _WORD[d[:-1]]
+            return np.flatnonzero(at)
+
         parts = W.parts(data, offsets, cuts)
         known = self.memo.values(parts.distinct, self._encoded)
         return parts.joined([known[p] for p in parts.distinct], self.kind)
