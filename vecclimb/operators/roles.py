@@ -37,27 +37,63 @@ def from_column(expression: Column, valid: Column | None = None) -> Callable[[Da
     return build
 
 
-def from_pandas(function: Callable[[pd.DataFrame], pd.Series], value_type: str) -> Callable[[DataFrame], DataFrame]:
-    """A role as a pandas function over batches: what it raises makes its batch invalid, row by row (K9)."""
+def _apart(function: Callable[[pd.DataFrame], pd.Series], batch: pd.DataFrame) -> tuple[list, list]:
+    """Values and errors of the rows of a batch that failed, by calls on parts of it.
+
+    A part that passes gives all its values. One that fails is halved down to its first failing row, which is called
+    alone and keeps its own error. The next part is as large as failures were rare so far, so that there is a call
+    for every row at most, apart from the halving, and far fewer where few rows fail.
+    """
+    n, at, failed = len(batch), 0, 0
+    values, errors = [None] * n, [None] * n
+
+    def called(a: int, b: int) -> str | None:
+        try:
+            out = list(function(batch.iloc[a:b]))
+            if b - a > 1 and len(out) != b - a:
+                return "length"
+            values[a:b] = out[: b - a] if out else [out[0]]
+        except Exception as e:  # noqa: BLE001 - any failure of a plugin is a result
+            return f"{type(e).__name__}: {e}"[:500]
+        return None
+
+    while at < n:
+        end = min(n, at + max(1, int(0.7 * at / failed)) if failed else at + max(1, n // 2))
+        error = called(at, end)
+        if error is None:
+            at = end
+            continue
+        while end - at > 1:
+            middle = (at + end) // 2
+            found = called(at, middle)
+            if found is None:
+                at, error = middle, None
+            else:
+                end, error = middle, found
+        if error is None:  # the last row of its part: known to fail, but not yet by itself
+            error = called(at, end)
+        errors[at], failed, at = error, failed + (error is not None), end
+    return values, errors
+
+
+def from_pandas(function: Callable[[pd.DataFrame], pd.Series], value_type: str, spread: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """A role as a pandas function over batches: what it raises makes its batch invalid, row by row (K9).
+
+    spread deals the rows to all shuffle partitions first, for a slow function over a table that is read by few tasks.
+    """
 
     def build(rows: DataFrame) -> DataFrame:
         ship(rows.sparkSession)
         schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"value {value_type}, valid boolean, error string").fields])
+        if spread:
+            rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
         def run(batches):
             for batch in batches:
                 try:
                     batch["value"], batch["error"] = list(function(batch)), None
                 except Exception:  # the batch failed: find the rows that fail
-                    values, errors = [], []
-                    for i in range(len(batch)):
-                        try:
-                            values.append(list(function(batch.iloc[i : i + 1]))[0])
-                            errors.append(None)
-                        except Exception as e:  # noqa: BLE001 - any failure of a plugin is a result
-                            values.append(None)
-                            errors.append(f"{type(e).__name__}: {e}"[:500])
-                    batch["value"], batch["error"] = values, errors
+                    batch["value"], batch["error"] = _apart(function, batch)
                 batch["valid"] = [v is not None and e is None for v, e in zip(batch["value"], batch["error"])]
                 yield batch
 

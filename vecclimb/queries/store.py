@@ -496,5 +496,5 @@ def failure_to_invalid(spark, d):
             raise ValueError("size")
         return batch["price"] * 2
 
-    out = roles.from_pandas(fragile, "double")(plugins(spark, d).select("plugin_id", "size", "price"))
+    out = roles.from_pandas(fragile, "double", spread=True)(plugins(spark, d).select("plugin_id", "size", "price"))
     return out.select("plugin_id", "valid", F.round("value", 6).alias("value"), "error")
