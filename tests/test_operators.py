@@ -261,6 +261,24 @@ def test_pages_do_not_overlap(spark):
     assert pages == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]] and W.page(rows, *order).count() == 10
 
 
+def test_a_failing_batch_takes_few_calls(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def fragile(batch):
+        calls.add(1)
+        if (batch["x"] % 50 == 7).any():
+            raise ValueError("seven")
+        return batch["x"] * 2
+
+    rows = spark.range(4000).withColumnRenamed("id", "x").coalesce(1)
+    out = roles.from_pandas(fragile, "long", spread=True)(rows).cache()
+    assert [tuple(r) for r in out.filter("x % 50 = 7").select("value", "valid", "error").distinct().collect()] == [(None, False, "ValueError: seven")]
+    assert out.filter("x % 50 <> 7 and valid and value = x * 2 and error is null").count() == 3920
+    assert calls.value < 1600 and out.rdd.getNumPartitions() == 4
+    every = roles.from_pandas(lambda batch: batch["x"].map({3: 5}.__getitem__), "long")(rows.limit(9)).collect()
+    assert [(r.x, r.value) for r in every if r.valid] == [(3, 5)] and {r.error for r in every if r.x == 8} == {"KeyError: 8"}
+
+
 def test_nested_export(spark):
     inputs = spark.createDataFrame([(1,), (2,)], "input_id long")
     iterations = spark.createDataFrame([(1, 0), (1, 1)], "input_id long, iteration int")
@@ -313,3 +331,15 @@ def test_partners_are_counted_over_all_fragments(spark, sf):
     assert pairs == {(1, 2), (1, 3), (1, 4), (1, 7), (3, 2), (3, 4), (4, 2), (4, 3)}
     assert {r.id: r.partners for r in R.marked_partner_counts(fragments, rules).collect()} == {1: 4, 2: 0, 3: 2, 4: 2, 5: 0, 6: 0, 7: 0}
     assert catalog.queries()["mark_compatibility_counts"](spark, sf).count() == table(spark, sf, "part").count()
+
+
+def test_pairs_of_a_frequent_mark_are_not_shuffled(spark):
+    marks = F.when(F.col("id") < 2500, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("c"), F.lit("d"), F.lit(None)))
+    fragments = spark.range(5000).select("id", marks.alias("marks"))
+    twice = fragments.unionByName(spark.createDataFrame([(1, ["c"]), (None, ["a"])], "id long, marks array<string>"))  # 1 stands on both sides
+    rules = spark.createDataFrame([("a", "c"), ("b", "d"), ("b", "d")], "left_mark string, right_mark string")
+    pairs = R.marked_pairs(twice, rules)
+    last = pairs._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+    assert "Generate" in last and "Aggregate" not in last and "Join" not in last
+    assert pairs.count() == pairs.distinct().count() == 2500 * 2501 - 1
+    assert pairs.rdd.getNumPartitions() == 4
