@@ -1,10 +1,13 @@
 """Held-out accuracy of the classifiers, and their edge cases."""
 
+import os
 import random
 
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from vecclimb.llm import quality, toxicity
 from vecclimb.session import table
 
@@ -115,3 +118,16 @@ def test_risk_is_bounded_below():
     good, bad = rng.normal(1, 1, (400, quality.SIZE)), rng.normal(-1, 1, (100, quality.SIZE))
     model = quality.train(good[:200], np.concatenate([good[200:], bad]), prior=2 / 3, epochs=40)
     assert (model.logits(good) > 0).mean() > 0.95 and (model.logits(bad) < 0).mean() > 0.95
+
+
+def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'kind'} words of number {i} are here") for i in range(200)], "doc_id long, text string")
+    labels = spark.range(200).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    model = toxicity.fit(docs, labels)
+    sample = toxicity.labelled_texts(docs, labels, "toxic", 5, 0, 3000, 8_000_000).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    own = toxicity.train(sample.column("text"), sample.column("y").to_numpy().astype(np.int64))
+    assert np.array_equal(model.weights, own.weights) and np.allclose(model.slopes, own.slopes) and np.isclose(model.shift, own.shift)
+    none = toxicity.fit(docs.limit(0), labels)
+    assert (none.shift, none.weights.any()) == (-20.0, False)
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: toxicity.Model(np.zeros(1, np.float32), np.zeros(3), float(os.getpid())))
+    assert toxicity.fit(docs, labels).shift != os.getpid()  # neither texts nor training in the driver

@@ -265,11 +265,24 @@ def _calibrated(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, most: int = 3000, most_chars: int = 8_000_000) -> Model:
     """Train on up to `most` toxic and `most` clean labelled documents, none of the held-out fold.
 
-    Texts may have any length; those of either label have most_chars characters together at most, which go to
-    the driver. train() draws up to most_bags bags of either label from them in a pass.
+    Texts may have any length; those of either label have most_chars characters together at most. They go to one
+    task, which trains and gives the driver the model alone: neither texts nor the arrays of training stay there.
+    train() draws up to most_bags bags of either label from them in a pass.
     """
-    sample = labelled_texts(docs, labels, "toxic", folds, fold, most, most_chars).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    return train(sample.column("text"), sample.column("y").to_numpy().astype(np.int64))
+    ship(docs.sparkSession)
+    sample = labelled_texts(docs, labels, "toxic", folds, fold, most, most_chars).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        rows = pa.Table.from_batches(parts, parts[0].schema if parts else pa.schema([("text", pa.string()), ("y", pa.int32())]))
+        model = train(rows.column("text"), rows.column("y").to_numpy().astype(np.int64))
+        held = [pa.array([model.weights.astype("<f4").tobytes()]), pa.array([model.slopes.tolist()], pa.list_(pa.float64())), pa.array([model.shift], pa.float64())]
+        yield pa.RecordBatch.from_arrays(held, names=["weights", "slopes", "shift"])
+
+    found = sample.mapInArrow(run, "weights binary, slopes array<double>, shift double").first()
+    if found is None:  # no labelled text, and no task
+        return train(pa.array([], pa.string()), np.zeros(0, np.int64))
+    return Model(np.frombuffer(found.weights, "<f4"), np.array(found.slopes), found.shift)
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, fold: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
