@@ -306,3 +306,13 @@ def test_vectors_of_slices():
     column = pa.array([[1.0, 2.0], None, [3.0, None], [], [4.0]], pa.list_(pa.float64()))
     values, starts, sizes = K.vectors_of(column.slice(1))
     assert sizes.tolist() == [-1, -1, 0, 1] and values[starts[3]] == 4.0
+
+
+def test_components_are_dealt_before_they_are_grouped(spark, sf):
+    from vecclimb.queries.standins import components
+
+    rows = components(spark, sf)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Aggregate" in plan and "Aggregate" not in plan.rsplit("Exchange", 1)[1]
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey"))
+    assert rows.rdd.getNumPartitions() == 4 and sorted(map(tuple, rows.collect())) == sorted(map(tuple, lines.collect()))

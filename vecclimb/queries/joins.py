@@ -14,7 +14,7 @@ from vecclimb.operators.windows import first_seen
 from vecclimb.plans import jobs as C
 from vecclimb.queries.standins import COMP, ITER, JOBS, PLUG, REQ, RES, components, item_results, items, iterations, jobs, plugins, requests
 from vecclimb.queries.store import EXECUTED, _cached, _marked, executed
-from vecclimb.session import Workspace, table
+from vecclimb.session import Workspace, deal, table
 
 # --- D: joins
 
@@ -344,7 +344,7 @@ def delete_by_component(spark, d):
 @register("delete_job_cascade", f"with {JOBS}, {ITER}, g as (select job_id from jobs where status = 'complete' and price > 300000) select 'jobs' as name, count(*) as n from jobs where job_id not in (select * from g) union all select 'iterations', count(*) from iter where job_id not in (select * from g) union all select 'links', count(*) from (select distinct l_orderkey, l_suppkey from lineitem) where l_orderkey not in (select * from g)")
 def delete_job_cascade(spark, d):
     rows = jobs(spark, d)
-    links = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    links = deal(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey").distinct()
     left = R.cascade_delete({"jobs": (rows, "job_id"), "iterations": (iterations(spark, d), "job_id"), "links": (links, "l_orderkey")}, rows.filter("status = 'complete' and price > 300000"), "job_id")
     counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in left.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
@@ -370,7 +370,7 @@ def delete_job_chain(spark, d):
     e, o = table(spark, d, "events"), table(spark, d, "orders")
     store = {
         "jobs": o.select(F.col("o_orderkey").alias("job_id")),
-        "links": table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_suppkey").distinct(),
+        "links": deal(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_suppkey"), "job_id").distinct(),
         "results": e.select(F.col("user_id").alias("job_id"), (F.col("event_id") % 2000).alias("item_id"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("assembly_id")),
         "assemblies": o.select(F.col("o_orderkey").alias("assembly_id"), F.col("o_custkey").alias("product_id"), (1 + F.col("o_orderkey") % 4).alias("required")),
         "components": components(spark, d),

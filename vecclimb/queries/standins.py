@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecclimb.session import table
+from vecclimb.session import deal, table
 
 
 def library(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ PLUG = "plug as (select p_partkey as plugin_id, p_name as name, p_type as kind,
 def components(spark: SparkSession, d: str) -> DataFrame:
     """lineitem as parents of assemblies: the part at each line, the least of repeated lines."""
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("assembly_id"), F.col("l_linenumber").cast("long").alias("assembly_index"), F.col("l_partkey").alias("item_id"))
-    return rows.groupBy("assembly_id", "assembly_index").agg(F.min("item_id").alias("item_id"))
+    return deal(rows, "assembly_id").groupBy("assembly_id", "assembly_index").agg(F.min("item_id").alias("item_id"))
 
 
 COMP = "comp as (select l_orderkey as assembly_id, cast(l_linenumber as bigint) as assembly_index, min(l_partkey) as item_id from lineitem group by 1, 2)"
