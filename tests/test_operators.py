@@ -343,3 +343,27 @@ def test_pairs_of_a_frequent_mark_are_not_shuffled(spark):
     assert "Generate" in last and "Aggregate" not in last and "Join" not in last
     assert pairs.count() == pairs.distinct().count() == 2500 * 2501 - 1
     assert pairs.rdd.getNumPartitions() == 4
+
+
+def test_blocks_of_a_frequent_mark_are_dealt_whole_and_taken_apart_in_parts(spark):
+    marks = F.when(F.col("id") < 2500, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("b")))
+    pairs = R.marked_pairs(spark.range(5000).select("id", marks.alias("marks")), spark.createDataFrame([("a", "b")], "left_mark string, right_mark string"))
+    run = pairs._jdf.queryExecution()
+    assert run.toRdd().count() == 2500 * 2500
+    nodes = []
+
+    def walk(node):
+        nodes.append(node)
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(run.executedPlan())
+    names = [n.nodeName() for n in nodes]
+    counted = lambda n, metric: n.metrics().apply(metric).value()
+    assert counted(nodes[names.index("Exchange")], "shuffleRecordsWritten") <= 4  # the last shuffle comes first
+    rows = counted(next(n for n in nodes[names.index("Coalesce"):] if n.nodeName() == "Generate"), "numOutputRows")
+    assert 2500 * 2500 / R.PART**2 <= rows <= 2 * 2500 * 2500 / R.PART**2
